@@ -1,0 +1,37 @@
+"""Intermediate tables in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; one of our own only where none is set, as in tests."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="cuelight-")
+        context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: a cut in the lineage that outlives executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cuelight-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cuelight_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that ``written`` made and that nothing will read again."""
+    path = df._cuelight_path
+    jvm = df.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
