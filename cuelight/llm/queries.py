@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuelight.llm import simhash
+from cuelight.llm import quality, simhash, toxicity
+from cuelight.llm.sampling import fold
 from cuelight.session import ship
 
 
@@ -14,11 +16,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    return toxicity.score(docs, model, ["doc_id"]).select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        F.size("toxic_spans").alias("n_toxic_sentences"),
+    )
+
+
+def op10_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    tail = F.try_element_at("tail_probability", F.lit(1))
+    return quality.score(docs, model, ["doc_id"]).select(
+        "doc_id", "expected_grade", tail.alias("p_above_lowest"), F.coalesce(tail >= 0.5, F.lit(True)).alias("selected")
+    )
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity_mil": op3_toxicity_mil,
+    "op10_quality_ordinal": op10_quality_ordinal,
     "op9_simhash_trie": op9_simhash_trie,
 }
 
