@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.llm import quality, simhash, toxicity
+from cuelight.llm import mixing, packing, quality, simhash, toxicity
 from cuelight.llm.sampling import fold
 from cuelight.session import ship
 
@@ -37,6 +37,16 @@ def op10_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packing_mbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), capacity=2048, separator=0)
+
+
+def op8_mixing_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.sizes(_table(spark, sf_dir, "documents"))
+    taken = mixing.repetitions(sized, mixing.plan(sized, max_epochs=3, cycle=(1, 2, 3)))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
@@ -44,7 +54,61 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity_mil": op3_toxicity_mil,
     "op10_quality_ordinal": op10_quality_ordinal,
+    "op5_packing_mbs": op5_packing_mbs,
+    "op8_mixing_water_filling": op8_mixing_water_filling,
     "op9_simhash_trie": op9_simhash_trie,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_mixing_water_filling": """
+        WITH sized AS (
+            SELECT doc_id, source,
+                   coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+                   ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT AS key
+            FROM documents),
+        totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+        weighted AS (
+            SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight FROM totals),
+        levels AS (
+            SELECT *, (sum(source_size) OVER ()
+                       - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                      / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM weighted WINDOW o AS (ORDER BY 3 * source_size / weight, source ASC NULLS LAST)),
+        level AS (SELECT max(level) AS level FROM levels),
+        targets AS (
+            SELECT source, source_size, least(3.0::DOUBLE * source_size, (SELECT level FROM level) * weight) AS target
+            FROM weighted),
+        needs AS (
+            SELECT *, target - whole * source_size AS need
+            FROM (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS whole
+                  FROM targets)),
+        first AS (
+            SELECT s.doc_id, s.source, s.size, s.key, n.source_size, n.target, n.whole, n.need,
+                   sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key) <= n.need AND n.need > 0 AS one,
+                   sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key) AS through
+            FROM sized s JOIN needs n ON s.source IS NOT DISTINCT FROM n.source),
+        after_first AS (
+            SELECT *, coalesce(max(key) FILTER (one) OVER (PARTITION BY source), -1) AS edge1,
+                   need - coalesce(max(through) FILTER (one) OVER (PARTITION BY source), 0) AS rest1
+            FROM first),
+        second AS (
+            SELECT *, key > edge1 AND size <= rest1 AND rest1 > 0 AS open2,
+                   sum(CASE WHEN key > edge1 AND size <= rest1 THEN size ELSE 0 END)
+                       OVER (PARTITION BY source ORDER BY key) AS through2
+            FROM after_first),
+        after_second AS (
+            SELECT *, open2 AND through2 <= rest1 AS two,
+                   greatest(edge1, coalesce(max(key) FILTER (open2 AND through2 <= rest1) OVER (PARTITION BY source), -1)) AS edge2,
+                   rest1 - coalesce(max(through2) FILTER (open2 AND through2 <= rest1) OVER (PARTITION BY source), 0) AS rest2
+            FROM second),
+        third AS (
+            SELECT *, key > edge2 AND size <= rest2 AND rest2 > 0 AS open3,
+                   sum(CASE WHEN key > edge2 AND size <= rest2 THEN size ELSE 0 END)
+                       OVER (PARTITION BY source ORDER BY key) AS through3,
+                   sum(CASE WHEN key > edge2 AND size <= rest2 THEN size ELSE 0 END)
+                       OVER (PARTITION BY source, key) AS peers3
+            FROM after_second)
+        SELECT doc_id, size, source_size, target,
+               (size * (whole + CASE WHEN one OR two OR (open3 AND through3 - peers3 / 2 <= rest2) THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM third""",
+}
