@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.llm import mixing, packing, quality, simhash, toxicity
+from cuelight.llm import langid, mixing, packing, quality, simhash, toxicity
 from cuelight.llm.sampling import fold
 from cuelight.session import ship
 
@@ -41,6 +41,14 @@ def op5_packing_mbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), capacity=2048, separator=0)
 
 
+def op6_language_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(fold("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+    return langid.score(docs, model, ["doc_id"]).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op8_mixing_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sizes(_table(spark, sf_dir, "documents"))
     taken = mixing.repetitions(sized, mixing.plan(sized, max_epochs=3, cycle=(1, 2, 3)))
@@ -55,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity_mil": op3_toxicity_mil,
     "op10_quality_ordinal": op10_quality_ordinal,
     "op5_packing_mbs": op5_packing_mbs,
+    "op6_language_unigrams": op6_language_unigrams,
     "op8_mixing_water_filling": op8_mixing_water_filling,
     "op9_simhash_trie": op9_simhash_trie,
 }
