@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.llm import langid, mixing, packing, quality, simhash, toxicity
+from cuelight.llm import cap_filters, langid, mixing, packing, quality, simhash, toxicity
 from cuelight.llm.sampling import fold
 from cuelight.session import ship
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_cap_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
@@ -60,6 +64,7 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_cap_filter_dedup": op2_cap_filter_dedup,
     "op3_toxicity_mil": op3_toxicity_mil,
     "op10_quality_ordinal": op10_quality_ordinal,
     "op5_packing_mbs": op5_packing_mbs,
