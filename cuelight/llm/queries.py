@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.llm import cap_filters, langid, mixing, packing, quality, simhash, toxicity
+from cuelight.llm import cap_filters, chat, langid, mixing, packing, quality, simhash, topk, toxicity, url_filter
 from cuelight.llm.sampling import fold
 from cuelight.session import ship
 
@@ -16,6 +16,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have neither dates nor lists: a page's fetch time follows from its id, and three lists from the hosts."""
+    pages = _table(spark, sf_dir, "pages")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(366)).cast("int"))
+    hosts = pages.select(url_filter.host(F.col("url")).alias("host")).where("host <> ''").distinct()
+    hosts = hosts.withColumn("h", F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("int"))
+
+    def entry(name: str, pattern, start: str, action: str, verdict: str, when: str):
+        since = F.expr(f"date_add(date'2024-01-01', {start})").alias("since")
+        named = (F.lit(name).alias("list"), pattern.alias("pattern"), since, F.lit(action).alias("action"), F.lit(verdict).alias("verdict"))
+        return hosts.where(when).select(*named)
+
+    own, parent = F.col("host"), F.regexp_replace("host", r"^[^.]+\.", "")
+    entries = (
+        entry("spam", own, "h % 200", "add", "block", "h % 3 = 0")
+        .unionByName(entry("spam", own, "h % 200 + 60", "remove", "block", "h % 3 = 0 and h % 2 = 0"))
+        .unionByName(entry("spam", own, "h % 200 + 120", "add", "block", "h % 3 = 0 and h % 5 = 0"))
+        .unionByName(entry("adult", parent, "h % 300", "add", "block", "h % 7 = 1"))
+        .unionByName(entry("trusted", F.concat(own, F.lit("/en")), "h % 150", "add", "allow", "h % 3 = 0 and h % 4 < 2"))
+        .unionByName(entry("trusted", F.concat(own, F.lit("/en")), "h % 150 + 150", "remove", "allow", "h % 3 = 0 and h % 4 = 0"))
+    )
+    captures = pages.select("page_id", "url", day.alias("fetched_at"))
+    judged = url_filter.judge(captures, entries)
+    return judged.withColumn("fetched_at", F.col("fetched_at").cast("string"))
+
+
 def op2_cap_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
 
@@ -41,6 +67,27 @@ def op10_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    made = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.expr("if(id = 0, 'user', 'assistant')").alias("role"), F.lit(tricky).alias("text")
+    )
+    chats = chat.format_chats(chat.messages_as_events(stored.unionByName(made)))
+    read = chats.select(
+        "conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("pieces")).alias("loss")
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op5_packing_mbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), capacity=2048, separator=0)
 
@@ -53,6 +100,11 @@ def op6_language_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
 def op8_mixing_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sizes(_table(spark, sf_dir, "documents"))
     taken = mixing.repetitions(sized, mixing.plan(sized, max_epochs=3, cycle=(1, 2, 3)))
@@ -64,16 +116,68 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter_asof": op1_url_filter_asof,
     "op2_cap_filter_dedup": op2_cap_filter_dedup,
     "op3_toxicity_mil": op3_toxicity_mil,
     "op10_quality_ordinal": op10_quality_ordinal,
+    "op4_chat_events": op4_chat_events,
     "op5_packing_mbs": op5_packing_mbs,
     "op6_language_unigrams": op6_language_unigrams,
+    "op7_threshold_top_k": op7_threshold_top_k,
     "op8_mixing_water_filling": op8_mixing_water_filling,
     "op9_simhash_trie": op9_simhash_trie,
 }
 
 SQL: dict[str, str] = {
+    "op1_url_filter_asof": r"""
+        WITH named AS (
+            SELECT page_id, DATE '2024-01-01' + ((page_id * 7919) % 366)::INTEGER AS fetched_at,
+                   regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.$', '') AS host,
+                   rtrim(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS path
+            FROM pages),
+        hosts AS (
+            SELECT host, ('0x' || substr(md5(host), 1, 6))::INTEGER AS h
+            FROM (SELECT DISTINCT host FROM named WHERE host <> '')),
+        entries AS (
+            SELECT 'spam' AS list, host AS pattern, h % 200 AS day, 'add' AS action, 'block' AS verdict FROM hosts WHERE h % 3 = 0
+            UNION ALL SELECT 'spam', host, h % 200 + 60, 'remove', 'block' FROM hosts WHERE h % 3 = 0 AND h % 2 = 0
+            UNION ALL SELECT 'spam', host, h % 200 + 120, 'add', 'block' FROM hosts WHERE h % 3 = 0 AND h % 5 = 0
+            UNION ALL SELECT DISTINCT 'adult', regexp_replace(host, '^[^.]+\.', ''), h % 300, 'add', 'block' FROM hosts WHERE h % 7 = 1
+            UNION ALL SELECT 'trusted', host || '/en', h % 150, 'add', 'allow' FROM hosts WHERE h % 3 = 0 AND h % 4 < 2
+            UNION ALL SELECT 'trusted', host || '/en', h % 150 + 150, 'remove', 'allow' FROM hosts WHERE h % 3 = 0 AND h % 4 = 0),
+        dated AS (
+            SELECT *, DATE '2024-01-01' + day::INTEGER AS since,
+                   lead(DATE '2024-01-01' + day::INTEGER) OVER (PARTITION BY list, pattern ORDER BY day, action DESC) AS until
+            FROM entries),
+        active AS (
+            SELECT n.page_id, d.list, d.pattern, d.verdict,
+                   row_number() OVER (PARTITION BY n.page_id ORDER BY length(d.pattern) DESC, d.verdict, d.pattern, d.list) AS place,
+                   count(*) OVER (PARTITION BY n.page_id) AS n_active
+            FROM named n JOIN dated d
+              ON d.action = 'add' AND d.since <= n.fetched_at AND (d.until IS NULL OR d.until > n.fetched_at)
+             AND n.host <> ''
+             AND (n.host = split_part(d.pattern, '/', 1) OR ends_with(n.host, '.' || split_part(d.pattern, '/', 1)))
+             AND (NOT contains(d.pattern, '/') OR n.path = '/en' OR starts_with(n.path, '/en/')))
+        SELECT n.page_id, n.fetched_at::DATE::VARCHAR AS fetched_at, coalesce(a.n_active, 0) AS n_active, coalesce(a.verdict = 'block', false) AS blocked,
+               a.pattern AS rule, a.list
+        FROM named n LEFT JOIN active a ON a.page_id = n.page_id AND a.place = 1""",
+    "op4_chat_events": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        sized AS (
+            SELECT *,
+                   length(replace(replace(replace(replace(replace(role, '\', '\b'), '[INST]', '\i'), '[/INST]', '\j'), '</s>', '\k'), '<s>', '\l'))
+                 + length(replace(replace(replace(replace(replace(text, '\', '\b'), '[INST]', '\i'), '[/INST]', '\j'), '</s>', '\k'), '<s>', '\l'))
+                   AS chars
+            FROM rows)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               (3 + sum(chars + 17))::BIGINT AS formatted_chars
+        FROM sized GROUP BY conv_id""",
     "op8_mixing_water_filling": """
         WITH sized AS (
             SELECT doc_id, source,
