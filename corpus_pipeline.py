@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cuelight.llm import mixing, packing, quality, simhash, toxicity
-from cuelight.llm._scratch import written
+from cuelight.scratch import written
 from cuelight.session import ship
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelight.llm import vectors
-from cuelight.llm._scratch import written
+from cuelight.scratch import written
 from cuelight.llm.components import connected_components
 from cuelight.llm.simhash import _merge
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm._scratch import discard, written
+from cuelight.scratch import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelight.llm import _text
-from cuelight.llm._scratch import written
+from cuelight.scratch import written
 from cuelight.llm.tokens import public_path
 
 LONGEST = 12  # bytes of a piece; longer ones of the vocabulary are left out

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelight.llm._scratch import written
+from cuelight.scratch import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 _BROADCAST_BYTES = 4 << 20

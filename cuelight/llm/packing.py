@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelight.llm._scratch import written
+from cuelight.scratch import written
 from cuelight.llm.tokens import Encoder, public_path
 
 CAPACITY = 2048

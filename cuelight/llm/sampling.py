@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm._scratch import written
+from cuelight.scratch import written
 
 
 def fold(doc_id: str, of: int) -> Column:

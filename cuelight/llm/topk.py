@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelight.llm import vectors
-from cuelight.llm._scratch import written
+from cuelight.scratch import written
 
 BLOCK = 4096
 _PART_ROWS = 8192
