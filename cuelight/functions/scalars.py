@@ -107,7 +107,7 @@ def variant_long(value: Column) -> Column:
 
 
 def rounded(x: Column, places: int) -> Column:
-    """Half-even rounding of the exact binary value."""
+    """Half-even rounding of the exact binary value, but for half a unit of the last place itself, which goes to 0."""
     return F.when(F.isnan(x), x).otherwise(F.replace(F.format_number(x, places), F.lit(","), F.lit("")).cast("double"))
 
 

@@ -30,7 +30,9 @@ def read_json_lines(spark: SparkSession, path: str, check: bool = True) -> DataF
         bad = lines.where("line <> ''").where(wrong).orderBy("position").select("position", "line").first()
         if bad:
             at = bad["position"]
-            same = lines.where((F.col("position.file") == at["file"]) & (F.struct("position.block", "position.row") <= F.struct(F.lit(at["block"]), F.lit(at["row"]))))
+            block, row = F.col("position.block"), F.col("position.row")
+            earlier = (block < at["block"]) | ((block == at["block"]) & (row <= at["row"]))
+            same = lines.where((F.col("position.file") == at["file"]) & earlier)
             raise ValueError(f"{at['file']}, line {same.count()}: not a JSON object: {bad['line'][:80]}")
     failed = F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("line", 1, 80)))
     return lines.where("line <> ''").select("position", F.when(wrong, failed.cast("variant")).otherwise(parsed).alias("v"))
