@@ -23,9 +23,11 @@ from pyspark.sql import types as T
 
 from cuelight.llm import _text
 from cuelight.llm.sampling import graded_sample
+from cuelight.scratch import written
 
 BUCKETS = 1 << 20
 _STEMS = (3, 4, 5, 6)
+LEAST_DOCS, LEAST_LIFT = 4, 2.0
 _EDGE = np.zeros(256, bool)
 _EDGE[[ord(c) for c in ".,;:!?\"'()[]{}<>*_-"]] = True
 
@@ -100,8 +102,8 @@ def fit_mil(
     bucket: np.ndarray,
     y: np.ndarray,
     prior: float = 0.5,
-    least_docs: int = 4,
-    least_lift: float = 2.0,
+    least_docs: int = LEAST_DOCS,
+    least_lift: float = LEAST_LIFT,
     l1: float = 5e-5,
     rounds: int = 200,
 ) -> MilModel:
@@ -156,25 +158,44 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_per_lab
                 key = np.unique(s.of * BUCKETS + s.bucket)
                 of, bucket = key // BUCKETS, key % BUCKETS
                 first = np.searchsorted(s.doc, np.arange(part.count + 1))
-                cut = np.searchsorted(of, first)
-                cells = list(zip(range(part.count), cut[:-1], cut[1:], strict=True))
+                cut = pa.array(np.searchsorted(of, first).astype(np.int32))
+                own = of - first[s.doc[of]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("grade").slice(part.lo, part.count),
                         pa.array((first[1:] - first[:-1]).astype(np.int32)),
-                        pa.array([(of[a:b] - first[i]).astype("<u4").tobytes() for i, a, b in cells], pa.binary()),
-                        pa.array([bucket[a:b].astype("<u4").tobytes() for _, a, b in cells], pa.binary()),
+                        pa.ListArray.from_arrays(cut, pa.array(own.astype(np.int32))),
+                        pa.ListArray.from_arrays(cut, pa.array(bucket.astype(np.int32))),
                     ],
                     ["grade", "sentences", "of", "bucket"],
                 )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The sample has a proven bound: two labels times most_per_label.
-    rows = (
+    table = written(
         texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("grade", "text")
-        .mapInArrow(bags, "grade int, sentences int, of binary, bucket binary").collect()
+        .mapInArrow(bags, "grade int, sentences int, of array<int>, bucket array<int>")
     )
-    rows.sort(key=lambda r: (r["grade"], bytes(r["bucket"]), bytes(r["of"])))
+    n, toxic = table.agg(F.count("*"), F.coalesce(F.sum("grade"), F.lit(0))).first()
+    # What could be evidence is found where the sample lies; only that comes to the driver.
+    seen = table.select("grade", F.explode(F.array_distinct("bucket")).alias("bucket")).groupBy("bucket")
+    seen = seen.agg(F.count("*").alias("n"), F.sum("grade").alias("toxic"))
+    lifted = F.col("toxic") * (n - toxic) >= LEAST_LIFT * toxic * (F.col("n") - F.col("toxic") + 0.5)
+    kept = np.sort(np.array([r[0] for r in seen.where((F.col("n") >= LEAST_DOCS) & lifted).select("bucket").collect()], np.int64))
+
+    def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c) for c in ("of", "bucket")]
+            of, bucket = (c.flatten().to_numpy() for c in columns)
+            ends = np.concatenate(([0], np.cumsum(columns[0].value_lengths().to_numpy(zero_copy_only=False))))
+            keep = np.isin(bucket, kept)
+            cut = np.concatenate(([0], np.cumsum(keep)))[ends]
+            of, bucket = of[keep].astype("<u4"), bucket[keep].astype("<u4")
+            packed = [pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (of, bucket)]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("sentences"), *packed], ["grade", "sentences", "of", "bucket"])
+
+    rows = table.mapInArrow(screened, "grade int, sentences int, of binary, bucket binary").collect()
+    rows.sort(key=lambda r: (r["grade"], r["sentences"], bytes(r["bucket"]), bytes(r["of"])))
     bag = np.array([r["sentences"] for r in rows], np.int64)
     base = np.concatenate(([0], np.cumsum(bag)))
     counts = [len(r["of"]) // 4 for r in rows]
