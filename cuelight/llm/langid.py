@@ -27,6 +27,7 @@ from cuelight.llm.tokens import public_path
 
 LONGEST = 12  # bytes of a piece; longer ones of the vocabulary are left out
 _CACHE_BITS = 19
+_IMPOSSIBLE = -1000.0  # log-likelihood of a word that has no segmentation
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalpha()]] = True
 _LETTER = np.zeros(256, bool)
@@ -126,7 +127,7 @@ def _forward(lattice: list[list[tuple]], words: int, chance: np.ndarray) -> tupl
         for word, back, piece in own:
             shift = np.exp(scale[at - back][word] - scale[at - 1][word]) if back > 1 else 1.0
             a[word] += alpha[at - back][word] * shift * chance[piece]
-        norm = np.maximum(a, 1e-300)
+        norm = np.where(a > 0, a, 1.0)  # no piece may end here
         scale.append(scale[at - 1][:live] + np.log(norm))
         alpha.append(a / norm)
     return alpha, scale
@@ -155,10 +156,10 @@ def word_scores(data: np.ndarray, start: np.ndarray, end: np.ndarray, model: Lan
                 word = np.flatnonzero(piece >= 0)
                 if len(word):
                     total[word] += sums[-back][word] * model.chance[piece[word]]
-            norm = np.maximum(total, 1e-300)
+            norm = np.where(total > 0, total, 1.0)  # no piece may end here
             done = length[:live] == at
             scale[:live] += np.log(norm)
-            out[own[:live][done]] = scale[:live][done]
+            out[own[:live][done]] = np.where(total[done] > 0, scale[:live][done], _IMPOSSIBLE)
             sums = [s[:live] / norm for s in sums[-(LONGEST - 1) :]] + [total / norm]
     return out
 
