@@ -93,7 +93,7 @@ def test_no_pair(spark, points, center):
 
 
 def test_summary_of_nothing(spark):
-    out = evaluation.evaluate(question(spark, [1.0]).limit(0), candidate(spark).limit(0) if False else candidate(spark, (1, 1, "a", "v", 1.0)), [5])
+    out = evaluation.evaluate(question(spark, [1.0]).limit(0), candidate(spark, (1, 1, "a", "v", 1.0)), [5])
     assert evaluation.as_summary(evaluation.summarize(out, [5]).first()) == {"count": 0}
 
 
