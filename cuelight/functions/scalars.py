@@ -40,8 +40,9 @@ def slugify(text: Column) -> Column:
 
 def mention_candidates(text: Column, hints: Sequence[str] = DEICTIC_HINTS) -> Column:
     """The hints that occur in the lower-cased text, inside of words too, in the order of the list."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*map(F.lit, hints)), lambda h: F.contains(low, h))
+    # The variable of a lambda is worked out once, where the expression itself would be for each hint.
+    found = lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(h)), F.lit(h)) for h in hints)))
+    return F.element_at(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), found), 1)
 
 
 def excerpt(text: Column, most: int = 360) -> Column:

@@ -63,7 +63,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> search.TextIndex:
     rows = segments.record_segments(records(spark, sf_dir)).withColumn("doc", F.col("sample_index"))
-    return search.build_index(rows, "doc")
+    return search.build_index(rows, "doc", vocabulary=search.terms_of(questions(spark, sf_dir)))
 
 
 def mention_candidates(spark, sf_dir):
