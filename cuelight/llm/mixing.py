@@ -26,7 +26,7 @@ from cuelight.scratch import written
 WORD = r"[^\x20\x09-\x0D]+"
 _BROADCAST_BYTES = 4 << 20
 ROUNDS = 3
-_RANGE_BITS = 16  # ranges of the order: 65,536
+_RANGE_BITS = 10  # ranges of the order: 1,024 rows at most that one task has of a source
 
 
 def words(text: Column) -> Column:
