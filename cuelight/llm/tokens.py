@@ -29,13 +29,14 @@ class Encoder:
 
     For a lower-casing vocabulary that drops white space, no token crosses a blank, so the
     ids of a text are those of its chunks in turn, and chunks repeat. A chunk of Latin letters, perhaps
-    with stops after it, is one word and one mark; the model alone encodes those. Any other
+    with ASCII marks after it, is one word and one run of marks; the model alone encodes those. Any other
     tokenizer file is applied to the whole text.
     """
 
-    LIMIT = 400_000  # entries of either cache; a full one starts anew
-    _simple = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]{1,60})([.,;:!?]*)").fullmatch
+    LIMIT = 600_000  # entries of either cache; a full one starts anew
+    _simple = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]{1,60})([!-/:-@\[-`{-~]*)").fullmatch
     _blank = re.compile(r"[ \t\n\r\f\v]+")
+    _separators = re.compile(r"[\x1c-\x1f]").search  # blanks to Python, not to tokenizers
 
     def __init__(self, path: str) -> None:
         self._tokenizer = Tokenizer.from_file(path)
@@ -50,6 +51,7 @@ class Encoder:
             and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in kind["added_tokens"])
         )
         self._letters = _byte_letters()
+        self._packed = [struct.pack("<I", i) for i in range(self._tokenizer.get_vocab_size(with_added_tokens=True))]
         self._chunks: dict[str, bytes] = {}
         self._stems: dict[str, bytes] = {}
 
@@ -57,7 +59,8 @@ class Encoder:
         known = self._stems.get(word)
         if known is None:
             tokens = self._tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self._letters))
-            known = struct.pack(f"<{len(tokens)}I", *(t.id for t in tokens))
+            packed = self._packed
+            known = b"".join([packed[t.id] for t in tokens])
             if len(self._stems) >= self.LIMIT:
                 self._stems.clear()
             self._stems[word] = known
@@ -84,4 +87,5 @@ class Encoder:
         if not self._by_chunk:
             return self._whole(text)
         get, make = self._chunks.get, self._chunk
-        return b"".join([get(c) or make(c) for c in self._blank.split(text) if c])
+        chunks = self._blank.split(text) if self._separators(text) else text.split()
+        return b"".join([get(c) or make(c) for c in chunks if c])
