@@ -29,6 +29,37 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+class Folder:
+    """A folder of whatever file system its path names, by the driver's Hadoop client."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, str(path).rstrip("/")
+
+    def _at(self, name: str) -> tuple:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def exists(self, name: str) -> bool:
+        files, target = self._at(name)
+        return files.exists(target)
+
+    def delete(self, name: str) -> None:
+        files, target = self._at(name)
+        files.delete(target, True)
+
+    def write_text(self, name: str, text: str) -> None:
+        """A small file; one of that name is replaced."""
+        files, target = self._at(name)
+        out = files.create(target, True)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+
+    def read_text(self, name: str) -> str:
+        return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table that ``written`` made and that nothing will read again."""
     path = df._cuelight_path
