@@ -18,14 +18,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelight.llm import _text
-from cuelight.scratch import written
 from cuelight.llm.tokens import public_path
 
 LONGEST = 12  # bytes of a piece; longer ones of the vocabulary are left out
+LONGEST_WORD = 64
 _CACHE_BITS = 19
 _IMPOSSIBLE = -1000.0  # log-likelihood of a word that has no segmentation
 _PUNCTUATION = np.zeros(256, bool)
@@ -209,7 +209,10 @@ def fit_pieces(words: list[bytes], counts: np.ndarray, pieces: list[bytes], roun
 
 
 def _letters(texts: _text.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, and start, end and document of each word that has a letter, without marks around it."""
+    """Lower-cased bytes, and start, end and document of each word that has a letter, without marks around it.
+
+    A word of more than ``LONGEST_WORD`` bytes is taken as several of that length, so that one without an end costs no more.
+    """
     data = _text.lower_latin(texts.data)
     words = _text.words(texts)
     start, end = words.start.copy(), words.end.copy()
@@ -220,15 +223,28 @@ def _letters(texts: _text.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         start[trim] += 1
     letters = np.concatenate(([0], np.cumsum(_LETTER[data])))
     keep = letters[end] > letters[start]
-    return data, start[keep], end[keep], words.doc[keep]
+    start, end, doc = start[keep], end[keep], words.doc[keep]
+    parts = -(-(end - start) // LONGEST_WORD)
+    if (parts > 1).any():
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        end, doc = np.repeat(end, parts), np.repeat(doc, parts)
+        start = np.repeat(start, parts) + nth * LONGEST_WORD
+        end = np.minimum(end, start + LONGEST_WORD)
+    return data, start, end, doc
 
 
 def train(
-    docs: DataFrame, path: str | None = None, docs_per_language: int = 300, max_languages: int = 256, rounds: int = 4
+    docs: DataFrame,
+    path: str | None = None,
+    docs_per_language: int = 300,
+    max_languages: int = 256,
+    most_words: int = 400_000,
+    rounds: int = 4,
 ) -> LanguageModel:
     """Learns from rows of ``docs`` with a lang: whole texts of about ``docs_per_language`` for each language.
 
-    The documents of a language are thinned by a hash of id and text with a threshold that its count gives.
+    The documents of a language are thinned by a hash of id and text with a threshold that its count gives. The
+    most frequent words of each language are fitted, an equal share of ``most_words`` each: the driver's bound.
     """
     counts = docs.where("lang is not null").groupBy("lang").count().limit(max_languages + 1).collect()
     if len(counts) > max_languages:
@@ -250,16 +266,18 @@ def train(
                 raw, tally = data.tobytes(), {}
                 names = lang.slice(part.lo, part.count).to_pylist()
                 for a, b, d in zip(start.tolist(), end.tolist(), doc.tolist(), strict=True):
-                    key = names[d], raw[a : min(b, a + 64)]
+                    key = names[d], raw[a:b]
                     tally[key] = tally.get(key, 0) + 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k[0] for k in tally], pa.string()), pa.array([k[1] for k in tally], pa.binary()), pa.array(list(tally.values()), pa.int64())],
                     ["lang", "word", "n"],
                 )
 
-    # About docs_per_language documents a language, and of those the words that come at least twice.
+    # About docs_per_language documents a language, and of those the frequent words.
     tallied = sample.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(counted, "lang string, word binary, n long")
-    rows = written(tallied.groupBy("lang", "word").agg(F.sum("n").alias("n"))).where("n > 1").collect()
+    common = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
+    ranked = tallied.groupBy("lang", "word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("place", F.row_number().over(common))
+    rows = ranked.where(F.col("place") <= most_words // len(languages)).collect()
     index: dict[bytes, int] = {}
     at = np.array([index.setdefault(bytes(r["word"]), len(index)) for r in rows], np.int64)
     of = {k: i for i, k in enumerate(languages)}
@@ -276,8 +294,10 @@ class _Cache:
     """The scores of words by hash; a word takes the place of the one before it in its slot."""
 
     def __init__(self, languages: int) -> None:
-        self.keys = np.zeros(1 << _CACHE_BITS, np.uint64)
-        self.values = np.zeros((1 << _CACHE_BITS, languages), np.float32)
+        size = 1 << max(10, _CACHE_BITS - max(0, (languages // 8).bit_length()))  # about as many bytes for any number
+        self.mask = np.uint64(size - 1)
+        self.keys = np.zeros(size, np.uint64)
+        self.values = np.zeros((size, languages), np.float32)
 
 
 def score(docs: DataFrame, model: LanguageModel, carry: list[str] | None = None) -> DataFrame:
@@ -293,7 +313,6 @@ def score(docs: DataFrame, model: LanguageModel, carry: list[str] | None = None)
         model = sent.value
         k = len(model.languages)
         cache = _Cache(k)
-        mask = np.uint64((1 << _CACHE_BITS) - 1)
         label = np.array([*model.languages, "und"], object)
         for batch in batches:
             for part in _text.slices(batch.column("text")):
@@ -301,7 +320,7 @@ def score(docs: DataFrame, model: LanguageModel, carry: list[str] | None = None)
                 total = np.zeros((part.count, k))
                 if k and len(start):
                     key, first, which = np.unique(_text.SpanHash(data)(start, end), return_index=True, return_inverse=True)
-                    slot = (key & mask).astype(np.int64)
+                    slot = (key & cache.mask).astype(np.int64)
                     values = cache.values[slot].astype(np.float64)
                     new = np.flatnonzero(cache.keys[slot] != key)
                     if len(new):

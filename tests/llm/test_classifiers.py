@@ -222,3 +222,11 @@ def test_language_edges(spark):
     assert langid.score(docs.limit(0), model).collect() == []
     unlearned = langid.train(train.where("lang is null"))
     assert {r.lang_pred for r in langid.score(docs, unlearned).collect()} == {"und"}
+
+
+def test_endless_words_are_whole():
+    text = "ab cé" + "x" * 1000 + ", 12 y"
+    (part,) = _text.slices(pa.array(["", text]))
+    data, start, end, doc = langid._letters(part)
+    assert b"".join(data.tobytes()[a:b] for a, b in zip(start, end, strict=True)) == f"abcé{'x' * 1000}y".encode()
+    assert max(end - start) == langid.LONGEST_WORD and set(doc.tolist()) == {1}
