@@ -5,6 +5,7 @@ Records come from ``documents``, questions from ``benchmark``, cues from ``conve
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import scalars as S
 from cuelight.operators import evaluation, intervals, numbering, search, segments
+from cuelight.scratch import shared_folder
 from cuelight.session import ship
+from cuelight.sinks import files
+from cuelight.sinks.index_store import IndexStore
 from cuelight.sources import jsonl, media, subtitles
 
 DELTAS = (60, 300, 900)
@@ -22,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(ship(spark))}/cuelight-{name}-{uuid.uuid4().hex}"
+
+
 def _points(key: str) -> Column:
     a, b = ((F.col(key) * n % 3600).cast("double") for n in (37, 53))
     return F.when(F.col(key) % 5 == 0, F.array().cast("array<double>")).otherwise(F.array(a, b))
@@ -114,6 +122,62 @@ def record_coerce(spark, sf_dir):
     return made.select("sample_index", "sample_id", "video_name", "question", "answer", F.size("timestamp_points").cast("long").alias("n_points"), "has_timestamp", "qid")
 
 
+def jsonl_scan(spark, sf_dir):
+    """Documents written as JSON lines and read back as open rows, keys in any order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("lang"))
+    path = scratch_path(spark, "lines")
+    files.write_json_lines(docs, path)
+    v = F.col("v")
+    rows = jsonl.read_json_lines(spark, path)
+    return rows.select(
+        F.try_variant_get(v, "$.doc_id", "long").alias("doc_id"), F.md5(F.try_variant_get(v, "$.text", "string")).alias("text_md5"),
+        jsonl.text_field(v, "lang", "missing").alias("lang"), F.is_variant_null(jsonl.field(v, "lang")).alias("is_null"),
+    )
+
+
+def records_by_id(spark, sf_dir):
+    """Records by a key that repeats: the last of each."""
+    rows = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "lang").alias("sample_id"), "doc_id")
+    return jsonl.records_by_id(rows.withColumn("position", F.struct(F.lit("f").alias("file"), F.lit(0).alias("block"), F.col("doc_id").alias("row")))).drop("position")
+
+
+def index_documents(spark, sf_dir):
+    """Segments added to a stored index in two overlapping batches, the second with other texts."""
+    store = IndexStore(ship(spark), scratch_path(spark, "index"))
+    store.create_index("i")
+    store.update_settings("i")
+    rows = segments.record_segments(records(spark, sf_dir))
+    store.add_documents("i", rows.where("sample_index % 3 <> 1"))
+    store.add_documents("i", rows.where("sample_index % 3 <> 0").withColumn("video_name", F.lit("second")))
+    return store.documents("i").select("segment_id", "sample_index", "video_name")
+
+
+def eval_rows(spark, sf_dir):
+    """What an evaluation writes for each question, candidates in order."""
+    asked = questions(spark, sf_dir)
+    found = search.candidates(_index(spark, sf_dir), asked, 5)
+    rows = evaluation.with_candidates(evaluation.evaluate(asked, found, DELTAS), found)
+    listed = F.array_join(F.transform("topk_candidates", lambda c: F.concat_ws(":", c["rank"].cast("string"), c.sample_id)), ",")
+    return rows.select("query_id", F.size("timestamp_points").cast("long").alias("n_points"), F.size("topk_candidates").cast("long").alias("n_candidates"), listed.alias("candidates"))
+
+
+def time_and_delta_functions(spark, sf_dir):
+    """Subtitle stamps to seconds, and lists of deltas, made from ids."""
+    n = F.col("doc_id")
+    stamp = F.format_string("%02d:%02d:%02d,%03d", n % 24, n % 60, n * 7 % 60, n * 13 % 1000)
+    deltas = S.delta_list(F.concat_ws(",", n.cast("string"), F.lit(" "), (n + 1).cast("string"), F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", S.subtitle_seconds(stamp).alias("seconds"), F.array_join(deltas.cast("array<string>"), "|").alias("deltas"))
+
+
+def variant_numbers(spark, sf_dir):
+    """Numbers as JSON has them in events' props, null on bad, and some as texts or booleans."""
+    n = F.col("event_id")
+    made = F.when(n % 4 == 0, F.concat(F.lit('{"x": '), n.cast("string"), F.lit("}"))).when(n % 4 == 1, F.concat(F.lit('{"x": "'), n.cast("string"), F.lit('.5"}')))
+    made = F.parse_json(made.when(n % 4 == 2, '{"x": true}').otherwise('{"x": "none"}'))
+    value = F.try_variant_get(made, "$.x", "variant")
+    return table(spark, sf_dir, "events").select("event_id", S.variant_double(value).alias("as_double"), S.variant_long(value).alias("as_long"))
+
+
 def record_segments(spark, sf_dir):
     made = segments.record_segments(records(spark, sf_dir))
     return made.select(
@@ -257,6 +321,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         mention_candidates, slugify, excerpt, text_functions, number_functions, transcript_source, record_coerce, record_segments,
+        jsonl_scan, records_by_id, index_documents, eval_rows, time_and_delta_functions, variant_numbers,
         srt_roundtrip, cue_segments, stt_normalize, frame_grid, segment_window, interval_align, interval_align_theta, align_summary,
         search_topk, search_candidates, abs_errors, eval_per_query, eval_summary, upsert_last_wins, prefix_limit, batch_assign,
         attribute_filter, attribute_sort, windowed_counts,
@@ -341,6 +406,29 @@ SQL: dict[str, str] = {
                '' AS answer, (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END)::BIGINT AS n_points, doc_id % 5 <> 0 AS has_timestamp,
                CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR END AS qid
         FROM documents""",
+    "jsonl_scan": """
+        SELECT doc_id, md5(text) AS text_md5, CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS lang, doc_id % 3 <> 0 AS is_null
+        FROM documents""",
+    "records_by_id": "SELECT source || '/' || lang AS sample_id, max(doc_id) AS doc_id FROM documents GROUP BY 1",
+    "index_documents": f"""
+        SELECT {_SEGMENT_ID} AS segment_id, doc_id AS sample_index, CASE WHEN doc_id % 3 <> 0 THEN 'second' ELSE source END AS video_name
+        FROM documents""",
+    "eval_rows": f"""
+        WITH {_HITS},
+        lists AS (
+            SELECT query_id, count(*) AS n, string_agg(rank || ':' || source || '/' || doc_id, ',' ORDER BY rank) AS candidates
+            FROM hits JOIN documents USING (doc_id) GROUP BY query_id)
+        SELECT item_id AS query_id, (CASE WHEN item_id % 5 = 0 THEN 0 ELSE 2 END)::BIGINT AS n_points, coalesce(n, 0) AS n_candidates,
+               coalesce(candidates, '') AS candidates
+        FROM benchmark LEFT JOIN lists ON query_id = item_id""",
+    "time_and_delta_functions": """
+        SELECT doc_id, (doc_id % 24 * 3600 + doc_id % 60 * 60 + doc_id * 7 % 60)::DOUBLE + (doc_id * 13 % 1000)::DOUBLE / 1000 AS seconds,
+               doc_id || '|' || (doc_id + 1) AS deltas
+        FROM documents""",
+    "variant_numbers": """
+        SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id::DOUBLE WHEN 1 THEN event_id + 0.5::DOUBLE WHEN 2 THEN 1.0::DOUBLE END AS as_double,
+               CASE event_id % 4 WHEN 0 THEN event_id WHEN 2 THEN 1 END AS as_long
+        FROM events""",
     "record_segments": f"""
         SELECT {_SEGMENT_ID} AS segment_id, doc_id AS sample_index, source AS video_id,
                CASE WHEN doc_id % 5 <> 0 THEN greatest(0.0::DOUBLE, {_CENTER} - 90) END AS start_time, {_CENTER} + 90 AS end_time,
