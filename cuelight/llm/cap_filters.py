@@ -96,12 +96,24 @@ def product_code(count: int, dimension: int, filters: int = 20, seed: int = 7) -
     return ProductCode(rotation, books, bar, max(2, filters // 2))
 
 
-def _units(raws: list[bytes], kind: str) -> np.ndarray:
-    x = vectors.matrix(raws, kind)
+def _units(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)  # against overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _shared(lists: list[np.ndarray], before: int) -> np.ndarray:
+    """Whether two vectors have a filter in common that comes before one, for all pairs of some vectors."""
+    row = np.repeat(np.arange(len(lists)), [len(f) for f in lists])
+    every = np.concatenate(lists)
+    row, every = row[every < before], every[every < before]
+    _, which, count = np.unique(every, return_inverse=True, return_counts=True)
+    keep = count[which] > 1
+    _, which = np.unique(which[keep], return_inverse=True)
+    member = np.zeros((len(lists), int(which.max(initial=-1)) + 1), np.float32)
+    member[row[keep], which] = 1
+    return member @ member.T > 0
+
+
 def cap_links(nodes: DataFrame, kind: str, least: float = 0.9, filters: int = 20, seed: int = 7) -> DataFrame:
     """nodes: node long, raw, copies. Rows (a, b, links): an edge of a spanning forest where b is set, else ``links``
     to add to the count of node a, copies of its neighbours included."""
@@ -119,7 +131,7 @@ def cap_links(nodes: DataFrame, kind: str, least: float = 0.9, filters: int = 20
                 lists: list[np.ndarray] = [np.zeros(0, np.int64)] * len(raws)
                 for size in set(map(len, raws)):
                     own = [i for i, r in enumerate(raws) if len(r) == size]
-                    for i, found in zip(own, codes[size].decode(_units([raws[i] for i in own], kind)), strict=True):
+                    for i, found in zip(own, codes[size].decode(_units(vectors.matrix([raws[i] for i in own], kind))), strict=True):
                         lists[i] = found
                 row = np.repeat(np.arange(len(raws)), [len(f) for f in lists])
                 packed = pa.array([f.astype("<i8").tobytes() for f in lists], pa.binary())
@@ -147,42 +159,49 @@ def cap_links(nodes: DataFrame, kind: str, least: float = 0.9, filters: int = 20
         cells = "explode(transform(sequence(0, parts - 1), j -> cast(least(j, part) as long) * parts + greatest(j, part)))"
         dealt = joined.withColumn("cell", F.expr(cells)).withColumn("across", F.expr("cell div parts <> cell % parts")).drop("parts")
 
+    rows_at_once = max(256, (16 << 20) // (8 * max([b // width for b in dims], default=1)))
+
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, cap, _), rows in vectors.grouped(batches, ["size", "filter", "cell"]):
-            n = rows.num_rows
-            if n < 2:
+        for table, bounds in vectors.whole_groups(batches, ["size", "filter", "cell"], rows_at_once):
+            size = table.column("size").to_numpy()
+            cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), len(size)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # vectors of one length at a time
+                yield from block(table.slice(lo, hi - lo), bounds[(bounds >= lo) & (bounds <= hi)] - lo)
+
+    def block(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        u = _units(vectors.fixed_matrix(table.column("raw"), kind))
+        cap, part, across, node, copies = (table.column(c).to_numpy() for c in ("filter", "part", "across", "node", "copies"))
+        filters = table.column("filters")
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if hi - lo < 2:
+                continue
+            near = u[lo:hi] @ u[lo:hi].T >= least
+            if across[lo]:
+                near &= part[lo:hi, None] != part[None, lo:hi]
+            elif np.count_nonzero(near) <= hi - lo:  # each with itself
                 continue
-            u = _units(rows.column("raw").to_pylist(), kind)
-            part, across = rows.column("part").to_numpy(), rows.column("across")[0].as_py()
-            near = np.triu(u @ u.T >= least, 1)
-            if across:
-                near &= part[:, None] != part[None, :]
-            a, b = np.nonzero(near)
+            a, b = np.nonzero(np.triu(near, 1))
             if not len(a):
                 continue
-            node, copies = rows.column("node").to_numpy(), rows.column("copies").to_numpy()
-            lists = [np.frombuffer(f, "<i8") for f in rows.column("filters").to_pylist()]
-            table = np.full((n, max(map(len, lists))), -1, np.int64)
-            for i, f in enumerate(lists):
-                f = f[f < cap]
-                table[i, : len(f)] = f
-            first = np.ones(len(a), bool)
-            for lo in range(0, len(a), 4096):
-                x, y = table[a[lo : lo + 4096]], table[b[lo : lo + 4096]]
-                first[lo : lo + 4096] = ~((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any((1, 2))
-            links = np.bincount(a[first], copies[b[first]], n) + np.bincount(b[first], copies[a[first]], n)
-            label = np.arange(n)
-            _merge(label, a, b)
+            used, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+            n, x, y = len(used), at[: len(a)], at[len(a) :]
+            lists = [np.frombuffer(filters[lo + i].as_py(), "<i8") for i in used.tolist()]
+            first = ~_shared(lists, cap[lo])[x, y]  # of the filters that both have, this is the first
+            who, many = node[lo + used], copies[lo + used]
+            links = np.bincount(x[first], many[y[first]], n) + np.bincount(y[first], many[x[first]], n)
+            label = near[np.ix_(used, used)].argmax(1)  # its first neighbour; what is left is merged pair by pair
+            label = np.minimum(label, np.arange(n))
+            _merge(label, x, y)
             tied, counted = np.flatnonzero(label != np.arange(n)), np.flatnonzero(links)
-            other = pa.array(node[label[tied]])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate((node[tied], node[counted]))),
-                    pa.concat_arrays([other, pa.nulls(len(counted), pa.int64())]),
-                    pa.array(np.concatenate((np.zeros(len(tied), np.int64), links[counted].astype(np.int64)))),
-                ],
-                ["a", "b", "links"],
-            )
+            out.append((who[tied], who[label[tied]], np.zeros(len(tied), np.int64)))
+            counts.append((who[counted], links[counted].astype(np.int64)))
+        if out:
+            a = np.concatenate([o[0] for o in out] + [c[0] for c in counts])
+            b = pa.concat_arrays([pa.array(np.concatenate([o[1] for o in out])), pa.nulls(len(a) - sum(len(o[1]) for o in out), pa.int64())])
+            links = np.concatenate([o[2] for o in out] + [c[1] for c in counts])
+            yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(links)], ["a", "b", "links"])
 
     return (
         dealt.repartition("size", "filter", "cell")

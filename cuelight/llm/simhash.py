@@ -101,7 +101,12 @@ def permuted(x: np.ndarray, moves: list[tuple[int, int]]) -> np.ndarray:
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Unites the classes of a[i] and b[i]; label[x] is the smallest row of x's class."""
+    """Unites the classes of a[i] and b[i]; label[x] is then the smallest row of x's class. Labels point to smaller rows of it."""
+    while True:
+        deeper = label[label]
+        if (deeper == label).all():
+            break
+        label[:] = deeper
     while True:
         la, lb = label[a], label[b]
         differ = la != lb

@@ -77,3 +77,47 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
             held.append(batch.slice(lo, hi - lo))
     if held:
         yield now, pa.Table.from_batches(held)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about ``rows`` rows out of batches sorted by ``keys``, no group of equal keys cut in two; with each
+    table the bounds of its groups."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        edge = np.ones(table.num_rows + 1, bool)
+        edge[1:-1] = False
+        for k in keys:
+            c = table.column(k).to_numpy()
+            edge[1:-1] |= c[1:] != c[:-1]
+        return np.flatnonzero(edge)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        ends = bounds(table)
+        if len(ends) > 2:
+            yield table.slice(0, int(ends[-2])), ends[:-1]
+            table = table.slice(int(ends[-2])).combine_chunks()
+        held, count = table.to_batches(), table.num_rows
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, bounds(table)
+
+
+def fixed_matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Rows of doubles from a binary column of values of one length."""
+    values = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+    n = len(values)
+    _, offsets, data = values.buffers()
+    wide = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    ends = np.frombuffer(offsets, wide, n + 1, values.offset * np.dtype(wide).itemsize)
+    width = int(kind[2])
+    flat = np.frombuffer(data, kind, int(ends[-1] - ends[0]) // width, int(ends[0]))
+    return flat.reshape(n, -1).astype(np.float64)
