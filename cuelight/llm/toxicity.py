@@ -3,7 +3,7 @@
 p(sentence) = sigmoid(b + sum of weights of its distinct features), and a document is
 toxic if any sentence is: P(document) = 1 - prod(1 - p(sentence)), the noisy-or. The
 weights are trained from document labels alone; what they learn then locates the
-offending sentences. Features are hashed words and their beginnings of 3 to 6 bytes,
+offending sentences. Features are hashed words and their beginnings of 3 to 10 bytes,
 so that an inflected form counts with its stem, in any language.
 
 A sentence ends with a word that ends in ``.``, ``!`` or ``?``, or before a new line.
@@ -26,7 +26,7 @@ from cuelight.llm.sampling import graded_sample
 from cuelight.scratch import written
 
 BUCKETS = 1 << 20
-_STEMS = (3, 4, 5, 6)
+_STEMS = (3, 4, 5, 6, 7, 8, 9, 10)
 LEAST_DOCS, LEAST_LIFT = 4, 2.0
 _EDGE = np.zeros(256, bool)
 _EDGE[[ord(c) for c in ".,;:!?\"'()[]{}<>*_-"]] = True
@@ -101,7 +101,7 @@ def fit_mil(
     of: np.ndarray,
     bucket: np.ndarray,
     y: np.ndarray,
-    prior: float = 0.5,
+    prior: float = 0.25,
     least_docs: int = LEAST_DOCS,
     least_lift: float = LEAST_LIFT,
     l1: float = 5e-5,
@@ -111,8 +111,8 @@ def fit_mil(
 
     Noisy-or likelihood, by proximal Adam steps on whole gradients. Weights are evidence and never negative,
     so features that are not ``least_lift`` times as frequent among the toxic documents as among the others,
-    or that fewer than ``least_docs`` documents have, are left out beforehand. ``prior``: share of toxic
-    documents that the sample was drawn from. If either label is missing, all documents get its rate.
+    or that fewer than ``least_docs`` documents have, are left out beforehand. ``prior``: what the
+    toxic documents weigh together, whatever their share. If either label is missing, all documents get its rate.
     """
     n = len(y)
     if n == 0 or y.min() == y.max():
@@ -149,7 +149,7 @@ def fit_mil(
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_per_label: int = 2500) -> MilModel:
     """Fits on whole texts of at most ``most_per_label`` documents of each label. ``labels``: those to learn from."""
-    sample, totals = graded_sample(labels.where(F.col(label).isin(0, 1)), label, most_per_label)
+    sample, _ = graded_sample(labels.where(F.col(label).isin(0, 1)), label, most_per_label)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_per_lab
     of = np.frombuffer(b"".join(bytes(r["of"]) for r in rows), "<u4").astype(np.int64) + np.repeat(base[:-1], counts)
     bucket = np.frombuffer(b"".join(bytes(r["bucket"]) for r in rows), "<u4").astype(np.int64)
     y = np.array([r["grade"] for r in rows], np.int64)
-    return fit_mil(np.repeat(np.arange(len(rows)), bag), of, bucket, y, totals.get(1, 0) / max(1, sum(totals.values())))
+    return fit_mil(np.repeat(np.arange(len(rows)), bag), of, bucket, y)
 
 
 SPANS = T.ArrayType(T.StructType().add("start", "integer").add("length", "integer").add("probability", "double"))
