@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cuelight.functions import scalars as S
 from cuelight.operators import evaluation, intervals, numbering, search, segments
 from cuelight.scratch import shared_folder
-from cuelight.session import ship
+from cuelight.session import ship, spread
 from cuelight.sinks import files
 from cuelight.sinks.index_store import IndexStore
 from cuelight.sources import jsonl, media, subtitles
@@ -23,7 +23,8 @@ DELTAS = (60, 300, 900)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    read = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read) if name == "documents" else read
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -39,3 +39,12 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(str(archive))
     context._cuelight_shipped = True
     return spark
+
+
+def spread(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """A small table over all cores: a file with one row group is one task's work, however many cores there are.
+
+    Only where the files hold at most ``most_bytes``; larger tables have row groups enough and stay as they are.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most_bytes else df
