@@ -55,6 +55,11 @@ class Encoder:
         self._chunks: dict[str, bytes] = {}
         self._stems: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empties the caches, so that an idle worker holds nothing."""
+        self._chunks.clear()
+        self._stems.clear()
+
     def _model(self, word: str) -> bytes:
         known = self._stems.get(word)
         if known is None:
