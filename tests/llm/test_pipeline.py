@@ -43,3 +43,17 @@ def test_an_empty_table_goes_through(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, data)
         assert docs.count() == 0
+
+
+def test_nulls_and_repeated_rows_go_through(spark, data, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "of the and that", None, None, 3), (3, "one two three four five six", "en", "a", 1),
+            (3, "one two three four five six", "en", "a", 1), (4, "one  two three\nfour five SIX", "en", "b", 1), (5, "word " * 40_000, "en", "b", 1)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, counts = spark.createDataFrame(rows, kinds), []
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        counts.append(docs.count())
+        if number == 2:
+            assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1, 3, 5]
+    assert counts[:3] == [7, 7, 4] and counts[4] >= counts[3] > 0
