@@ -6,8 +6,8 @@ over bitsets finds the fullest combination of available lengths that holds the l
 taken out as often as the counts allow, so that at least one length runs out each time and there are
 at most ``capacity`` kinds of bins, whatever the corpus. The plan is made on the driver.
 
-Pieces of a length are numbered without sorting a length in one place: counts of salted groups are
-summed up, and each group numbers its own. A number then tells the sequence and the place in it.
+Pieces of a length are numbered without sorting a length in one place: they are dealt to salted groups of
+some ``_GROUP_ROWS``, counts of groups are summed up, and each group numbers its own. A number then tells the sequence and the place in it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from cuelight.scratch import written
 from cuelight.llm.tokens import Encoder, public_path
 
 CAPACITY = 2048
-_GROUP_ROWS = 20_000
+_GROUP_ROWS = 512
 _encoders: dict[str, Encoder] = {}
 
 
@@ -145,8 +145,10 @@ def pack(
     histogram = cut.groupBy("length").count().collect()  # at most ``capacity`` rows
     counts = {r["length"]: r["count"] for r in histogram}
     plan = minimum_bin_slack(counts, capacity)
-    salts = max(1, sum(counts.values()) // _GROUP_ROWS)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    # A length has as many groups as its pieces ask for; the table has a row for each length.
+    salts = docs.sparkSession.createDataFrame([(k, n // _GROUP_ROWS + 1) for k, n in counts.items()], "length long, salts long")
+    salted = cut.join(F.broadcast(salts), "length")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts").select(*cut.columns, "salt")
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = groups.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
