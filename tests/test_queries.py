@@ -6,14 +6,24 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cuelight import queries
 
 
+def value(v):
+    """Missing values as None, whole numbers as ints (nulls make pandas hold them as floats), others to six places."""
+    if pd.isna(v):
+        return None
+    if isinstance(v, float):
+        return int(v) if v.is_integer() else round(v, 6)
+    return v
+
+
 def plain(frame):
     frame = frame[sorted(frame.columns)]
-    rows = [tuple(None if v is None or v != v else round(v, 6) if isinstance(v, float) else v for v in r) for r in frame.itertuples(index=False)]
+    rows = [tuple(map(value, r)) for r in frame.itertuples(index=False)]
     return list(frame.columns), sorted(rows, key=repr)
 
 
