@@ -12,16 +12,16 @@ that meets under several filters counts under the first both have. Equal vectors
 node with a count. Sums of links and a spanning forest of each bucket come out of a
 task, never pairs, and a bucket over ``CELL`` vectors is dealt as pairs of its parts.
 
-Threshold and number of filters follow the number of vectors, so that a bucket stays
-about as large at any size.
+The threshold is the height of a cap that holds the vectors aimed at. The more vectors, the
+narrower the caps, and the fewer of them two near vectors share: filters and bucket sizes grow
+until planted pairs at the least cosine meet often enough, by trial on the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, log, sqrt
-from statistics import NormalDist
+from math import ceil, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,8 @@ from cuelight.llm.simhash import _merge
 
 CELL = 2048
 _BUCKET_AIM = 48
-_CODEBOOK = 192  # codewords of a block at most
+_CODEBOOK = 256  # codewords of a block at most
+_PLANTED, _MEET = 4096, 0.96  # pairs to try a code with, and the share of them that must meet
 
 
 @dataclass
@@ -80,11 +81,19 @@ class ProductCode:
         return out
 
 
-def product_code(count: int, dimension: int, filters: int = 20, seed: int = 7) -> ProductCode:
-    """A code for ``count`` vectors: about ``filters`` caps over each, about ``_BUCKET_AIM`` vectors under each."""
+def cap_height(share: float, dimension: int) -> float:
+    """The inner product that a ``share`` of the unit sphere exceeds with any one direction."""
+    angle = np.linspace(0, pi, 100_001)
+    density = np.sin(angle) ** (max(dimension, 2) - 2)
+    below = np.concatenate(([0.0], np.cumsum(density[1:] + density[:-1])))
+    return float(np.cos(np.interp(share, below / below[-1], angle)))
+
+
+def _code(count: int, dimension: int, filters: int, aim: int, seed: int) -> ProductCode:
+    """About ``filters`` caps over each of ``count`` vectors, about ``aim`` vectors under each."""
     rng = np.random.default_rng([seed, dimension])
     rotation = np.linalg.qr(rng.standard_normal((dimension, dimension)))[0]
-    share = min(0.25, _BUCKET_AIM / max(count, 1))
+    share = min(0.25, aim / max(count, 1))
     total = max(1.0, filters / share)
     blocks = min(dimension, max(1, ceil(log(total) / log(_CODEBOOK))))
     size = max(2, round(total ** (1 / blocks)))
@@ -92,8 +101,35 @@ def product_code(count: int, dimension: int, filters: int = 20, seed: int = 7) -
     for width in [dimension // blocks + (i < dimension % blocks) for i in range(blocks)]:
         book = rng.standard_normal((size, width))
         books.append(book / np.linalg.norm(book, axis=1, keepdims=True) * sqrt(width / dimension))
-    bar = NormalDist().inv_cdf(1 - share) / sqrt(dimension)
-    return ProductCode(rotation, books, bar, max(2, filters // 2))
+    return ProductCode(rotation, books, cap_height(share, dimension), max(2, filters // 2))
+
+
+def planted_recall(code: ProductCode, dimension: int, least: float, pairs: int = _PLANTED, seed: int = 1) -> float:
+    """The share of random pairs of cosine ``least`` that meet under a filter."""
+    rng = np.random.default_rng([seed, dimension])
+    x = rng.standard_normal((pairs, dimension))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((pairs, dimension))
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)  # in one dimension nothing is left
+    y = least * x + sqrt(max(0.0, 1 - least * least)) * z
+    met = 0
+    for lo in range(0, pairs, 128):
+        both = zip(code.decode(x[lo : lo + 128]), code.decode(_units(y[lo : lo + 128])), strict=True)
+        met += sum(len(np.intersect1d(a, b)) > 0 for a, b in both)
+    return met / pairs
+
+
+def product_code(count: int, dimension: int, filters: int = 20, seed: int = 7, least: float = 0.9) -> ProductCode:
+    """A code for ``count`` vectors: ``filters`` caps over each and ``_BUCKET_AIM`` vectors under each, more of
+    both until pairs of cosine ``least`` meet often enough. Where that is no less than all pairs, one cap is over all."""
+    aim = _BUCKET_AIM
+    while filters * aim < count:
+        code = _code(count, dimension, filters, aim, seed)
+        if planted_recall(code, dimension, least) >= _MEET:
+            return code
+        filters, aim = ceil(filters * 1.25), min(CELL // 2, aim * 3 // 2)
+    return ProductCode(np.eye(dimension), [np.zeros((1, dimension))], -1.0, 1)
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -121,7 +157,7 @@ def cap_links(nodes: DataFrame, kind: str, least: float = 0.9, filters: int = 20
     if len(dims) > 4096:
         raise ValueError("more than 4096 different numbers of components")
     width = int(kind[2])
-    codes = {bytes_: product_code(n, bytes_ // width, filters, seed) for bytes_, n in dims.items()}
+    codes = {bytes_: product_code(n, bytes_ // width, filters, seed, least) for bytes_, n in dims.items()}
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -150,3 +150,32 @@ def test_decoding_is_complete():
     for i, filters in enumerate(code.decode(u)):
         over = np.flatnonzero(sums[i] >= code.threshold)
         assert set(over) <= set(filters.tolist()) and (len(over) == len(filters) or len(filters) == code.fewest)
+
+
+@pytest.mark.parametrize("count", [10**4, 10**6, 10**8])
+def test_caps_recall_of_planted_pairs(count):
+    """Pairs at the least cosine meet as often in a large table, for pairs other than those the code was tried with."""
+    code = cap_filters.product_code(count, 64)
+    rng = np.random.default_rng(5)
+    x, z = rng.standard_normal((2, 2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(code.decode(x), code.decode(y), strict=True)]
+    assert np.mean(met) >= 0.945  # 0.95 is meant; 0.005 for the chance in 2,000 pairs
+
+
+def test_cap_height():
+    rng = np.random.default_rng(6)
+    for dimension in (1, 2, 3, 64):
+        u = rng.standard_normal((100_000, dimension))
+        first = np.abs(u[:, 0]) / np.linalg.norm(u, axis=1)  # both caps
+        for share in (0.01, 0.2):
+            if dimension > 1:
+                assert abs((first >= cap_filters.cap_height(share, dimension)).mean() / 2 - share) < 0.05 * share
+
+
+def test_one_cap_is_over_all_where_filters_cannot_help():
+    code = cap_filters.product_code(3000, 8, least=0.01)
+    u = np.random.default_rng(7).standard_normal((50, 8))
+    assert [f.tolist() for f in code.decode(u / np.linalg.norm(u, axis=1, keepdims=True))] == [[0]] * 50
