@@ -47,10 +47,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query"), _points("item_id").alias("timestamp_points")
-    )
+def questions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Questions of the first 80 characters, as the SQL of the older queries fixes, or of whole texts."""
+    text = F.col("text") if whole else F.substring("text", 1, 80)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"), _points("item_id").alias("timestamp_points"))
 
 
 def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -70,9 +70,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _index(spark: SparkSession, sf_dir: str) -> search.TextIndex:
+def _index(spark: SparkSession, sf_dir: str, whole: bool = False) -> search.TextIndex:
     rows = segments.record_segments(records(spark, sf_dir)).withColumn("doc", F.col("sample_index"))
-    return search.build_index(rows, "doc", vocabulary=search.terms_of(questions(spark, sf_dir)))
+    return search.build_index(rows, "doc", vocabulary=search.terms_of(questions(spark, sf_dir, whole)))
 
 
 def mention_candidates(spark, sf_dir):
@@ -153,10 +153,10 @@ def index_documents(spark, sf_dir):
     return store.documents("i").select("segment_id", "sample_index", "video_name")
 
 
-def eval_rows(spark, sf_dir):
+def eval_rows(spark, sf_dir, whole=False):
     """What an evaluation writes for each question, candidates in order."""
-    asked = questions(spark, sf_dir)
-    found = search.candidates(_index(spark, sf_dir), asked, 5)
+    asked = questions(spark, sf_dir, whole)
+    found = search.candidates(_index(spark, sf_dir, whole), asked, 5)
     rows = evaluation.with_candidates(evaluation.evaluate(asked, found, DELTAS), found)
     listed = F.array_join(F.transform("topk_candidates", lambda c: F.concat_ws(":", c["rank"].cast("string"), c.sample_id)), ",")
     return rows.select("query_id", F.size("timestamp_points").cast("long").alias("n_points"), F.size("topk_candidates").cast("long").alias("n_candidates"), listed.alias("candidates"))
@@ -253,33 +253,33 @@ def align_summary(spark, sf_dir):
     return intervals.align_summary(intervals.align(windows(spark, sf_dir), frames(spark, sf_dir), 2.0), 2.0)
 
 
-def search_topk(spark, sf_dir):
-    found = search.search(_index(spark, sf_dir), questions(spark, sf_dir), 5)
+def search_topk(spark, sf_dir, whole=False):
+    found = search.search(_index(spark, sf_dir, whole), questions(spark, sf_dir, whole), 5)
     return found.select("query_id", "rank", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-def search_candidates(spark, sf_dir):
-    found = search.candidates(_index(spark, sf_dir), questions(spark, sf_dir), 5)
+def search_candidates(spark, sf_dir, whole=False):
+    found = search.candidates(_index(spark, sf_dir, whole), questions(spark, sf_dir, whole), 5)
     return found.select("query_id", "rank", "segment_id", "video_id", "timestamp_center", F.md5("transcript_excerpt").alias("excerpt_md5"))
 
 
-def abs_errors(spark, sf_dir):
-    asked = questions(spark, sf_dir)
-    return evaluation.absolute_errors(asked, search.candidates(_index(spark, sf_dir), asked, 5))
+def abs_errors(spark, sf_dir, whole=False):
+    asked = questions(spark, sf_dir, whole)
+    return evaluation.absolute_errors(asked, search.candidates(_index(spark, sf_dir, whole), asked, 5))
 
 
-def _evaluated(spark, sf_dir) -> DataFrame:
-    asked = questions(spark, sf_dir)
-    return evaluation.evaluate(asked, search.candidates(_index(spark, sf_dir), asked, 5), DELTAS)
+def _evaluated(spark, sf_dir, whole=False) -> DataFrame:
+    asked = questions(spark, sf_dir, whole)
+    return evaluation.evaluate(asked, search.candidates(_index(spark, sf_dir, whole), asked, 5), DELTAS)
 
 
-def eval_per_query(spark, sf_dir):
+def eval_per_query(spark, sf_dir, whole=False):
     hit = lambda d: F.col("hit_by_delta")[F.lit(d)].alias(f"hit_{d}")
-    return _evaluated(spark, sf_dir).select("query_id", "best_abs_error", "top_candidate_sample_id", *map(hit, DELTAS))
+    return _evaluated(spark, sf_dir, whole).select("query_id", "best_abs_error", "top_candidate_sample_id", *map(hit, DELTAS))
 
 
-def eval_summary(spark, sf_dir):
-    return evaluation.summarize(_evaluated(spark, sf_dir), DELTAS)
+def eval_summary(spark, sf_dir, whole=False):
+    return evaluation.summarize(_evaluated(spark, sf_dir, whole), DELTAS)
 
 
 def upsert_last_wins(spark, sf_dir):
@@ -329,6 +329,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+
+def _whole(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(spark, sf_dir, whole=True)
+
+
+SEARCHES = (search_topk, search_candidates, abs_errors, eval_rows, eval_per_query, eval_summary)
+QUERIES |= {f"{f.__name__}_whole": _whole(f) for f in SEARCHES}
+
 _HINTS = ", ".join(f"'{h}'" for h in S.DEICTIC_HINTS)
 
 
@@ -504,3 +512,5 @@ SQL: dict[str, str] = {
         WHERE doc_id % 5 <> 0 ORDER BY timestamp_center DESC, doc_id LIMIT 20""",
     "windowed_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
+_CUT = "lower(substr(text, 1, 80))"
+SQL |= {f"{f.__name__}_whole": SQL[f.__name__].replace(_CUT, "lower(text)") for f in SEARCHES}

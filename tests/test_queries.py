@@ -45,3 +45,15 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 40
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_questions(spark, data):
+    """Whole texts of questions are searched, by the entry too."""
+    import __spark_entry__
+
+    assert [len(r.query) for r in queries.questions(spark, data, whole=True).collect()] == [
+        len(r.text) for r in queries.table(spark, data, "benchmark").collect()
+    ]
+    for f in queries.SEARCHES:
+        assert "substr(text, 1, 80)" not in queries.SQL[f"{f.__name__}_whole"]
+    assert plain(__spark_entry__.entry(spark).toPandas()) == plain(run_sql(data, queries.SQL["eval_per_query_whole"]))
