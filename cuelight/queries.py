@@ -83,6 +83,11 @@ def slugify(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.slugify(F.substring("text", 1, 80)).alias("slug"))
 
 
+def slugify_whole(spark, sf_dir):
+    """Slugs of whole texts, by their MD5."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(S.slugify(F.col("text"))).alias("slug_md5"))
+
+
 def excerpt(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.excerpt(F.col("text")).alias("excerpt"))
 
@@ -110,19 +115,29 @@ def transcript_source(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.transcript_source(asked, path).alias("transcript_source"))
 
 
-def record_coerce(spark, sf_dir):
+def _coerced(spark, sf_dir, *texts: Column) -> DataFrame:
     """Records written as JSON with texts for numbers, missing keys and nulls, and read back."""
     docs = table(spark, sf_dir, "documents")
     points = F.transform(_points("doc_id"), lambda p: p.cast("string"))
     row = F.struct(
         F.col("source").alias("video_name"), F.col("doc_id").cast("string").alias("sample_index"),
-        F.concat_ws("/", "source", "doc_id").alias("sample_id"), F.substring("text", 1, 60).alias("question"), points.alias("timestamp_points"),
+        F.concat_ws("/", "source", "doc_id").alias("sample_id"), *texts, points.alias("timestamp_points"),
         F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("qid"),
     )
-    made = jsonl.coerce_records(docs.select(F.parse_json(F.to_json(row)).alias("v")))
+    return jsonl.coerce_records(docs.select(F.parse_json(F.to_json(row)).alias("v")))
+
+
+def record_coerce(spark, sf_dir):
+    made = _coerced(spark, sf_dir, F.substring("text", 1, 60).alias("question"))
     return made.select("sample_index", "sample_id", "video_name", "question", "answer", F.size("timestamp_points").cast("long").alias("n_points"), "has_timestamp", "qid")
 
 
+def record_coerce_whole(spark, sf_dir):
+    """Whole texts as question and transcript_text, by their MD5."""
+    made = _coerced(spark, sf_dir, F.col("text").alias("question"), F.col("text").alias("transcript_text"))
+    return made.select("sample_index", F.md5("question").alias("question_md5"), F.md5("transcript_text").alias("transcript_md5"), F.size("timestamp_points").cast("long").alias("n_points"))
+
+
 def jsonl_scan(spark, sf_dir):
     """Documents written as JSON lines and read back as open rows, keys in any order."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("lang"))
@@ -321,7 +336,7 @@ def windowed_counts(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        mention_candidates, slugify, excerpt, text_functions, number_functions, transcript_source, record_coerce, record_segments,
+        mention_candidates, slugify, slugify_whole, excerpt, text_functions, number_functions, transcript_source, record_coerce, record_coerce_whole, record_segments,
         jsonl_scan, records_by_id, index_documents, eval_rows, time_and_delta_functions, variant_numbers,
         srt_roundtrip, cue_segments, stt_normalize, frame_grid, segment_window, interval_align, interval_align_theta, align_summary,
         search_topk, search_candidates, abs_errors, eval_per_query, eval_summary, upsert_last_wins, prefix_limit, batch_assign,
@@ -397,6 +412,7 @@ _BEST = f"""{_ERRORS},
 SQL: dict[str, str] = {
     "mention_candidates": f"SELECT doc_id, {_sql_mentions('text')} AS mentions FROM documents",
     "slugify": f"SELECT doc_id, {_sql_slug('substr(text, 1, 80)')} AS slug FROM documents",
+    "slugify_whole": f"SELECT doc_id, md5({_sql_slug('text')}) AS slug_md5 FROM documents",
     "excerpt": "SELECT doc_id, CASE WHEN length(text) > 360 THEN substr(text, 1, 360) || '...' ELSE text END AS excerpt FROM documents",
     "text_functions": f"""
         SELECT page_id, {_SPACED.format("html")} AS collapsed, {_STEM.format("url")} AS stem, {_sql_slug(_STEM.format("url"))} AS video_id
@@ -415,6 +431,10 @@ SQL: dict[str, str] = {
                '' AS answer, (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END)::BIGINT AS n_points, doc_id % 5 <> 0 AS has_timestamp,
                CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR END AS qid
         FROM documents""",
+    "record_coerce_whole": """
+        SELECT doc_id AS sample_index, md5(text) AS question_md5, md5(text) AS transcript_md5,
+               (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END)::BIGINT AS n_points
+        FROM documents""",
     "jsonl_scan": """
         SELECT doc_id, md5(text) AS text_md5, CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS lang, doc_id % 3 <> 0 AS is_null
         FROM documents""",
