@@ -6,8 +6,8 @@ last return the columns of ``documents``; the last returns the packed pieces.
 Nulls pass through as each operator defines it: a null text is an empty one to the classifiers, the fingerprints (all
 texts without a word are copies of each other), the mixture (no words) and the packing (one separator); a null source is a
 source; a document without an id has no name to be told apart by, so near-duplicate removal keeps it. Without labels the
-classifiers keep everything. Rows that repeat an id are one document to near-duplicate removal and rows of their own before
-and after. Empty tables give empty tables.
+classifiers keep everything. Rows that repeat an id are one document to near-duplicate removal where their texts are near
+copies, else each is told apart by its fingerprint, and rows of their own before and after. Empty tables give empty tables.
 """
 
 from __future__ import annotations

@@ -249,6 +249,19 @@ def trie_links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
     )
 
 
+def _classes(docs: DataFrame, shingle: int, max_bits: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row of ``docs``; and (fp, class, component_id), the class named by one of its fingerprints."""
+    rows = written(fingerprints(docs, shingle, seed))
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = written(connected_components(trie_links(nodes.select("fp"), max_bits)))
+    named = roots.join(nodes, roots.node == nodes.fp).groupBy("root").agg(F.min("first_id").alias("component_id"))
+    inside = roots.join(named, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    label = nodes.join(inside, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("class"), F.coalesce("component_id", "first_id").alias("component_id")
+    )
+    return rows, written(label)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -257,24 +270,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed:
     with each other. Rows that repeat a doc_id are rows of their own; rows without a doc_id link as any
     other does but never give their class its id. An empty table gives an empty result.
     """
-    rows = written(fingerprints(docs, shingle, seed))
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = written(connected_components(trie_links(nodes.select("fp"), max_bits)))
-    named = roots.join(nodes, roots.node == nodes.fp).groupBy("root").agg(F.min("first_id").alias("component_id"))
-    inside = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    label = written(
-        nodes.join(inside, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    )
+    rows, label = _classes(docs, shingle, max_bits, seed)
     return rows.join(label, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def representatives(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed: int = 42) -> DataFrame:
-    """One row of ``docs`` for each class: that of the smallest doc_id (of rows that repeat it, any one).
+    """One row of ``docs`` for each class: that of the smallest doc_id. Of rows that repeat it, one of the smallest
+    fingerprint; where they are in several classes, one in each whose smallest doc_id it is.
 
     Rows without a doc_id have no name to be told apart by; they are all kept.
     """
-    kept = near_duplicates(docs, shingle, max_bits, seed).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rows, label = _classes(docs, shingle, max_bits, seed)
+    own = rows.join(label, "fp").where("doc_id = component_id")
+    chosen = written(own.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("_fp")))
+    spread = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    several = written(spread.where("lo <> hi").select("doc_id"))
+    single = chosen.join(several, "doc_id", "left_anti").select("doc_id")
+    kept = docs.join(single, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    if not several.isEmpty():  # ids of different texts: by fingerprint too
+        named = docs.join(chosen.join(several, "doc_id", "left_semi"), "doc_id", "left_semi")
+        named = named.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
+        marks = fingerprints(named.select(F.col("_text").alias("doc_id"), "text"), shingle, seed).distinct()
+        named = named.join(marks.toDF("_text", "_fp"), "_text").join(chosen, ["doc_id", "_fp"], "left_semi")
+        kept = kept.unionByName(named.dropDuplicates(["doc_id", "_fp"]).select(*docs.columns))
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -179,3 +179,10 @@ def test_one_cap_is_over_all_where_filters_cannot_help():
     code = cap_filters.product_code(3000, 8, least=0.01)
     u = np.random.default_rng(7).standard_normal((50, 8))
     assert [f.tolist() for f in code.decode(u / np.linalg.norm(u, axis=1, keepdims=True))] == [[0]] * 50
+
+
+def test_representatives_of_ids_with_several_texts(spark):
+    x, y, z = ("alpha beta gamma delta epsilon", "one two three four five", "red green blue white black")
+    rows = [(5, x, "a"), (5, y, "b"), (5, z, "c"), (2, y, "d"), (5, z + " ", "e"), (7, x, "f")]
+    kept = simhash.representatives(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.text.strip()) for r in kept) == [(2, y), (5, x), (5, z)]
