@@ -48,9 +48,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs token pieces of the mixture, each copy of a document for itself."""
+    """Packs token pieces of the mixture, each copy of a document for itself, with their ids."""
     ship(spark)
-    return packing.pack(docs, capacity=packing.CAPACITY)
+    return packing.pack(docs, capacity=packing.CAPACITY, with_ids=True)
 
 
 STAGES = [

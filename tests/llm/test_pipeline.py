@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+
 import corpus_pipeline
 from cuelight.llm import quality, toxicity
 from tests.llm import plain
@@ -57,3 +61,11 @@ def test_nulls_and_repeated_rows_go_through(spark, data, tmp_path):
         if number == 2:
             assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1, 3, 5]
     assert counts[:3] == [7, 7, 4] and counts[4] >= counts[3] > 0
+
+
+def test_the_last_stage_holds_the_token_ids(spark, data):
+    docs = spark.createDataFrame([(1, "some words", "a"), (2, None, "a"), (3, "word " * 5000, "b")], "doc_id long, text string, source string")
+    packed = corpus_pipeline.pack_sequences(spark, docs, data).collect()
+    assert len(packed) > 3
+    for r in packed:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
