@@ -25,8 +25,15 @@ def session(master: str | None = None, app: str = "cuelight", **conf: str) -> Sp
     return builder.config(map=settings | conf).getOrCreate()
 
 
+_BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once for a context, so that Python workers can import it."""
+    """Sends this package to the executors, once for a context, so that Python workers can import it.
+
+    Arrow batches are bounded by bytes as well as rows: what a worker holds then does not grow with the length of texts.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_cuelight_shipped", False):
         return spark
