@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
@@ -33,8 +33,8 @@ class Texts:
         return self.hi - self.lo
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
-    """Cuts a string column into runs of whole texts of about ``limit`` bytes.
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int | None = None) -> Iterator[Texts]:
+    """Cuts a string column into runs of whole texts of about ``limit`` bytes, and of at most ``rows`` texts.
 
     A text longer than that comes alone. Null counts as empty.
     """
@@ -53,7 +53,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), n, lo + (rows or n))
         yield Texts(lo, hi, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 
@@ -120,7 +120,13 @@ class SpanHash:
     def __init__(self, data: np.ndarray) -> None:
         up, self._down = powers(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self._sums[1:])
+        for lo in range(0, len(data), SLICE_BYTES):  # a long text a part at a time
+            hi = min(len(data), lo + SLICE_BYTES)
+            part = data[lo:hi].astype(np.uint64)
+            part += np.uint64(1)
+            part *= up[lo:hi]
+            np.cumsum(part, out=self._sums[lo + 1 : hi + 1])
+            self._sums[lo + 1 : hi + 1] += self._sums[lo]
 
     def __call__(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
         h = (self._sums[end] - self._sums[start]) * self._down[start]

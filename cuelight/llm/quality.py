@@ -28,8 +28,11 @@ BUCKETS = 1 << 12
 _SHAPES, _WORDS = 2048, 1024  # then: repeated words, length bands
 
 
+SLICE_ROWS = 256  # texts whose counts of all buckets are held at a time
+
+
 def _classes() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint64)
+    table = np.arange(256, dtype=np.uint32)
     table[ord("a") : ord("z") + 1] = ord("a")
     table[ord("A") : ord("Z") + 1] = ord("A")
     table[ord("0") : ord("9") + 1] = ord("0")
@@ -44,34 +47,25 @@ _CLASS = _classes()
 def features(texts: _text.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, bucket, value) of the non-zero features, sorted by document."""
     data, ends, n = texts.data, texts.ends, texts.count
-    shape = _CLASS[data]
-    docs = np.repeat(np.arange(n), np.diff(ends))
-    keys, sizes = [], []
-    if len(data) > 2:
-        tri = shape[:-2] << np.uint64(16) | shape[1:-1] << np.uint64(8) | shape[2:]
-        inside = docs[:-2] == docs[2:]
-        bucket = (_text.mix(tri) % np.uint64(_SHAPES)).astype(np.int64)
-        keys.append(docs[:-2][inside] * BUCKETS + bucket[inside])
+    dense = np.zeros(n * BUCKETS, np.int64)
+    docs = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))
+    for lo in range(0, len(data) - 2, _text.SLICE_BYTES):  # a long text a part at a time
+        hi = min(len(data), lo + _text.SLICE_BYTES + 2)
+        shape = _CLASS[data[lo:hi]]
+        inside = docs[lo : hi - 2] == docs[lo + 2 : hi]
+        tri = (shape[:-2] << np.uint32(16) | shape[1:-1] << np.uint32(8) | shape[2:])[inside]
+        bucket = (_text.mix(tri.astype(np.uint64)) % np.uint64(_SHAPES)).astype(np.int64)
+        dense += np.bincount(docs[lo : hi - 2][inside] * np.int64(BUCKETS) + bucket, minlength=len(dense))
     words = _text.words(_text.Texts(0, n, data, ends))
     h = _text.SpanHash(_text.lower_latin(data))(words.start, words.end)
-    keys.append(words.doc * BUCKETS + _SHAPES + (h % np.uint64(_WORDS)).astype(np.int64))
     again = (h[1:] == h[:-1]) & (words.doc[1:] == words.doc[:-1])
-    keys.append(words.doc[1:][again] * BUCKETS + _SHAPES + _WORDS)
-    key = np.concatenate(keys)
-    out_key, out_value = [], []
-    block = 1024
-    for lo in range(0, n, block):
-        hi = min(n, lo + block)
-        own = key[(key >= lo * BUCKETS) & (key < hi * BUCKETS)] - lo * BUCKETS if n > block else key
-        dense = np.bincount(own, minlength=(hi - lo) * BUCKETS)
-        at = np.flatnonzero(dense)
-        out_key.append(at + lo * BUCKETS)
-        out_value.append(dense[at])
-    at, value = np.concatenate(out_key), np.concatenate(out_value).astype(np.float64)
-    doc, bucket = at // BUCKETS, at % BUCKETS
-    sizes = np.maximum(np.diff(words.bounds), 1).astype(np.float64)
-    value = np.sqrt(value / np.where(bucket < _SHAPES, np.maximum(np.diff(ends), 1)[doc], sizes[doc]))
-    band = _SHAPES + _WORDS + 1 + np.minimum(np.log2(np.diff(words.bounds) + 1).astype(np.int64), 30)
+    key = np.concatenate((words.doc * BUCKETS + _SHAPES + (h % np.uint64(_WORDS)).astype(np.int64), words.doc[1:][again] * BUCKETS + _SHAPES + _WORDS))
+    dense += np.bincount(key, minlength=len(dense))
+    at = np.flatnonzero(dense)
+    value, doc, bucket = dense[at].astype(np.float64), at // BUCKETS, at % BUCKETS
+    count = np.diff(words.bounds)
+    value = np.sqrt(value / np.where(bucket < _SHAPES, np.maximum(np.diff(ends), 1)[doc], np.maximum(count, 1)[doc]))
+    band = _SHAPES + _WORDS + 1 + np.minimum(np.log2(count + 1).astype(np.int64), 30)
     doc, bucket = np.concatenate((doc, np.arange(n))), np.concatenate((bucket, band))
     value = np.concatenate((value, np.full(n, 0.3)))
     order = np.argsort(doc, kind="stable")
@@ -135,12 +129,15 @@ def fit_ordinal(
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", most_per_grade: int = 1500) -> OrdinalModel:
-    """Fits on at most ``most_per_grade`` labelled whole texts of each grade. No label at all: every text gets grade 0."""
+    """Fits on at most ``most_per_grade`` labelled whole texts of each grade. No label at all: every text gets grade 0.
+
+    Of rows that repeat an id the first text in byte order counts, so that the fit does not depend on the order of rows.
+    """
     sample, _ = graded_sample(labels, grade, most_per_grade)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _text.slices(batch.column("text")):
+            for part in _text.slices(batch.column("text"), rows=SLICE_ROWS):
                 doc, bucket, value = features(part)
                 bounds = np.searchsorted(doc, np.arange(part.count + 1))
                 cells = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -156,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", most_per_g
     # The sample has a proven bound: grades times most_per_grade.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = (
-        texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("grade", "text")
+        texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("grade", "text")
         .mapInArrow(vectors, "grade int, bucket binary, value binary").collect()
     )
     rows.sort(key=lambda r: (r["grade"], bytes(r["bucket"]), bytes(r["value"])))
@@ -180,7 +177,7 @@ def score(docs: DataFrame, model: OrdinalModel, carry: list[str] | None = None)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _text.slices(batch.column("text")):
+            for part in _text.slices(batch.column("text"), rows=SLICE_ROWS):
                 doc, bucket, value = features(part)
                 z = np.bincount(doc, model.weights[bucket] * value, part.count)
                 tails = model.tails(z)
@@ -194,11 +191,21 @@ def score(docs: DataFrame, model: OrdinalModel, carry: list[str] | None = None)
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose chance to be above the lowest grade is at least ``least``, columns as they were.
+    """The rows of ``docs`` whose chance to be above the lowest grade is at least ``least``, as they were: only texts
+    go to Python and only verdicts come back, so columns of any name and type stay untouched.
 
     A model of fewer than two grades keeps all rows.
     """
     if len(model.grades) < 2:
         return docs
-    marked = score(docs, model)
-    return marked.where(F.element_at("tail_probability", 1) >= least).select(*docs.columns)
+
+    def verdicts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            good = np.zeros(len(column), bool)
+            for part in _text.slices(column, rows=SLICE_ROWS):
+                doc, bucket, value = features(part)
+                tails = model.tails(np.bincount(doc, model.weights[bucket] * value, part.count))
+                good[part.lo : part.hi] = tails[:, 0] >= least
+            yield pa.array(good)
+
+    return docs.where(F.arrow_udf(verdicts, "boolean")(F.col("text").cast("string")))

@@ -49,7 +49,7 @@ def sentences(texts: _text.Texts) -> Sentences:
         none = np.zeros(0, np.int64)
         return Sentences(none, none, none, none, none)
     last = data[words.end - 1]
-    lines = np.concatenate(([0], np.cumsum(data == 10)))[words.start]
+    lines = np.concatenate(([0], np.cumsum(data == 10, dtype=np.int32)))[words.start]
     opens = np.ones(n, bool)
     opens[1:] = (words.doc[1:] != words.doc[:-1]) | np.isin(last[:-1], (33, 46, 63)) | (lines[1:] != lines[:-1])
     number = np.cumsum(opens) - 1
@@ -96,6 +96,11 @@ def _sentence_logits(s: Sentences, table: np.ndarray, bias: float) -> np.ndarray
     return bias + np.bincount(key // BUCKETS, table[key % BUCKETS], len(s.doc))
 
 
+def _noisy_or(s: Sentences, z: np.ndarray, docs: int) -> np.ndarray:
+    """P(any sentence is toxic) of each document; 0 without a sentence."""
+    return -np.expm1(-np.bincount(s.doc, _softplus(z), docs))
+
+
 def fit_mil(
     doc: np.ndarray,
     of: np.ndarray,
@@ -148,7 +153,10 @@ def fit_mil(
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_per_label: int = 2500) -> MilModel:
-    """Fits on whole texts of at most ``most_per_label`` documents of each label. ``labels``: those to learn from."""
+    """Fits on whole texts of at most ``most_per_label`` documents of each label. ``labels``: those to learn from.
+
+    Of rows that repeat an id the first text in byte order counts, so that the fit does not depend on the order of rows.
+    """
     sample, _ = graded_sample(labels.where(F.col(label).isin(0, 1)), label, most_per_label)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_per_lab
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The sample has a proven bound: two labels times most_per_label.
     table = written(
-        texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("grade", "text")
+        texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("grade", "text")
         .mapInArrow(bags, "grade int, sentences int, of array<int>, bucket array<int>")
     )
     n, toxic = table.agg(F.count("*"), F.coalesce(F.sum("grade"), F.lit(0))).first()
@@ -228,7 +236,7 @@ def score(docs: DataFrame, model: MilModel, carry: list[str] | None = None, offe
             for part in _text.slices(batch.column("text")):
                 s = sentences(part)
                 z = _sentence_logits(s, table, model.bias)
-                chance = -np.expm1(-np.bincount(s.doc, _softplus(z), part.count))
+                chance = _noisy_or(s, z, part.count)
                 p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
                 spans: list[list[dict]] = [[] for _ in range(part.count)]
                 hot = np.flatnonzero(p >= offending)
@@ -245,5 +253,17 @@ def score(docs: DataFrame, model: MilModel, carry: list[str] | None = None, offe
 
 
 def keep_clean(docs: DataFrame, model: MilModel, most: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` of a toxicity under ``most``, columns as they were."""
-    return score(docs, model).where(F.col("toxicity") < most).select(*docs.columns)
+    """The rows of ``docs`` of a toxicity under ``most``, as they were: only texts go to Python and only verdicts come
+    back, so columns of any name and type stay untouched."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS
+
+    def verdicts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = sent.value.table()
+        for column in columns:
+            clean = np.zeros(len(column), bool)
+            for part in _text.slices(column):
+                s = sentences(part)
+                clean[part.lo : part.hi] = _noisy_or(s, _sentence_logits(s, table, sent.value.bias), part.count) < most
+            yield pa.array(clean)
+
+    return docs.where(F.arrow_udf(verdicts, "boolean")(F.col("text").cast("string")))
