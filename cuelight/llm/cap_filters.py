@@ -150,12 +150,16 @@ def _shared(lists: list[np.ndarray], before: int) -> np.ndarray:
     return member @ member.T > 0
 
 
-def cap_links(nodes: DataFrame, kind: str, least: float = 0.9, filters: int = 20, seed: int = 7) -> DataFrame:
+def cap_links(nodes: DataFrame, kind: str, least: float = 0.9, filters: int = 20, seed: int = 7, max_lengths: int = 4096) -> DataFrame:
     """nodes: node long, raw, copies. Rows (a, b, links): an edge of a spanning forest where b is set, else ``links``
-    to add to the count of node a, copies of its neighbours included."""
-    dims = {r[0]: r[1] for r in nodes.groupBy(F.octet_length("raw")).count().limit(4097).collect()}
-    if len(dims) > 4096:
-        raise ValueError("more than 4096 different numbers of components")
+    to add to the count of node a, copies of its neighbours included.
+
+    Vectors of each length have a code of their own, which the driver chooses and every task gets: ``max_lengths`` bounds
+    them, and a table of more is an error, not a smaller result.
+    """
+    dims = {r[0]: r[1] for r in nodes.groupBy(F.octet_length("raw")).count().limit(max_lengths + 1).collect()}
+    if len(dims) > max_lengths:
+        raise ValueError(f"more than {max_lengths} different numbers of components")
     width = int(kind[2])
     codes = {bytes_: product_code(n, bytes_ // width, filters, seed, least) for bytes_, n in dims.items()}
 
@@ -255,20 +259,21 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, filters: int = 20, seed
     each. An empty table gives an empty result.
     """
     kind = vectors.element_type(rows)
-    read = written(vectors.encoded(rows, allow_zero=False).withColumn("node", F.xxhash64("raw")))
+    read = written(vectors.encoded(rows, allow_zero=False))
     valid = read.where("raw is not null")
-    nodes = written(valid.groupBy("node", "raw").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies")))
+    nodes = valid.groupBy("raw").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))  # the table fixes the numbers
     found = written(cap_links(nodes, kind, least, filters, seed))
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = written(connected_components(found.where("b is not null").select("a", "b")))
     smallest = roots.join(nodes, "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
     inside = roots.join(smallest, "root").select("node", "component_id")
     facts = nodes.join(links, "node", "left").join(inside, "node", "left").select(
-        "node",
+        "raw",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("component_id", "first_id").alias("component"),
     )
     facts = written(facts)
-    known = valid.select("vec_id", "node").join(facts, "node").select("vec_id", "n_links", F.col("component").alias("component_id"))
+    known = valid.join(facts, "raw").select("vec_id", "n_links", F.col("component").alias("component_id"))
     alone = read.where("raw is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

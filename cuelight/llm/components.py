@@ -19,7 +19,7 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges: columns ``a``, ``b``. Returns (node, root) for each vertex; root is the smallest id reachable.
 
     Self-loops and null ends are ignored; a vertex that has no other edge is not returned.
@@ -29,9 +29,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     state = _state(now)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
+    while state[0]:  # ends: smallest neighbours only ever get smaller
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -47,8 +45,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = following
         if state == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root"))

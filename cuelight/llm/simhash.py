@@ -59,19 +59,23 @@ def fingerprint(tokens: list[bytes], shingle: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) of each row of ``docs``; other columns are not read. Null text counts as empty."""
+    """(doc_id, mark, fp) of each row, longs of ``docs``; other columns are not read. Null text counts as empty.
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros(batch.num_rows, np.uint64)
-            for part in _text.slices(batch.column("text")):
+    mark: a hash of the text, that tells rows of one id apart.
+    """
+
+    def hashed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            out = np.zeros(len(column), np.uint64)
+            for part in _text.slices(column):
                 raw, ends = _text.lower_latin(part.data, ascii_only=True).tobytes(), part.ends.tolist()
                 for i in range(part.count):
                     out[part.lo + i] = fingerprint(raw[ends[i] : ends[i + 1]].split(), shingle, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.array(out.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        hashed, "doc_id long, fp long"
+    text = F.col("text").cast("string")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.arrow_udf(hashed, "long")(text).alias("fp")
     )
 
 
@@ -250,7 +254,7 @@ def trie_links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
 
 
 def _classes(docs: DataFrame, shingle: int, max_bits: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of each row of ``docs``; and (fp, class, component_id), the class named by one of its fingerprints."""
+    """(doc_id, mark, fp) of each row of ``docs``; and (fp, class, component_id), the class named by one of its fingerprints."""
     rows = written(fingerprints(docs, shingle, seed))
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = written(connected_components(trie_links(nodes.select("fp"), max_bits)))
@@ -277,22 +281,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed:
 
 
 def representatives(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed: int = 42) -> DataFrame:
-    """One row of ``docs`` for each class: that of the smallest doc_id. Of rows that repeat it, one of the smallest
-    fingerprint; where they are in several classes, one in each whose smallest doc_id it is.
+    """One row of ``docs`` for each class, columns as they were: of the class's own texts, one of the smallest doc_id; of
+    several texts of that id in the class, the one of the smallest fingerprint, then of the smallest hash; of rows that repeat
+    id and text, the first by a hash of their other columns.
 
     Rows without a doc_id have no name to be told apart by; they are all kept.
     """
     rows, label = _classes(docs, shingle, max_bits, seed)
     own = rows.join(label, "fp").where("doc_id = component_id")
-    chosen = written(own.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("_fp")))
-    spread = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    several = written(spread.where("lo <> hi").select("doc_id"))
-    single = chosen.join(several, "doc_id", "left_anti").select("doc_id")
-    kept = docs.join(single, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if not several.isEmpty():  # ids of different texts: by fingerprint too
-        named = docs.join(chosen.join(several, "doc_id", "left_semi"), "doc_id", "left_semi")
-        named = named.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
-        marks = fingerprints(named.select(F.col("_text").alias("doc_id"), "text"), shingle, seed).distinct()
-        named = named.join(marks.toDF("_text", "_fp"), "_text").join(chosen, ["doc_id", "_fp"], "left_semi")
-        kept = kept.unionByName(named.dropDuplicates(["doc_id", "_fp"]).select(*docs.columns))
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    first = F.min(F.struct("doc_id", "fp", "mark")).alias("first")
+    chosen = own.groupBy("class").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.mark").alias("mark")).distinct()
+    # The row travels in one column, so that its names cannot clash.
+    whole = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("mark")
+    )
+    plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant", "struct", "array")]
+    kept = whole.join(written(chosen), ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cuelight.llm import cap_filters, simhash
+from cuelight.llm import cap_filters, queries, simhash
 from cuelight.llm.components import connected_components
 from tests.llm import plain
 
@@ -186,3 +186,34 @@ def test_representatives_of_ids_with_several_texts(spark):
     rows = [(5, x, "a"), (5, y, "b"), (5, z, "c"), (2, y, "d"), (5, z + " ", "e"), (7, x, "f")]
     kept = simhash.representatives(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted((r.doc_id, r.text.strip()) for r in kept) == [(2, y), (5, x), (5, z)]
+
+
+def test_representatives_do_not_depend_on_the_order(spark):
+    rows = [(2, "a b c d e f", "p"), (2, "zz yy xx ww vv uu", "q"), (0, "a b c d e f", "r"), (0, "a b c d e f", "s")]
+    want = None
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        kept = simhash.representatives(spark.createDataFrame(order, DOCS).repartition(3)).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == [(0, "a b c d e f"), (2, "zz yy xx ww vv uu")]
+        want = want or rows_of_list(kept)
+        assert rows_of_list(kept) == want
+
+
+def rows_of_list(rows):
+    return sorted(map(tuple, rows), key=repr)
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_all_links_of_the_table(spark, size):
+    """The query over the whole table of embeddings against all pairs."""
+    table = spark.read.parquet(f"/root/testdata/sf{size}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.select("vec_id", "embedding").collect()]
+    x = np.array([v for _, v in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    got = {r.vec_id: r for r in queries.op2_cap_filter_dedup(spark, f"/root/testdata/sf{size}").collect()}
+    links = np.array([got[v].n_links for v, _ in rows])
+    assert (links <= near.sum(1) - 1).all() and links.sum() >= 0.95 * (near.sum() - len(rows))
+    groups = plain.Groups()
+    for i, j in np.argwhere(near).tolist():
+        groups.join(rows[i][0], rows[j][0])
+    assert np.mean([got[v].component_id == groups.find(v) for v, _ in rows]) >= 0.95
