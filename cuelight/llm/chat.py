@@ -53,7 +53,7 @@ def fold(events: DataFrame) -> DataFrame:
         F.when(F.col("kind").isin(*kinds), F.col("kind")).otherwise("message").alias("kind"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).repartition("conv_id")
+    )
     later = Window.partitionBy("conv_id").orderBy(F.col("seq").desc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     redone = F.min(F.when(F.col("kind") == "regenerate", F.col("turn"))).over(later)
     log = log.withColumn("redone", redone).where("redone is null or turn is null or turn <= redone")
@@ -141,3 +141,38 @@ def messages_as_events(conversations: DataFrame) -> DataFrame:
     return conversations.select(
         "conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text"
     )
+
+
+def as_streamed(conversations: DataFrame) -> DataFrame:
+    """Finished messages (conv_id, turn, role, text) as a log of how they might have come about, latest events first.
+
+    By a hash of conversation and place a message was written at once, streamed in three deltas, written wrongly and
+    edited, or generated wrongly, answered by a next turn and then regenerated and streamed, which voids that answer; the
+    last only where the turn has a number. Folding gives the messages again, rows of one turn by role and text.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    rows = conversations.select(
+        "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("said"), F.row_number().over(order).cast("long").alias("place")
+    )
+    way = F.pmod(F.xxhash64("conv_id", "place"), F.lit(4))
+    rows = rows.withColumn("way", F.when(F.col("turn").isNull() & (way == 3), 2).otherwise(way))
+    third = F.floor(F.char_length("said") / 3).cast("int")
+    rows = rows.withColumns({"a": F.substring("said", F.lit(1), third), "b": F.substring("said", third + 1, third)})
+    rows = rows.withColumn("c", F.substring("said", 2 * third + 1, F.lit(2**31 - 1)))
+    wrong = F.reverse("said")
+
+    def event(step: int, kind: str, text: Column, later: int = 0) -> Column:
+        return F.struct(
+            (F.col("place") * 8 + step).alias("seq"), (F.col("turn") + later).alias("turn"), F.lit(kind).alias("kind"),
+            F.when(F.lit(kind == "message"), F.col("role")).alias("role"), text.alias("text"),
+        )
+
+    streamed = [event(n, "delta", F.col(part)) for n, part in ((6, "c"), (5, "b"), (4, "a"))]
+    nothing = F.lit("")
+    events = (
+        F.when(F.col("way") == 0, F.array(event(0, "message", F.col("said"))))
+        .when(F.col("way") == 1, F.array(*streamed, event(0, "message", nothing)))
+        .when(F.col("way") == 2, F.array(event(1, "edit", F.col("said")), event(0, "message", wrong)))
+        .otherwise(F.array(*streamed, event(3, "regenerate", nothing), event(2, "message", wrong, later=1), event(0, "message", wrong)))
+    )
+    return rows.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")

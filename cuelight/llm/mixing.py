@@ -10,8 +10,8 @@ further on that are no longer than it, ``ROUNDS`` times; in the last, the docume
 edge is taken if that comes nearer.
 
 Nothing is drawn: the order is the MD5 of seed and id, so reruns agree. The edge of a
-source is found in two steps, sums of ranges of the order, then the documents of one
-range, so no task ever holds a source.
+source is found by sums of ranges of the order, then of ranges of the range at the edge, until
+that holds few documents, so no task ever holds a source.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from cuelight.scratch import written
 WORD = r"[^\x20\x09-\x0D]+"
 _BROADCAST_BYTES = 4 << 20
 ROUNDS = 3
-_RANGE_BITS = 10  # ranges of the order: 1,024 rows at most that one task has of a source
+_KEY_BITS, _RANGE_BITS = 60, 10  # ranges at a time: 1,024 rows at most that one task has of a source
+_FEW = 4096  # rows of a range that are looked at one by one
 
 
 def words(text: Column) -> Column:
@@ -69,25 +70,40 @@ def water_level(sources: DataFrame, max_epochs: int) -> float:
         level = following
 
 
-def _edges(sized: DataFrame, needs: DataFrame, last: bool) -> DataFrame:
+def _small(table: DataFrame, name: str) -> bool:
+    """Whether a table of sources may be broadcast, by its size; else Spark chooses."""
+    rows, chars = table.agg(F.count("*"), F.sum(F.octet_length(name))).first()
+    return rows * 64 + (chars or 0) <= _BROADCAST_BYTES
+
+
+def _hint(table: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(table) if small else table
+
+
+def _edges(sized: DataFrame, needs: DataFrame, last: bool, small: bool) -> DataFrame:
     """needs: of (source), after (key), most (size), need. Adds ``edge``: documents of keys over ``after`` and up to
     it, of a size up to ``most``, fit into ``need`` words together; and ``rest``: what they leave.
 
     If ``last``, the next document is within the edge too if the sum then is nearer to ``need``.
     """
-    span = F.shiftrightunsigned("key", 60 - _RANGE_BITS)
     mine = F.col("source").eqNullSafe(F.col("of"))
-    open_ = sized.join(_bounded(needs, "of"), mine).where("key > after AND size <= most AND need > 0")
-    ranges = open_.groupBy("source", "need", span.alias("span")).agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("words").over(earlier.orderBy("span")), F.lit(0)))
-    at = written(
-        ranges.where(F.col("before") <= F.col("need")).groupBy("source")
-        .agg(F.max_by(F.struct("span", "before"), "span").alias("r"))
-        .select(F.col("source").alias("at"), F.col("r.span").alias("at_span"), F.col("r.before").alias("before"))
-    )
-    edge = open_.join(_bounded(at, "at"), F.col("source").eqNullSafe(F.col("at")) & (span == F.col("at_span")))
-    edge = edge.groupBy("source", "key", "need", "before").agg(F.sum("size").alias("words"))
+    open_ = sized.join(_hint(needs, small), mine).where("key > after AND size <= most AND need > 0")
+    earlier = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    own, shift = open_.withColumn("before", F.lit(0).cast("long")), _KEY_BITS
+    while True:
+        shift -= _RANGE_BITS
+        span = F.shiftrightunsigned("key", shift)
+        spans = own.groupBy("source", "need", "before", span.alias("span")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+        spans = spans.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+        at = written(
+            spans.where(F.col("before") <= F.col("need")).groupBy("source")
+            .agg(F.max_by(F.struct("span", "before", "rows"), "span").alias("r"))
+            .select(F.col("source").alias("at"), F.col("r.span").alias("range"), F.col("r.before").alias("before"), F.col("r.rows").alias("rows"))
+        )
+        own = open_.join(_hint(at, small), F.col("source").eqNullSafe(F.col("at")) & (span == F.col("range")))
+        if shift == 0 or (at.agg(F.max("rows")).first()[0] or 0) <= _FEW:
+            break
+    edge = own.groupBy("source", "key", "need", "before").agg(F.sum("size").alias("words"))
     through = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("key"))
     edge = edge.withColumn("through", through)
     fits = F.col("through") - (F.col("words") / 2 if last else F.lit(0)) <= F.col("need")
@@ -97,7 +113,7 @@ def _edges(sized: DataFrame, needs: DataFrame, last: bool) -> DataFrame:
         edge, F.col("of").eqNullSafe(F.col("edge_of")), "left"
     )
     # Without a fitting document in its range, the edge is where the range begins.
-    stop = F.coalesce("last", F.shiftleft("at_span", 60 - _RANGE_BITS) - 1, F.col("after"))
+    stop = F.coalesce("last", F.shiftleft("range", shift) - 1, F.col("after"))
     taken = F.coalesce("taken", "before", F.lit(0))
     return written(
         found.select("of", "after", "most", F.greatest(stop, "after").alias("edge"), (F.col("need") - taken).alias("rest"))
@@ -109,6 +125,7 @@ def plan(sized: DataFrame, max_epochs: int = 3, cycle: Sequence[int] = (1, 2, 3)
     and more, an array of (after, edge, most): documents with a key in (after, edge] and a size up to most get one more."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = written(source_weights(totals, cycle))
+    small = _small(sources, "source")
     level = water_level(sources, max_epochs)
     sources = written(
         sources.withColumn("target", F.least(F.col("source_size").cast("double") * max_epochs, F.lit(level) * F.col("weight")))
@@ -121,7 +138,7 @@ def plan(sized: DataFrame, max_epochs: int = 3, cycle: Sequence[int] = (1, 2, 3)
     )
     out = sources.select("source", "source_size", "target", "whole", F.array().cast("array<struct<after:long,edge:long,most:double>>").alias("more"))
     for k in range(ROUNDS):
-        found = _edges(sized, needs, k == ROUNDS - 1)
+        found = _edges(sized, needs, k == ROUNDS - 1, small)
         step = found.select(F.col("of").alias("_of"), F.array(F.struct("after", "edge", "most")).alias("_step"))
         out = out.join(step, F.col("source").eqNullSafe(F.col("_of")), "left")
         out = out.withColumn("more", F.concat("more", "_step")).drop("_of", "_step")
@@ -129,40 +146,27 @@ def plan(sized: DataFrame, max_epochs: int = 3, cycle: Sequence[int] = (1, 2, 3)
     return written(out)
 
 
-def _bounded(table: DataFrame, name: str) -> DataFrame:
-    """A broadcast hint on a table of sources once its size is known to be small; else Spark chooses."""
-    rows, chars = table.agg(F.count("*"), F.sum(F.octet_length(name))).first()
-    return F.broadcast(table) if rows * 64 + (chars or 0) <= _BROADCAST_BYTES else table
-
-
-def repetitions(docs: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
-    """``docs`` (doc_id, text, source, ..., or what ``sizes`` gives) with source_size, target and ``times`` a document is taken."""
-    sized = {"size", "key"} <= set(docs.columns)
-    size, key = (F.col("size"), F.col("key")) if sized else (words(F.col("text")), order_key(seed))
-    side = _bounded(planned.select(*(F.col(c).alias(f"_{c}") for c in planned.columns)), "_source")
-    joined = docs.withColumns({"_size": size, "_key": key}).join(side, F.col("source").eqNullSafe(F.col("_source")))
-    more = F.exists(
-        "_more", lambda m: (F.col("_key") > m.after) & (F.col("_key") <= m.edge) & (F.col("_size") <= m.most)
-    )
-    return joined.select(
-        *(F.col(c) for c in docs.columns if c not in ("source_size", "target", "times")),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_whole") + more.cast("long")).alias("times"),
-    )
-
-
 def sizes(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(doc_id, source, size, key) of each row; null text has no word."""
     return written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), order_key(seed).alias("key")))
 
 
+def repetitions(docs: DataFrame, planned: DataFrame, size: Column, key: Column) -> DataFrame:
+    """(row, source_size, target, times) of each row of ``docs``: the row in one column, so that no name can clash, and
+    how often it is taken. ``size`` and ``key``: expressions over ``docs`` as ``sizes`` has them."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    placed = docs.select(row, F.col("source").alias("from"), size.alias("words"), key.alias("at"))
+    joined = placed.join(_hint(planned, _small(planned, "source")), F.col("from").eqNullSafe(F.col("source")))
+    more = F.exists("more", lambda m: (F.col("at") > m.after) & (F.col("at") <= m.edge) & (F.col("words") <= m.most))
+    return joined.select("row", "source_size", "target", (F.col("whole") + more.cast("long")).alias("times"))
+
+
 def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 0, cycle: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """The mixture: each row of ``docs`` as often as it is taken, columns as they were.
+    """The mixture: each row of ``docs`` as often as it is taken, columns as they were, whatever their names.
 
     Needs doc_id, text and source. Rows that repeat an id are taken alike; a null source is a source; an
     empty table gives an empty mixture.
     """
     planned = plan(sizes(docs, seed), max_epochs, cycle)
-    taken = repetitions(docs, planned, seed).where("times > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("_copy")).select(*docs.columns)
+    taken = repetitions(docs, planned, words(F.col("text")), order_key(seed)).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")

@@ -6,8 +6,8 @@ over bitsets finds the fullest combination of available lengths that holds the l
 taken out as often as the counts allow, so that at least one length runs out each time and there are
 at most ``capacity`` kinds of bins, whatever the corpus. The plan is made on the driver.
 
-Pieces of a length are numbered without sorting a length in one place: they are dealt to salted groups of
-some ``_GROUP_ROWS``, counts of groups are summed up, and each group numbers its own. A number then tells the sequence and the place in it.
+Pieces of a length are numbered without a sort or a shuffle of pieces: each task that makes pieces numbers its own, and the
+counts of tasks are summed up. A number then tells the sequence and the place in it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from cuelight.scratch import written
 from cuelight.llm.tokens import Encoder, public_path
 
 CAPACITY = 2048
-_GROUP_ROWS = 512
 _encoders: dict[str, Encoder] = {}
 
 
@@ -36,12 +35,15 @@ def _encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = 0, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of each document: its ids, then ``separator``, cut at ``capacity``."""
+    """(doc_id, piece, start, length, ids_crc32, nth[, ids]) of each document: its ids, then ``separator``, cut at ``capacity``.
+
+    nth: how many pieces of that length the task made before.
+    """
     ending = np.array([separator], "<u4").tobytes()
     step = capacity * 4
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
+        encode, made = _encoder(tokenizer), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for lo in range(0, batch.num_rows, 512):
@@ -55,18 +57,30 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
                             data.append(np.frombuffer(part, "<u4").astype(np.int32))
                 number = pa.array(piece, pa.int32())
                 out = [ids.take(pa.array(row, pa.int64())), number, pa.array(np.array(piece, np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth"]
+                out.append(pa.array(_running(np.array(length, np.int64), made)))
                 if with_ids:
                     out.append(pa.array(data, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
         encode.forget()
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long" + ", ids array<int>" * with_ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(cut, schema)
 
 
+def _running(length: np.ndarray, made: np.ndarray) -> np.ndarray:
+    """For each piece the number of those of its length before it; ``made`` counts them and is brought up to date."""
+    order = np.argsort(length, kind="stable")
+    ordered = length[order]
+    first = np.searchsorted(ordered, ordered)
+    out = np.empty(len(length), np.int64)
+    out[order] = made[ordered] + np.arange(len(length)) - first
+    made += np.bincount(length, minlength=len(made))
+    return out
+
+
 def fullest(available: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
     """Of (length, count), longest first: (length, times) of a combination that fills ``room`` most.
 
@@ -141,23 +155,16 @@ def pack(
     Null texts count as empty and are one separator; rows that repeat an id are packed each; an empty table
     gives no rows. Other columns are ignored.
     """
-    cut = written(pieces(docs, tokenizer or public_path("word_bpe_49k.json"), capacity, separator, with_ids))
-    histogram = cut.groupBy("length").count().collect()  # at most ``capacity`` rows
-    counts = {r["length"]: r["count"] for r in histogram}
-    plan = minimum_bin_slack(counts, capacity)
-    # A length has as many groups as its pieces ask for; the table has a row for each length.
-    salts = docs.sparkSession.createDataFrame([(k, n // _GROUP_ROWS + 1) for k, n in counts.items()], "length long, salts long")
-    salted = cut.join(F.broadcast(salts), "length")
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts").select(*cut.columns, "salt")
-    groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = groups.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = (
-        salted.withColumn("own", F.row_number().over(within).cast("long"))
-        .join(base, ["length", "salt"])
-        .select(*cut.columns, (F.col("base") + F.col("own") - 1).alias("number"))
-    )
+    cut = pieces(docs, tokenizer or public_path("word_bpe_49k.json"), capacity, separator, with_ids)
+    cut = written(cut.withColumn("task", F.spark_partition_id()))
+    by_task = written(cut.groupBy("task", "length").agg(F.count("*").alias("n")))
+    histogram = by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most ``capacity`` rows
+    plan = minimum_bin_slack({r["length"]: r["n"] for r in histogram}, capacity)
+    # A row for each task and length: Spark broadcasts them if they are few.
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = written(by_task.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")))
+    columns = [c for c in cut.columns if c not in ("task", "nth")]
+    numbered = cut.join(base, ["task", "length"]).select(*columns, (F.col("base") + F.col("nth")).alias("number"))
     span = int(plan.first.max(initial=0)) + 1
     keys = plan.length * span + plan.first if len(plan.length) else np.zeros(0, np.int64)
 
@@ -172,4 +179,4 @@ def pack(
             own = batch.drop_columns(["number"])
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(sequence), pa.array(offset)], [*own.schema.names, "sequence_id", "offset"])
 
-    return numbered.mapInArrow(placed, cut.schema.add("sequence_id", "long").add("offset", "long"))
+    return numbered.mapInArrow(placed, numbered.drop("number").schema.add("sequence_id", "long").add("offset", "long"))

@@ -69,12 +69,13 @@ def op10_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored messages as a log of streamed, edited and regenerated ones, folded and rendered."""
     stored = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     made = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.expr("if(id = 0, 'user', 'assistant')").alias("role"), F.lit(tricky).alias("text")
     )
-    chats = chat.format_chats(chat.messages_as_events(stored.unionByName(made)))
+    chats = chat.format_chats(chat.as_streamed(stored.unionByName(made)))
     read = chats.select(
         "conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("pieces")).alias("loss")
     )
@@ -108,8 +109,9 @@ def op7_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sizes(_table(spark, sf_dir, "documents"))
-    taken = mixing.repetitions(sized, mixing.plan(sized, max_epochs=3, cycle=(1, 2, 3)))
-    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    taken = mixing.repetitions(sized, mixing.plan(sized, max_epochs=3, cycle=(1, 2, 3)), F.col("size"), F.col("key"))
+    words = (F.col("row.size") * F.col("times")).alias("taken")
+    return taken.select("row.doc_id", "row.size", "source_size", "target", words)
 
 
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +135,11 @@ SQL: dict[str, str] = {
     "op1_url_filter_asof": r"""
         WITH named AS (
             SELECT page_id, DATE '2024-01-01' + ((page_id * 7919) % 366)::INTEGER AS fetched_at,
-                   regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.$', '') AS host,
-                   rtrim(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS path
+                   regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-z:.%]+\]|[^/?#:@\[\]]+)', 1), '\.$', '') AS host,
+                   list_reduce(list_transform(list_filter(string_split(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'),
+                                                          lambda s: s <> ''), lambda s: [s]),
+                               lambda kept, s: CASE replace(lower(s[1]), '%2e', '.') WHEN '.' THEN kept WHEN '..' THEN kept[:-2] ELSE list_concat(kept, s) END,
+                               []::VARCHAR[]) AS path
             FROM pages),
         hosts AS (
             SELECT host, ('0x' || substr(md5(host), 1, 6))::INTEGER AS h
@@ -157,8 +162,9 @@ SQL: dict[str, str] = {
             FROM named n JOIN dated d
               ON d.action = 'add' AND d.since <= n.fetched_at AND (d.until IS NULL OR d.until > n.fetched_at)
              AND n.host <> ''
-             AND (n.host = split_part(d.pattern, '/', 1) OR ends_with(n.host, '.' || split_part(d.pattern, '/', 1)))
-             AND (NOT contains(d.pattern, '/') OR n.path = '/en' OR starts_with(n.path, '/en/')))
+             AND (n.host = split_part(d.pattern, '/', 1)
+                  OR NOT regexp_matches(n.host, '^(\[.*|[0-9]+(\.[0-9]+){3})$') AND ends_with(n.host, '.' || split_part(d.pattern, '/', 1)))
+             AND (NOT contains(d.pattern, '/') OR n.path[1] = 'en'))
         SELECT n.page_id, n.fetched_at::DATE::VARCHAR AS fetched_at, coalesce(a.n_active, 0) AS n_active, coalesce(a.verdict = 'block', false) AS blocked,
                a.pattern AS rule, a.list
         FROM named n LEFT JOIN active a ON a.page_id = n.page_id AND a.place = 1""",

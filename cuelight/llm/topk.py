@@ -9,7 +9,10 @@ bound cannot beat its kth best so far (equal scores count by id, so an equal bou
 on); a block whose bound is too low at the top is not touched. The kth best carries over
 from block to block of a part, and parts are merged at the end.
 
-Queries and candidates meet in a grid of blocks of queries and parts of candidates.
+Queries and candidates meet in a grid of blocks of queries and parts of candidates. Blocks are as
+large as a task can hold, so that a candidate is sent as often as there are blocks, once for up to
+``_QUERY_ROWS`` queries, and there are as many parts as keep the cores busy, so that a query is not sent
+to more the more candidates there are.
 """
 
 from __future__ import annotations
@@ -19,15 +22,16 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelight.llm import vectors
 from cuelight.scratch import written
 
 BLOCK = 4096
-_PART_ROWS = 8192
-_QUERY_ROWS = 2048
+_PART_ROWS = 8192  # at least, where there are that many
+_QUERY_ROWS = 65_536
+_CELLS_PER_CORE = 4
 _PIVOTS = 64
 _START = 4  # depth of the first descent; each further one is twice as long
 
@@ -90,6 +94,12 @@ def _integers(x: np.ndarray) -> np.ndarray:
     return np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
 
 
+def grid(n: int, q: int, cores: int) -> tuple[int, int]:
+    """Parts of ``n`` candidates and blocks of ``q`` queries."""
+    blocks = ceil(q / _QUERY_ROWS)
+    return max(1, min(ceil(n / _PART_ROWS), ceil(_CELLS_PER_CORE * cores / blocks))), blocks
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of the highest integer inner product for each query.
 
@@ -103,7 +113,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0,
         raise TypeError("queries and rows have components of different types")
     everything = written(vectors.encoded(rows, allow_zero=True).where("raw is not null"))
     asked = vectors.encoded(queries, allow_zero=True).where("raw is not null").groupBy("vec_id", "raw").agg(F.count("*").alias("times"))
-    asked = written(asked.withColumn("query", F.xxhash64("vec_id", "raw")))
+    asked = written(asked.withColumn("query", F.monotonically_increasing_id()))  # the table fixes the numbers
     n, q = everything.count(), asked.count()
     if not n or not q:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -111,7 +121,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0,
     pick = F.pmod(F.xxhash64("raw", F.lit(seed)), F.lit(max(1, n // (4 * _PIVOTS)))) == 0
     sample = [bytes(r[0]) for r in everything.where(pick).select("raw").limit(_PIVOTS).collect()]
     pivots = {size: vectors.matrix([r for r in sample if len(r) == size], kind) for size in set(map(len, sample))}
-    parts, blocks = ceil(n / _PART_ROWS), ceil(q / _QUERY_ROWS)
+    parts, blocks = grid(n, q, rows.sparkSession.sparkContext.defaultParallelism)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,11 +225,17 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0,
     ).drop("_")
 
 
-def norm(raw, kind: str, scale: float):
+def norm(raw: Column, kind: str, scale: float) -> Column:
     """The inner product of a vector with itself, as ``_scaled`` makes it."""
 
-    @F.pandas_udf("long")
-    def squared(column):
-        return column.map(lambda r: int(sum(v * v for v in map(int, _scaled([r], kind, scale)[0]))))
+    def squared(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            raws = column.to_pylist()
+            sizes, out = np.array([len(r) for r in raws]), np.zeros(len(raws), np.int64)
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                x = _scaled([raws[i] for i in own], kind, scale)
+                out[own] = (x * x).sum(1).astype(np.int64)
+            yield pa.array(out)
 
-    return squared(raw)
+    return F.arrow_udf(squared, "long")(raw)

@@ -77,12 +77,43 @@ def test_the_added_conversation(spark, data):
     assert (row.n_turns, row.loss_chars, row.loss_sha256) == (2, 21, hashlib.sha256(said.encode()).hexdigest())
 
 
+def test_streamed_logs_fold_to_the_messages(spark):
+    """Only folding gives the stored texts: deltas, edits, regenerations and voided answers, in no order; rows of one turn too."""
+    rows = [(c, t, ("user", "assistant", None)[(c + t) % 3], ("", "é", "one two 😀 three", None, "x" * 50)[(c * 7 + t) % 5]) for c in range(40) for t in range(6)]
+    rows += [(1, 2, "user", "again"), (1, 2, "user", "again"), (3, None, "system", "no turn"), (None, 0, "user", "no id")]
+    stored = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.as_streamed(stored).cache()
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and kinds["message"] > len(rows)
+    got = chat.fold(log.repartition(3, "text")).orderBy("conv_id", "turn", "number").collect()
+    want = sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=lambda m: (m[0] is not None, m[0] or 0, m[1] is not None, m[1] or 0, m[2], m[3]))
+    assert [(r.conv_id, r.turn, r.role, r.text) for r in got] == want
+
+
 def test_a_long_conversation(spark):
     stored = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.col("id").cast("string").alias("text"))
     row = chat.format_chats(chat.messages_as_events(stored)).select(chat.loss_text(F.col("pieces")).alias("loss")).first()
     assert row.loss == "".join(map(str, range(3000)))
 
 
+def test_hosts_and_paths(spark):
+    urls = {
+        "http://[2001:DB8::1]/x": ("[2001:db8::1]", ["x"]), "http://[::1]:80/": ("[::1]", []), "http://9.9.0.1/a/../b": ("9.9.0.1", ["b"]),
+        "https://u:p@Ex.com:8/a/./b//%2E%2e/c/..": ("ex.com", ["a"]), "http://ex.com/../../x?y/../z": ("ex.com", ["x"]), "http://[::1": ("", []), "x": ("", []),
+    }
+    rows = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r.url: (r.h, r.p) for r in rows.select("url", url_filter.host(F.col("url")).alias("h"), url_filter.path(F.col("url")).alias("p")).collect()}
+    assert got == urls
+
+
+def test_addresses_have_no_ends(spark):
+    lists = entries(spark, *(("l", p, "2024-01-01", "add", "block") for p in ("0.1", "1", "9.9.9.9", "[::1]", "db8::1]", "ex.com/b")))
+    asked = {"http://9.9.0.1/": 0, "http://9.9.9.9/x": 1, "http://[::1]:80/": 1, "http://[2001:db8::1]/": 0, "http://v0.1/": 1, "http://ex.com/a/../b/c": 1, "http://ex.com/b/../a": 0}
+    pages = spark.createDataFrame([(i, u, pd.Timestamp("2024-02-01").date()) for i, u in enumerate(asked)], "page_id long, url string, fetched_at date")
+    got = {r.page_id: r.n_active for r in url_filter.judge(pages, lists).collect()}
+    assert [got[i] for i in range(len(asked))] == list(asked.values())
+
+
 ENTRIES = "list string, pattern string, since date, action string, verdict string"
 
 
@@ -184,12 +215,11 @@ def check_packing(rows, got):
         assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 2048
 
 
-def test_packing_the_table(spark, data, monkeypatch):
+def test_packing_the_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    for size in (20_000, 7):
-        monkeypatch.setattr(packing, "_GROUP_ROWS", size)
-        got = packed(spark, docs)
+    for tasks in (1, 7):
+        got = packed(spark, docs.repartition(tasks))
         check_packing(rows, got)
         assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 1
 
@@ -202,8 +232,9 @@ def test_packing_edges(spark):
     with_ids = packed(spark, docs, with_ids=True)
     assert all(len(r.ids) == r.length and (r.length < 2048) <= (r.ids[-1] == 0) for r in with_ids.itertuples())
     assert len(packed(spark, docs.limit(0))) == 0
-    unnamed = packed(spark, spark.createDataFrame([(None, "x")], "doc_id long, text string"))
-    assert unnamed.doc_id.isna().all() and len(unnamed) == 1
+    unnamed = packed(spark, spark.createDataFrame([(None, "x")] * 3000, "doc_id long, text string").repartition(5))
+    assert unnamed.doc_id.isna().all() and len(unnamed) == 3000 and unnamed.sequence_id.nunique() == -(-unnamed.length.sum() // 2048)
+    assert not unnamed.duplicated(["sequence_id", "offset"]).any()
 
 
 @settings(max_examples=8, deadline=None)
@@ -234,6 +265,17 @@ def test_mixture_edges(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("few", [0, 3])
+def test_mixture_by_ranges_of_ranges(spark, data, monkeypatch, few):
+    """The same mixture when the range at the edge is looked into by ranges of its own, down to single keys."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "source")
+    rows = [tuple(r) for r in docs.collect()]
+    monkeypatch.setattr(mixing, "_RANGE_BITS", 3 if few else 20)
+    monkeypatch.setattr(mixing, "_FEW", few)
+    want = sorted(d for (d, _, _), n in zip(rows, plain.mixture(rows), strict=True) for _ in range(n))
+    assert sorted(r.doc_id for r in mixing.mix(docs).collect()) == want
+
+
 def brute_top(rows, k):
     ok = [(v, np.floor(256 * np.array(e, np.float64))) for v, e in rows if e and all(x is not None and np.isfinite(x) for x in e)]
     out = []
@@ -260,6 +302,22 @@ def test_top_k_is_brute_force(spark, monkeypatch):
     assert top(spark, rows) == want
 
 
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_top_k_of_the_table(spark, size):
+    """The query over the whole table of embeddings against all pairs."""
+    folder = f"/root/testdata/sf{size}"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    assert sorted((tuple(r) for r in queries.op7_threshold_top_k(spark, folder).collect()), key=repr) == brute_top(rows, 5)
+
+
+def test_the_grid_grows_with_the_rows():
+    """What is sent, in rows: a few times the candidates as long as 65,536 queries are one block, then once more for each block."""
+    for n in (10**5, 10**6, 3 * 10**6, 10**7, 10**8):
+        parts, blocks = topk.grid(n, n // 50, 64)
+        assert parts * blocks <= 4 * 64 + blocks
+        assert n * blocks + n // 50 * parts <= (blocks + 6) * n
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_top_k_edges(spark, kind):
     nan = float("nan")
