@@ -188,12 +188,12 @@ def test_forward_sums_all_segmentations():
 
 
 def test_expectation_maximisation_raises_the_likelihood():
-    words, counts = [b"abab", b"ab", b"ba", b"c"], np.array([[9.0], [5.0], [1.0], [2.0]])
+    words, counts = [b"abab", b"ab", b"ba", b"c"], np.array([9.0, 5.0, 1.0, 2.0])
     pieces = [b"a", b"ab", b"b", b"ba", b"c"]
     index, last = {p: i for i, p in enumerate(pieces)}, -1e9
     for rounds in range(5):
-        chance = langid.fit_pieces(words, counts, pieces, rounds)[:, 0]
-        now = sum(c * math.log(likelihood(w, chance, index)) for w, c in zip(words, counts[:, 0], strict=True))
+        chance = langid.fit_pieces(words, counts, pieces, rounds)
+        now = sum(c * math.log(likelihood(w, chance, index)) for w, c in zip(words, counts, strict=True))
         assert now >= last - 1e-6 and chance.sum() == pytest.approx(1)
         last = now
 
@@ -224,9 +224,75 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.score(docs, unlearned).collect()} == {"und"}
 
 
-def test_endless_words_are_whole():
-    text = "ab cé" + "x" * 1000 + ", 12 y"
+def plain_forward(word, chance, index, longest):
+    """log of the sum over all segmentations, a position at a time in logarithms."""
+    ahead = [0.0]
+    for at in range(1, len(word) + 1):
+        terms = [ahead[at - n] + math.log(chance[index[word[at - n : at]]]) for n in range(1, min(at, longest) + 1) if word[at - n : at] in index]
+        top = max(terms)
+        ahead.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return ahead[-1]
+
+
+@pytest.fixture(scope="module")
+def public_model():
+    pieces = langid.vocabulary(langid.public_path("byte_bpe_50k.tiktoken"))
+    chance = np.random.default_rng(8).dirichlet(np.full(len(pieces), 0.3), 2).T + 1e-9
+    return langid.LanguageModel(["x", "y"], pieces, chance / chance.sum(0), np.array([0.5, 0.5]))
+
+
+@pytest.mark.parametrize("long", [langid.LONG_WORD, 30])
+def test_whole_words_of_any_length(public_model, monkeypatch, long):
+    """No cut: a word of 10,000 bytes, one Thai sentence without a blank, rows of marks that are pieces of 64 bytes."""
+    monkeypatch.setattr(langid, "LONG_WORD", long)
+    thai = "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35\u0e04\u0e23\u0e31\u0e1a\u0e27\u0e31\u0e19\u0e19\u0e35\u0e49\u0e2d\u0e32\u0e01\u0e32\u0e28\u0e14\u0e35\u0e21\u0e32\u0e01" * 3
+    words = [thai.encode(), b"internationaladministration" * 370 + b"xyzabcdefg", b"a" + b"=" * 200 + b"b", b"cloneembedreportprint", b"q", b"ab" * 30]
+    data, end = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    got = langid.word_scores(data, end - [len(w) for w in words], end, public_model)
+    index = {p: i for i, p in enumerate(public_model.pieces)}
+    longest = max(map(len, public_model.pieces))
+    for j in range(2):
+        assert got[:, j] == pytest.approx([plain_forward(w, public_model.chance[:, j], index, longest) for w in words], rel=1e-9)
+
+
+def test_long_words_are_fitted_in_parts_between_characters():
+    text = "ab " + "\u65e5\u672c\u8a9e" * 40 + " " + "x" * 1000
     (part,) = _text.slices(pa.array(["", text]))
     data, start, end, doc = langid._letters(part)
-    assert b"".join(data.tobytes()[a:b] for a, b in zip(start, end, strict=True)) == f"abcé{'x' * 1000}y".encode()
-    assert max(end - start) == langid.LONGEST_WORD and set(doc.tolist()) == {1}
+    assert [data.tobytes()[a:b].decode() for a, b in zip(start, end, strict=True)] == text.split()
+    a, b, word = langid._parts(data, start, end, 64)
+    parts = [data.tobytes()[i:j].decode() for i, j in zip(a, b, strict=True)]
+    assert ["".join(p for p, w in zip(parts, word, strict=True) if w == n) for n in range(3)] == text.split()
+    assert max(b - a) <= 66 and min(b - a) > 0
+
+
+def test_language_is_the_plain_score(spark, data):
+    """The whole query against plain sums over all segmentations, with the same fitted model."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.train(docs.where(fold("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+    index, longest = {p: i for i, p in enumerate(model.pieces)}, max(map(len, model.pieces))
+    got, known = {r.doc_id: r for r in queries.op6_language_unigrams(spark, data).collect()}, {}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        (part,) = _text.slices(pa.array([r.text or ""]), 1 << 30)
+        raw, start, end, _ = langid._letters(part)
+        total = np.log(model.prior)
+        for a, b in zip(start.tolist(), end.tolist(), strict=True):
+            word = raw[a:b].tobytes()
+            if word not in known:
+                known[word] = np.array([plain_forward(word, model.chance[:, j], index, longest) for j in range(len(model.languages))])
+            total = total + known[word]
+        if not any(ch.isalpha() for ch in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+        else:
+            assert got[r.doc_id].lang_pred == model.languages[total.argmax()]
+            assert got[r.doc_id].score == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-6)
+
+
+def test_a_score_does_not_depend_on_the_batch(spark, public_model):
+    text = "words that were met before and words that were not " * 3
+    cache, alone = langid._Cache(2), pa.array([text])
+    (one,) = _text.slices(alone)
+    first, again = langid._totals(one, public_model, cache), langid._totals(one, public_model, cache)
+    assert (first == again).all()
