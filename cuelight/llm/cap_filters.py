@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelight.llm import vectors
-from cuelight.scratch import written
-from cuelight.llm.components import connected_components
+from cuelight.scratch import discard, written
+from cuelight.llm.components import component_ids, connected_components
 from cuelight.llm.simhash import _merge
 
 CELL = 2048
@@ -266,14 +266,14 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, filters: int = 20, seed
     found = written(cap_links(nodes, kind, least, filters, seed))
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = written(connected_components(found.where("b is not null").select("a", "b")))
-    smallest = roots.join(nodes, "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    inside = roots.join(smallest, "root").select("node", "component_id")
+    inside = component_ids(roots, nodes, "node", "first_id").drop("root")
     facts = nodes.join(links, "node", "left").join(inside, "node", "left").select(
         "raw",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("component_id", "first_id").alias("component"),
     )
     facts = written(facts)
+    discard(nodes, found, roots)
     known = valid.join(facts, "raw").select("vec_id", "n_links", F.col("component").alias("component_id"))
     alone = read.where("raw is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from cuelight.scratch import discard, written
 
+_FEW_NAMES = 300_000  # of 16 bytes
+
 
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -49,3 +51,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root"))
     )
+
+
+def component_ids(roots: DataFrame, nodes: DataFrame, node: str, first_id: str) -> DataFrame:
+    """(node, root, component_id): the smallest ``first_id`` of ``nodes`` in each component of ``roots``.
+
+    One component may hold a large share of all vertices, so its row is brought to them: names are sent to every task if
+    they are few, and else joined, where Spark splits what is skewed.
+    """
+    smallest = roots.join(nodes.select(F.col(node).alias("node"), first_id), "node").groupBy("root").agg(F.min(first_id).alias("component_id"))
+    smallest = written(smallest)
+    return roots.join(F.broadcast(smallest) if smallest.count() <= _FEW_NAMES else smallest, "root").select("node", "root", "component_id")

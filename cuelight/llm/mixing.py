@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelight.scratch import written
+from cuelight.scratch import discard, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 _BROADCAST_BYTES = 4 << 20
@@ -90,6 +90,7 @@ def _edges(sized: DataFrame, needs: DataFrame, last: bool, small: bool) -> DataF
     open_ = sized.join(_hint(needs, small), mine).where("key > after AND size <= most AND need > 0")
     earlier = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     own, shift = open_.withColumn("before", F.lit(0).cast("long")), _KEY_BITS
+    seen: list[DataFrame] = []
     while True:
         shift -= _RANGE_BITS
         span = F.shiftrightunsigned("key", shift)
@@ -100,6 +101,7 @@ def _edges(sized: DataFrame, needs: DataFrame, last: bool, small: bool) -> DataF
             .agg(F.max_by(F.struct("span", "before", "rows"), "span").alias("r"))
             .select(F.col("source").alias("at"), F.col("r.span").alias("range"), F.col("r.before").alias("before"), F.col("r.rows").alias("rows"))
         )
+        seen.append(at)
         own = open_.join(_hint(at, small), F.col("source").eqNullSafe(F.col("at")) & (span == F.col("range")))
         if shift == 0 or (at.agg(F.max("rows")).first()[0] or 0) <= _FEW:
             break
@@ -115,9 +117,11 @@ def _edges(sized: DataFrame, needs: DataFrame, last: bool, small: bool) -> DataF
     # Without a fitting document in its range, the edge is where the range begins.
     stop = F.coalesce("last", F.shiftleft("range", shift) - 1, F.col("after"))
     taken = F.coalesce("taken", "before", F.lit(0))
-    return written(
+    found = written(
         found.select("of", "after", "most", F.greatest(stop, "after").alias("edge"), (F.col("need") - taken).alias("rest"))
     )
+    discard(*seen)
+    return found
 
 
 def plan(sized: DataFrame, max_epochs: int = 3, cycle: Sequence[int] = (1, 2, 3)) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from cuelight.llm import _text
 from cuelight.llm.sampling import graded_sample
+from cuelight.scratch import discard
 
 BUCKETS = 1 << 12
 _SHAPES, _WORDS = 2048, 1024  # then: repeated words, length bands
@@ -156,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", most_per_g
         texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("grade", "text")
         .mapInArrow(vectors, "grade int, bucket binary, value binary").collect()
     )
+    discard(sample)
     rows.sort(key=lambda r: (r["grade"], bytes(r["bucket"]), bytes(r["value"])))
     counts = [len(r["bucket"]) // 2 for r in rows]
     return fit_ordinal(

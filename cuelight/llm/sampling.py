@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.scratch import written
+from cuelight.scratch import discard, written
 
 
 def fold(doc_id: str, of: int) -> Column:
@@ -18,7 +18,8 @@ def graded_sample(labels: DataFrame, grade: str, most_per_grade: int, max_grades
 
     Rows with a null id or grade are left out; of rows that repeat an id the highest grade counts.
     A grade's rows are thinned by a threshold on the hash that its count gives, then cut to the bound:
-    a grade never gathers in one task. More than ``max_grades`` grades are an error.
+    a grade never gathers in one task. More than ``max_grades`` grades are an error: each has a sample on the driver, and a scale
+    of so many is a continuous one.
     """
     rows = (
         labels.where(F.col("doc_id").isNotNull() & F.col(grade).isNotNull())
@@ -36,4 +37,6 @@ def graded_sample(labels: DataFrame, grade: str, most_per_grade: int, max_grades
         share = min(1.0, 1.2 * most_per_grade / row["count"])
         own = own.where(F.pmod("order", F.lit(1 << 30)) < int(share * (1 << 30)))
         kept = kept.unionByName(own.orderBy("order", "doc_id").limit(most_per_grade))
-    return written(kept.select("doc_id", "grade")), {r["grade"]: r["count"] for r in counts}
+    sample = written(kept.select("doc_id", "grade"))
+    discard(rows)
+    return sample, {r["grade"]: r["count"] for r in counts}

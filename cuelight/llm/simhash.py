@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelight.llm import _text
-from cuelight.scratch import written
-from cuelight.llm.components import connected_components
+from cuelight.scratch import discard, written
+from cuelight.llm.components import component_ids, connected_components
 
 CELL = 16_384
 _BUCKET_AIM = 64
@@ -258,12 +258,13 @@ def _classes(docs: DataFrame, shingle: int, max_bits: int, seed: int) -> tuple[D
     rows = written(fingerprints(docs, shingle, seed))
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = written(connected_components(trie_links(nodes.select("fp"), max_bits)))
-    named = roots.join(nodes, roots.node == nodes.fp).groupBy("root").agg(F.min("first_id").alias("component_id"))
-    inside = roots.join(named, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    inside = component_ids(roots, nodes, "fp", "first_id").withColumnRenamed("node", "fp")
     label = nodes.join(inside, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("class"), F.coalesce("component_id", "first_id").alias("component_id")
     )
-    return rows, written(label)
+    label = written(label)
+    discard(nodes, roots)
+    return rows, label
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed: int = 42) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from cuelight.llm import _text
 from cuelight.llm.sampling import graded_sample
-from cuelight.scratch import written
+from cuelight.scratch import discard, written
 
 BUCKETS = 1 << 20
 _STEMS = (3, 4, 5, 6, 7, 8, 9, 10)
@@ -203,6 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_per_lab
             yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("sentences"), *packed], ["grade", "sentences", "of", "bucket"])
 
     rows = table.mapInArrow(screened, "grade int, sentences int, of binary, bucket binary").collect()
+    discard(table, sample)
     rows.sort(key=lambda r: (r["grade"], r["sentences"], bytes(r["bucket"]), bytes(r["of"])))
     bag = np.array([r["sentences"] for r in rows], np.int64)
     base = np.concatenate(([0], np.cumsum(bag)))
