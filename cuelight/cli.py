@@ -15,7 +15,7 @@ from cuelight.sinks.index_store import IndexStore
 from cuelight.sources import media
 
 LANGUAGE_VARIABLE = "CUELIGHT_STT_LANGUAGE"
-ROOT = Path(os.environ.get("CUELIGHT_ROOT", Path.cwd()))
+ROOT = Path(os.environ.get("CUELIGHT_ROOT", Path(__file__).resolve().parents[1]))
 
 
 def under_root(path: Path) -> Path:
@@ -74,6 +74,7 @@ def build_parser() -> argparse.ArgumentParser:
     for name in ("--segments", "--frames-manifest", "--output", "--manifest"):
         align.add_argument(name, type=Path)
     align.add_argument("--margin-seconds", type=float, default=0.0)
+    align.add_argument("--parts", action="store_true", help="write a folder of parts instead of one file")
 
     query = command("query", run_query, "search one question")
     query.add_argument("--index", required=True)
@@ -87,6 +88,7 @@ def build_parser() -> argparse.ArgumentParser:
     evaluate.add_argument("--record-limit", type=int)
     evaluate.add_argument("--deltas", default="5,10,15")
     evaluate.add_argument("--output", type=Path)
+    evaluate.add_argument("--parts", action="store_true", help="write a folder of parts instead of one file")
     return top
 
 
@@ -112,17 +114,21 @@ def run_ingest(store: IndexStore, a: argparse.Namespace) -> dict:
 
 def run_align(store: IndexStore, a: argparse.Namespace) -> dict:
     return workflows.align_frames(
-        store.spark, a.project_id, under_root(a.output_root), a.margin_seconds, a.segments, a.frames_manifest, a.output, a.manifest
+        store.spark, a.project_id, under_root(a.output_root), a.margin_seconds, _home(a.segments), _home(a.frames_manifest), a.output, a.manifest, not a.parts
     )
 
 
+def _home(path: Path | None) -> Path | None:
+    return path.expanduser() if path else None
+
+
 def run_query(store: IndexStore, a: argparse.Namespace) -> dict:
     return workflows.query_index(store, a.index, a.query, a.limit)
 
 
 def run_evaluate(store: IndexStore, a: argparse.Namespace) -> dict:
     output = under_root(a.output) if a.output else None
-    return workflows.evaluate_records(store, str(a.input), a.index, a.limit, a.record_limit, parse_deltas(a.deltas), output)
+    return workflows.evaluate_records(store, str(a.input), a.index, a.limit, a.record_limit, parse_deltas(a.deltas), output, not a.parts)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -108,15 +108,26 @@ def variant_long(value: Column) -> Column:
 
 
 def rounded(x: Column, places: int) -> Column:
-    """Half-even rounding of the exact binary value, but for half a unit of the last place itself, which goes to 0."""
-    return F.when(F.isnan(x), x).otherwise(F.replace(F.format_number(x, places), F.lit(","), F.lit("")).cast("double"))
+    """Rounding to the nearest decimal of ``places`` by the exact binary value, ties to even.
+
+    The product with the power of ten is taken with its rounding error (Dekker 1971), which decides where the product
+    alone looks like a tie. Numbers too large to have such places stay as they are.
+    """
+    scale = F.lit(10.0**places)
+    product, spread = x * scale, x * F.lit(134217729.0)
+    high = spread - (spread - x)
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.rint(product)
+    beyond = product - whole
+    nearest = F.when((beyond == 0.5) & (error > 0), whole + 1).when((beyond == -0.5) & (error < 0), whole - 1).otherwise(whole)
+    return F.when(F.isnan(x) | (F.abs(product) >= 2.0**52), x).otherwise(nearest / scale)
 
 
 def frame_time(number: Column, fps: float) -> Column:
     """Seconds of the frame of a 1-based number, to 3 places; null if the rate is not positive."""
     if fps <= 0:
         return F.lit(None).cast("double")
-    return F.bround((number - 1).cast("double") / F.lit(float(fps)), 3)
+    return rounded((number - 1).cast("double") / F.lit(float(fps)), 3)
 
 
 def frame_name(number: Column) -> Column:

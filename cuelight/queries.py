@@ -5,15 +5,18 @@ Records come from ``documents``, questions from ``benchmark``, cues from ``conve
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelight.functions import scalars as S
 from cuelight.operators import evaluation, intervals, numbering, search, segments
-from cuelight.scratch import shared_folder
+from cuelight.plans import workflows
+from cuelight.scratch import Folder, shared_folder
 from cuelight.session import ship, spread
 from cuelight.sinks import files
 from cuelight.sinks.index_store import IndexStore
@@ -41,16 +44,15 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         F.lit("corpus").alias("dataset_name"), F.lit("all").alias("subset_name"), F.lit("test").alias("split_name"),
         F.col("doc_id").alias("sample_index"), F.concat_ws("/", "source", "doc_id").alias("sample_id"), F.col("source").alias("video_name"),
-        F.substring("text", 1, 60).alias("question"), F.lit("").alias("answer"), F.col("text").alias("transcript_text"),
+        F.col("text").alias("question"), F.lit("").alias("answer"), F.col("text").alias("transcript_text"),
         _points("doc_id").alias("timestamp_points"), (F.col("doc_id") % 5 != 0).alias("has_timestamp"),
         F.lit(None).cast("string").alias("qid"), F.array(F.lit("text")).alias("raw_keys"),
     )
 
 
-def questions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Questions of the first 80 characters, as the SQL of the older queries fixes, or of whole texts."""
-    text = F.col("text") if whole else F.substring("text", 1, 80)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"), _points("item_id").alias("timestamp_points"))
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text").alias("query")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text, _points("item_id").alias("timestamp_points"))
 
 
 def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -59,6 +61,7 @@ def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with some time around them; in these queries windows are purchases, frames are clicks, and events of other types neither."""
     bought = _events(spark, sf_dir, "purchase")
     half = (F.col("event_id") % 7 * 30).cast("double")
     return bought.select(F.col("event_id").alias("ordinal"), (F.col("at") - half).alias("start_time"), (F.col("at") + half).alias("end_time"))
@@ -70,9 +73,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _index(spark: SparkSession, sf_dir: str, whole: bool = False) -> search.TextIndex:
+def _index(spark: SparkSession, sf_dir: str) -> search.TextIndex:
     rows = segments.record_segments(records(spark, sf_dir)).withColumn("doc", F.col("sample_index"))
-    return search.build_index(rows, "doc", vocabulary=search.terms_of(questions(spark, sf_dir, whole)))
+    return search.build_index(rows, "doc", vocabulary=search.terms_of(questions(spark, sf_dir)))
 
 
 def mention_candidates(spark, sf_dir):
@@ -80,12 +83,9 @@ def mention_candidates(spark, sf_dir):
 
 
 def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", S.slugify(F.substring("text", 1, 80)).alias("slug"))
-
-
-def slugify_whole(spark, sf_dir):
     """Slugs of whole texts, by their MD5."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(S.slugify(F.col("text"))).alias("slug_md5"))
+    slug = S.slugify(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(slug).alias("slug_md5"), F.char_length(slug).cast("long").alias("slug_chars"))
 
 
 def excerpt(spark, sf_dir):
@@ -115,34 +115,27 @@ def transcript_source(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.transcript_source(asked, path).alias("transcript_source"))
 
 
-def _coerced(spark, sf_dir, *texts: Column) -> DataFrame:
-    """Records written as JSON with texts for numbers, missing keys and nulls, and read back."""
+def record_coerce(spark, sf_dir):
+    """Records written as JSON with texts for numbers, missing keys and nulls, and read back; whole texts by their MD5."""
     docs = table(spark, sf_dir, "documents")
     points = F.transform(_points("doc_id"), lambda p: p.cast("string"))
     row = F.struct(
         F.col("source").alias("video_name"), F.col("doc_id").cast("string").alias("sample_index"),
-        F.concat_ws("/", "source", "doc_id").alias("sample_id"), *texts, points.alias("timestamp_points"),
-        F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("qid"),
+        F.concat_ws("/", "source", "doc_id").alias("sample_id"), F.col("text").alias("question"), F.col("text").alias("transcript_text"),
+        points.alias("timestamp_points"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("qid"),
+    )
+    made = jsonl.coerce_records(docs.select(F.parse_json(F.to_json(row)).alias("v")))
+    return made.select(
+        "sample_index", "sample_id", "video_name", F.md5("question").alias("question_md5"), F.md5("transcript_text").alias("transcript_md5"), "answer",
+        F.size("timestamp_points").cast("long").alias("n_points"), "has_timestamp", "qid",
     )
-    return jsonl.coerce_records(docs.select(F.parse_json(F.to_json(row)).alias("v")))
-
-
-def record_coerce(spark, sf_dir):
-    made = _coerced(spark, sf_dir, F.substring("text", 1, 60).alias("question"))
-    return made.select("sample_index", "sample_id", "video_name", "question", "answer", F.size("timestamp_points").cast("long").alias("n_points"), "has_timestamp", "qid")
-
-
-def record_coerce_whole(spark, sf_dir):
-    """Whole texts as question and transcript_text, by their MD5."""
-    made = _coerced(spark, sf_dir, F.col("text").alias("question"), F.col("text").alias("transcript_text"))
-    return made.select("sample_index", F.md5("question").alias("question_md5"), F.md5("transcript_text").alias("transcript_md5"), F.size("timestamp_points").cast("long").alias("n_points"))
 
 
 def jsonl_scan(spark, sf_dir):
     """Documents written as JSON lines and read back as open rows, keys in any order."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("lang"))
     path = scratch_path(spark, "lines")
-    files.write_json_lines(docs, path)
+    files.write_lines(docs.withColumn("at", F.col("doc_id")), path, "at")
     v = F.col("v")
     rows = jsonl.read_json_lines(spark, path)
     return rows.select(
@@ -168,10 +161,10 @@ def index_documents(spark, sf_dir):
     return store.documents("i").select("segment_id", "sample_index", "video_name")
 
 
-def eval_rows(spark, sf_dir, whole=False):
+def eval_rows(spark, sf_dir):
     """What an evaluation writes for each question, candidates in order."""
-    asked = questions(spark, sf_dir, whole)
-    found = search.candidates(_index(spark, sf_dir, whole), asked, 5)
+    asked = questions(spark, sf_dir)
+    found = search.candidates(_index(spark, sf_dir), asked, 5)
     rows = evaluation.with_candidates(evaluation.evaluate(asked, found, DELTAS), found)
     listed = F.array_join(F.transform("topk_candidates", lambda c: F.concat_ws(":", c["rank"].cast("string"), c.sample_id)), ",")
     return rows.select("query_id", F.size("timestamp_points").cast("long").alias("n_points"), F.size("topk_candidates").cast("long").alias("n_candidates"), listed.alias("candidates"))
@@ -242,6 +235,20 @@ def frame_grid(spark, sf_dir):
     return grid.select("frame_id", "frame_path", "timestamp")
 
 
+def frame_grid_rates(spark, sf_dir):
+    """Grids at rates whose times often lie in the middle of two thousandths, all but for the binary value."""
+    count = table(spark, sf_dir, "documents").count()
+    grids = [media.frame_grid(ship(spark), "frames", fps, count).select(F.lit(fps).alias("fps"), "frame_id", "timestamp") for fps in (29.97, 80.0, 400.0)]
+    return grids[0].unionByName(grids[1]).unionByName(grids[2])
+
+
+def rounding(spark, sf_dir):
+    """Means to four places, half a unit among them."""
+    n = F.col("doc_id").cast("double")
+    values = F.array(n / 80, n / 400, n / 20000, -n / 7, n * 0.00005)
+    return table(spark, sf_dir, "documents").select("doc_id", *(S.rounded(values[i], 4).alias(f"r{i}") for i in range(5)))
+
+
 def segment_window(spark, sf_dir):
     ends = windows(spark, sf_dir).select(
         "ordinal",
@@ -268,33 +275,33 @@ def align_summary(spark, sf_dir):
     return intervals.align_summary(intervals.align(windows(spark, sf_dir), frames(spark, sf_dir), 2.0), 2.0)
 
 
-def search_topk(spark, sf_dir, whole=False):
-    found = search.search(_index(spark, sf_dir, whole), questions(spark, sf_dir, whole), 5)
+def search_topk(spark, sf_dir):
+    found = search.search(_index(spark, sf_dir), questions(spark, sf_dir), 5)
     return found.select("query_id", "rank", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-def search_candidates(spark, sf_dir, whole=False):
-    found = search.candidates(_index(spark, sf_dir, whole), questions(spark, sf_dir, whole), 5)
+def search_candidates(spark, sf_dir):
+    found = search.candidates(_index(spark, sf_dir), questions(spark, sf_dir), 5)
     return found.select("query_id", "rank", "segment_id", "video_id", "timestamp_center", F.md5("transcript_excerpt").alias("excerpt_md5"))
 
 
-def abs_errors(spark, sf_dir, whole=False):
-    asked = questions(spark, sf_dir, whole)
-    return evaluation.absolute_errors(asked, search.candidates(_index(spark, sf_dir, whole), asked, 5))
+def abs_errors(spark, sf_dir):
+    asked = questions(spark, sf_dir)
+    return evaluation.absolute_errors(asked, search.candidates(_index(spark, sf_dir), asked, 5))
 
 
-def _evaluated(spark, sf_dir, whole=False) -> DataFrame:
-    asked = questions(spark, sf_dir, whole)
-    return evaluation.evaluate(asked, search.candidates(_index(spark, sf_dir, whole), asked, 5), DELTAS)
+def _evaluated(spark, sf_dir) -> DataFrame:
+    asked = questions(spark, sf_dir)
+    return evaluation.evaluate(asked, search.candidates(_index(spark, sf_dir), asked, 5), DELTAS)
 
 
-def eval_per_query(spark, sf_dir, whole=False):
+def eval_per_query(spark, sf_dir):
     hit = lambda d: F.col("hit_by_delta")[F.lit(d)].alias(f"hit_{d}")
-    return _evaluated(spark, sf_dir, whole).select("query_id", "best_abs_error", "top_candidate_sample_id", *map(hit, DELTAS))
+    return _evaluated(spark, sf_dir).select("query_id", "best_abs_error", "top_candidate_sample_id", *map(hit, DELTAS))
 
 
-def eval_summary(spark, sf_dir, whole=False):
-    return evaluation.summarize(_evaluated(spark, sf_dir, whole), DELTAS)
+def eval_summary(spark, sf_dir):
+    return evaluation.summarize(_evaluated(spark, sf_dir), DELTAS)
 
 
 def upsert_last_wins(spark, sf_dir):
@@ -333,25 +340,211 @@ def windowed_counts(spark, sf_dir):
     return counted.select(F.date_format("w", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def _write_records(spark, sf_dir) -> str:
+    """Records of all documents as JSON lines, in the order of their ids."""
+    path = scratch_path(spark, "records")
+    files.write_lines(records(spark, sf_dir).withColumn("at", F.col("sample_index")), path, "at")
+    return path
+
+
+def records_limit(spark, sf_dir):
+    """The first records of a file."""
+    return jsonl.read_records(spark, _write_records(spark, sf_dir), 37).select("sample_index", "sample_id", F.md5("transcript_text").alias("text_md5"), "has_timestamp")
+
+
+def record_segment_scan(spark, sf_dir):
+    """Segments of all records of a file, in its order."""
+    made = numbering.numbered(jsonl.read_record_segments(spark, _write_records(spark, sf_dir)), "position")
+    return made.select("ordinal", "segment_id", "start_time", "end_time", F.md5("normalized_text").alias("text_md5"))
+
+
+def bad_line_number(spark, sf_dir):
+    """The line that an error names: one of no object after all documents, blank lines counted."""
+    docs = table(spark, sf_dir, "documents")
+    good = docs.select(F.col("doc_id").alias("at"), F.concat(F.to_json(F.struct("doc_id", "text")), F.lit("\n")).alias("line"))
+    last = docs.agg((F.max("doc_id") + 1).alias("at")).withColumn("line", F.lit("[1]"))
+    path = scratch_path(spark, "bad")
+    files.write_lines(good.unionByName(last), path, "at", F.col("line"), one_file=True)
+    try:
+        jsonl.read_json_lines(spark, path)
+    except ValueError as wrong:
+        return spark.createDataFrame([(int(str(wrong).split(", line ")[1].split(":")[0]),)], "line long")
+    return spark.createDataFrame([], "line long")
+
+
+def _project(spark, sf_dir) -> str:
+    """A project folder with windows as segments, which have keys of their own, and frames, some known by their path only."""
+    root = scratch_path(spark, "projects")
+    rows = windows(spark, sf_dir).select(
+        "ordinal", F.concat(F.lit("seg_"), F.col("ordinal").cast("string")).alias("segment_id"), F.col("start_time").cast("string").alias("start_time"), "end_time",
+        F.struct(F.col("ordinal").alias("id")).alias("own"), F.concat(F.lit("event "), F.col("ordinal").cast("string")).alias("transcript_text"),
+    )
+    files.write_lines(rows, f"{root}/p/segments/lecture_segments.jsonl", "ordinal")
+    named = F.when(F.col("ordinal") % 2 == 0, F.col("frame_id"))
+    grid = frames(spark, sf_dir).select("ordinal", named.alias("frame_id"), F.concat(F.lit("/f/"), F.col("frame_id"), F.lit(".jpg")).alias("frame_path"), "timestamp")
+    files.write_lines(grid, f"{root}/p/manifests/frames_manifest.jsonl", "ordinal")
+    Folder(spark, f"{root}/p/manifests").write_text("project_manifest.json", files.json_text({"project_id": "p", "counts": {"frames": 7}, "artifacts": 3}))
+    return root
+
+
+def align_workflow(spark, sf_dir):
+    """Segments and frames of a project's files aligned into a file, which is read back."""
+    root = _project(spark, sf_dir)
+    workflows.align_frames(spark, "p", root, 2.0)
+    v = F.col("v")
+    rows = jsonl.read_json_lines(spark, f"{root}/p/segments/lecture_segments_aligned.jsonl")
+    refs = F.try_variant_get(v, "$.frame_refs", "array<string>")
+    return rows.select(
+        F.try_variant_get(v, "$.segment_id", "string").alias("segment_id"), F.try_variant_get(v, "$.own.id", "long").alias("own_id"),
+        F.size(refs).cast("long").alias("n_refs"), F.array_join(refs, ",").alias("refs"),
+    )
+
+
+def align_manifest(spark, sf_dir):
+    """What the manifest says once a project was aligned."""
+    root = _project(spark, sf_dir)
+    workflows.align_frames(spark, "p", root, 2.0)
+    text = spark.read.text(f"{root}/p/manifests/project_manifest.json", wholetext=True).select(F.parse_json("value").alias("v"))
+    at = lambda path, kind: F.try_variant_get("v", path, kind)
+    return text.select(
+        at("$.project_id", "string").alias("project_id"), at("$.counts.frames", "long").alias("frames"), at("$.counts.lecture_segments_aligned", "long").alias("aligned"),
+        at("$.alignment.segments_with_frames", "long").alias("with_frames"), at("$.alignment.frame_refs_total", "long").alias("refs"),
+        F.regexp_extract(at("$.artifacts.lecture_segments_aligned", "string"), "[^/]+$", 0).alias("file"),
+    )
+
+
+def index_project_workflow(spark, sf_dir):
+    """A project's segments in a stored index, loaded twice, the second time anew."""
+    root = _project(spark, sf_dir)
+    store = IndexStore(ship(spark), scratch_path(spark, "index"))
+    for again in (False, True):
+        done = workflows.index_project(store, "a/b", f"{root}/p", 64, again)
+    rows = store.documents("a/b").select("segment_id", "start_time", "transcript_text")
+    return rows.withColumn("batches", F.lit(done["indexed_batches"]))
+
+
+def index_records_workflow(spark, sf_dir):
+    """Records of a file in a stored index, in batches of one."""
+    store = IndexStore(ship(spark), scratch_path(spark, "index"))
+    done = workflows.index_records(store, _write_records(spark, sf_dir), "i", "demo", None, 0)
+    return store.documents("i").select("segment_id", "project_id", "sample_index", F.lit(done["indexed_documents"]).alias("documents"))
+
+
+def index_recreated(spark, sf_dir):
+    """An index that is deleted and made again holds what came after, the last of a key within a batch too."""
+    store = IndexStore(ship(spark), scratch_path(spark, "index"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("id"), "doc_id")
+    store.create_index("i", "id")
+    store.add_documents("i", docs.where("doc_id % 2 = 0"))
+    store.delete_index("i")
+    store.create_index("i", "id")
+    store.add_documents("i", docs.orderBy("doc_id"))
+    return store.documents("i")
+
+
+def store_search(spark, sf_dir):
+    """A stored index asked with a filter and an order."""
+    store = IndexStore(ship(spark), scratch_path(spark, "index"))
+    store.create_index("i")
+    store.update_settings("i", {"searchableAttributes": ["transcript_text"], "filterableAttributes": ["video_id"], "sortableAttributes": ["timestamp_center"]})
+    store.add_documents("i", segments.record_segments(records(spark, sf_dir)))
+    found = store.search("i", questions(spark, sf_dir), 5, {"video_id": ["src1", "src3"]}, ["timestamp_center:desc"])
+    return found.select("query_id", "rank", "segment_id", "timestamp_center")
+
+
+def eval_workflow(spark, sf_dir):
+    """Records of a file evaluated against an index of all documents, as the written rows say."""
+    store = IndexStore(ship(spark), scratch_path(spark, "index"))
+    store.create_index("i")
+    store.update_settings("i", {"searchableAttributes": ["transcript_text"]})
+    store.add_documents("i", segments.record_segments(records(spark, sf_dir)))
+    asked = questions(spark, sf_dir).select(F.col("query_id").alias("at"), F.col("query_id").cast("string").alias("sample_id"), F.col("query").alias("question"), "timestamp_points")
+    path, out = scratch_path(spark, "asked"), scratch_path(spark, "evaluated")
+    files.write_lines(asked, path, "at")
+    workflows.evaluate_records(store, path, "i", 5, None, DELTAS, out)
+    at = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    return jsonl.read_json_lines(spark, out).select(
+        at("sample_id", "long").alias("query_id"), at("best_abs_error", "double").alias("best_abs_error"),
+        *(at(f"hit_by_delta.{d}", "boolean").alias(f"hit_{d}") for d in DELTAS), at("topk_candidates[0].sample_id", "string").alias("top_candidate_sample_id"),
+    )
+
+
+def eval_workflow_summary(spark, sf_dir):
+    """The printed summary of the first questions of a file."""
+    store = IndexStore(ship(spark), scratch_path(spark, "index"))
+    store.create_index("i")
+    store.update_settings("i", {"searchableAttributes": ["transcript_text"]})
+    store.add_documents("i", segments.record_segments(records(spark, sf_dir)))
+    asked = questions(spark, sf_dir).select(F.col("query_id").alias("at"), F.col("query").alias("question"), "timestamp_points")
+    path = scratch_path(spark, "asked")
+    files.write_lines(asked, path, "at")
+    summary = workflows.evaluate_records(store, path, "i", 5, 20, DELTAS)
+    return spark.createDataFrame([summary], "count long, mean_abs_error double, hit_at_60s double, hit_at_300s double, hit_at_900s double")
+
+
+def _tools(command):
+    """Stands in for the video tools: a probe, and a file for each of three frames."""
+    if command[0] == "ffprobe":
+        return '{"streams": [{"width": "640", "height": 480, "r_frame_rate": "30/1"}], "format": {"duration": "3.5"}}'
+    if command[-1].endswith(".jpg"):
+        for i in (1, 2, 3):
+            Path(command[-1].replace("%06d", f"{i:06d}")).touch()
+    return ""
+
+
+def _local_folder(spark, name: str) -> Path:
+    """A shared folder as a local path: the tools of one video work on local files."""
+    path = Path(re.sub("^file:/+", "/", scratch_path(spark, name)))
+    path.mkdir(parents=True)
+    return path
+
+
+def ingest_workflow(spark, sf_dir):
+    """A video whose subtitles are the benchmark's texts, ingested with stand-ins for the video tools: its segments' file."""
+    folder = _local_folder(spark, "ingest")
+    (folder / "my talk.mp4").touch()
+    cue = F.concat(
+        F.lit("1\n"), F.format_string("%02d:%02d:%02d,500", F.col("item_id") % 24, F.col("item_id") % 60, F.col("item_id") * 7 % 60), F.lit(" --> "),
+        F.format_string("%02d:%02d:%02d.000", F.col("item_id") % 24, F.col("item_id") % 60, F.col("item_id") * 7 % 60 + 1), F.lit("\n"), S.collapse_space(F.col("text")), F.lit("\n"),
+    )
+    files.write_lines(table(spark, sf_dir, "benchmark").select("item_id", cue.alias("line")), f"file://{folder}/my talk.srt", "item_id", F.col("line"), one_file=True)
+    config = workflows.IngestConfig(video_path=folder / "my talk.mp4", project_id="p", video_id="my_talk", output_root=folder / "projects")
+    made = workflows.ingest_video(spark, config, _tools)
+    rows = jsonl.read_json_lines(spark, f"file://{made['artifacts']['lecture_segments']}")
+    at = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    return rows.select(
+        at("sample_index", "long").alias("seq_no"), at("segment_id", "string").alias("segment_id"), at("start_time", "double").alias("start_time"),
+        at("end_time", "double").alias("end_time"), F.md5(at("transcript_text", "string")).alias("text_md5"),
+        F.lit(made["counts"]["lecture_segments"]).cast("long").alias("counted"), F.lit(made["transcript_source"]).alias("transcript_source"),
+    )
+
+
+def ingest_frames(spark, sf_dir):
+    """The grid of frames that an ingested video without a transcript has, with what the probe said."""
+    folder = _local_folder(spark, "ingest")
+    (folder / "v.mp4").touch()
+    config = workflows.IngestConfig(folder / "v.mp4", "p", "v", folder / "projects", frame_rate=80.0, transcript_source="none")
+    made = workflows.ingest_video(spark, config, _tools)
+    at = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    rows = jsonl.read_json_lines(spark, f"file://{made['artifacts']['frames_manifest']}")
+    return rows.select(
+        at("frame_id", "string").alias("frame_id"), at("timestamp", "double").alias("timestamp"), F.lit(made["probe"]["width"]).cast("long").alias("width"),
+        F.lit(made["probe"]["duration_sec"]).alias("duration_sec"), F.lit(made["counts"]["frames"]).cast("long").alias("frames"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        mention_candidates, slugify, slugify_whole, excerpt, text_functions, number_functions, transcript_source, record_coerce, record_coerce_whole, record_segments,
+        mention_candidates, slugify, excerpt, text_functions, number_functions, transcript_source, record_coerce, record_segments,
         jsonl_scan, records_by_id, index_documents, eval_rows, time_and_delta_functions, variant_numbers,
-        srt_roundtrip, cue_segments, stt_normalize, frame_grid, segment_window, interval_align, interval_align_theta, align_summary,
+        srt_roundtrip, cue_segments, stt_normalize, frame_grid, frame_grid_rates, rounding, segment_window, interval_align, interval_align_theta, align_summary,
         search_topk, search_candidates, abs_errors, eval_per_query, eval_summary, upsert_last_wins, prefix_limit, batch_assign,
-        attribute_filter, attribute_sort, windowed_counts,
+        attribute_filter, attribute_sort, windowed_counts, records_limit, record_segment_scan, bad_line_number, align_workflow, align_manifest,
+        index_project_workflow, index_records_workflow, index_recreated, store_search, eval_workflow, eval_workflow_summary, ingest_workflow, ingest_frames,
     )
 }
 
-
-def _whole(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: query(spark, sf_dir, whole=True)
-
-
-SEARCHES = (search_topk, search_candidates, abs_errors, eval_rows, eval_per_query, eval_summary)
-QUERIES |= {f"{f.__name__}_whole": _whole(f) for f in SEARCHES}
-
 _HINTS = ", ".join(f"'{h}'" for h in S.DEICTIC_HINTS)
 
 
@@ -392,7 +585,7 @@ _HITS = r"""
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     asked AS (
         SELECT DISTINCT query_id, term FROM (
-            SELECT item_id AS query_id, unnest(regexp_extract_all(lower(substr(text, 1, 80)), '[\p{L}\p{N}]+')) AS term FROM benchmark)),
+            SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark)),
     scored AS (
         SELECT query_id, doc_id,
                sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score
@@ -411,8 +604,7 @@ _BEST = f"""{_ERRORS},
 
 SQL: dict[str, str] = {
     "mention_candidates": f"SELECT doc_id, {_sql_mentions('text')} AS mentions FROM documents",
-    "slugify": f"SELECT doc_id, {_sql_slug('substr(text, 1, 80)')} AS slug FROM documents",
-    "slugify_whole": f"SELECT doc_id, md5({_sql_slug('text')}) AS slug_md5 FROM documents",
+    "slugify": f"SELECT doc_id, md5({_sql_slug('text')}) AS slug_md5, length({_sql_slug('text')}) AS slug_chars FROM documents",
     "excerpt": "SELECT doc_id, CASE WHEN length(text) > 360 THEN substr(text, 1, 360) || '...' ELSE text END AS excerpt FROM documents",
     "text_functions": f"""
         SELECT page_id, {_SPACED.format("html")} AS collapsed, {_STEM.format("url")} AS stem, {_sql_slug(_STEM.format("url"))} AS video_id
@@ -427,14 +619,10 @@ SQL: dict[str, str] = {
                WHEN 1 THEN 'none' WHEN 2 THEN 'srt' ELSE 'stt' END AS transcript_source
         FROM documents""",
     "record_coerce": """
-        SELECT doc_id AS sample_index, source || '/' || doc_id AS sample_id, source AS video_name, substr(text, 1, 60) AS question,
+        SELECT doc_id AS sample_index, source || '/' || doc_id AS sample_id, source AS video_name, md5(text) AS question_md5, md5(text) AS transcript_md5,
                '' AS answer, (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END)::BIGINT AS n_points, doc_id % 5 <> 0 AS has_timestamp,
                CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR END AS qid
         FROM documents""",
-    "record_coerce_whole": """
-        SELECT doc_id AS sample_index, md5(text) AS question_md5, md5(text) AS transcript_md5,
-               (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END)::BIGINT AS n_points
-        FROM documents""",
     "jsonl_scan": """
         SELECT doc_id, md5(text) AS text_md5, CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS lang, doc_id % 3 <> 0 AS is_null
         FROM documents""",
@@ -461,7 +649,7 @@ SQL: dict[str, str] = {
     "record_segments": f"""
         SELECT {_SEGMENT_ID} AS segment_id, doc_id AS sample_index, source AS video_id,
                CASE WHEN doc_id % 5 <> 0 THEN greatest(0.0::DOUBLE, {_CENTER} - 90) END AS start_time, {_CENTER} + 90 AS end_time,
-               {_CENTER} AS timestamp_center, {_sql_mentions("substr(text, 1, 60) || ' ' || text")} AS mentions, 'eduvidqa' AS source
+               {_CENTER} AS timestamp_center, {_sql_mentions("text || ' ' || text")} AS mentions, 'eduvidqa' AS source
         FROM documents""",
     "srt_roundtrip": f"""
         SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq_no, (turn * 10)::DOUBLE AS start_time,
@@ -531,6 +719,63 @@ SQL: dict[str, str] = {
         SELECT {_SEGMENT_ID} AS segment_id, {_CENTER} AS timestamp_center FROM documents
         WHERE doc_id % 5 <> 0 ORDER BY timestamp_center DESC, doc_id LIMIT 20""",
     "windowed_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "frame_grid_rates": """
+        SELECT fps, printf('frame_%06d', i) AS frame_id, printf('%.3f', (i - 1)::DOUBLE / fps)::DOUBLE AS timestamp
+        FROM range(1, (SELECT count(*) FROM documents) + 1) t(i), (VALUES (29.97::DOUBLE), (80.0::DOUBLE), (400.0::DOUBLE)) r(fps)""",
+    "rounding": """
+        SELECT doc_id, printf('%.4f', doc_id::DOUBLE / 80)::DOUBLE AS r0, printf('%.4f', doc_id::DOUBLE / 400)::DOUBLE AS r1,
+               printf('%.4f', doc_id::DOUBLE / 20000)::DOUBLE AS r2, printf('%.4f', -doc_id::DOUBLE / 7)::DOUBLE AS r3,
+               printf('%.4f', doc_id::DOUBLE * 0.00005::DOUBLE)::DOUBLE AS r4
+        FROM documents""",
+    "records_limit": """
+        SELECT doc_id AS sample_index, source || '/' || doc_id AS sample_id, md5(text) AS text_md5, doc_id % 5 <> 0 AS has_timestamp
+        FROM documents ORDER BY doc_id LIMIT 37""",
+    "record_segment_scan": f"""
+        SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, {_SEGMENT_ID} AS segment_id,
+               CASE WHEN doc_id % 5 <> 0 THEN greatest(0.0::DOUBLE, {_CENTER} - 90) END AS start_time, {_CENTER} + 90 AS end_time, md5(lower(text)) AS text_md5
+        FROM documents""",
+    "bad_line_number": "SELECT 2 * count(*) + 1 AS line FROM documents",
+    "align_workflow": f"""
+        WITH {_ALIGNED}
+        SELECT 'seg_' || ordinal AS segment_id, ordinal AS own_id, count(event_id) AS n_refs,
+               coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id), '') AS refs
+        FROM met GROUP BY ordinal""",
+    "align_manifest": f"""
+        WITH {_ALIGNED},
+        each AS (SELECT ordinal, count(event_id) AS n FROM met GROUP BY ordinal)
+        SELECT 'p' AS project_id, 7::BIGINT AS frames, count(*) AS aligned, count(*) FILTER (n > 0) AS with_frames, sum(n)::BIGINT AS refs,
+               'lecture_segments_aligned.jsonl' AS file
+        FROM each""",
+    "index_project_workflow": f"""
+        WITH {_WINDOWS}
+        SELECT 'seg_' || ordinal AS segment_id, start_time, 'event ' || ordinal AS transcript_text,
+               ((SELECT count(*) FROM wins) + 63) // 64 AS batches
+        FROM wins""",
+    "index_records_workflow": f"""
+        SELECT {_SEGMENT_ID} AS segment_id, 'demo' AS project_id, doc_id AS sample_index, (SELECT count(*) FROM documents)::INTEGER AS documents
+        FROM documents""",
+    "index_recreated": "SELECT source AS id, max(doc_id) AS doc_id FROM documents GROUP BY source",
+    "store_search": f"""
+        WITH {_HITS},
+        ranked AS (
+            SELECT query_id, d.doc_id, d.source,
+                   row_number() OVER (PARTITION BY query_id ORDER BY {_CENTER.replace("doc_id", "d.doc_id")} DESC NULLS LAST, round(score, 9) DESC, {_SEGMENT_ID.replace("doc_id", "d.doc_id")}) AS place
+            FROM scored JOIN documents d USING (doc_id) WHERE d.source IN ('src1', 'src3'))
+        SELECT query_id, place::INTEGER AS rank, {_SEGMENT_ID} AS segment_id, {_CENTER} AS timestamp_center FROM ranked WHERE place <= 5""",
+    "ingest_workflow": f"""
+        SELECT row_number() OVER (ORDER BY item_id) AS seq_no, 'seg_my_talk_' || printf('%06d', row_number() OVER (ORDER BY item_id)) AS segment_id,
+               (item_id % 24 * 3600 + item_id % 60 * 60 + item_id * 7 % 60)::DOUBLE + 0.5 AS start_time,
+               (item_id % 24 * 3600 + item_id % 60 * 60 + item_id * 7 % 60 + 1)::DOUBLE AS end_time, md5({_SPACED.format("text")}) AS text_md5,
+               count(*) OVER () AS counted, 'srt' AS transcript_source
+        FROM benchmark""",
+    "ingest_frames": """
+        SELECT printf('frame_%06d', i) AS frame_id, printf('%.3f', (i - 1)::DOUBLE / 80)::DOUBLE AS timestamp, 640::BIGINT AS width, 3.5::DOUBLE AS duration_sec,
+               3::BIGINT AS frames
+        FROM range(1, 4) t(i)""",
 }
-_CUT = "lower(substr(text, 1, 80))"
-SQL |= {f"{f.__name__}_whole": SQL[f.__name__].replace(_CUT, "lower(text)") for f in SEARCHES}
+_TOP_BY_SEGMENT = SQL["eval_per_query"].replace("round(score, 9) DESC, doc_id)", f"round(score, 9) DESC, (SELECT {_SEGMENT_ID} FROM documents s WHERE s.doc_id = scored.doc_id))")
+SQL["eval_workflow"] = _TOP_BY_SEGMENT
+SQL["eval_workflow_summary"] = (
+    SQL["eval_summary"].replace("round(score, 9) DESC, doc_id)", f"round(score, 9) DESC, (SELECT {_SEGMENT_ID} FROM documents s WHERE s.doc_id = scored.doc_id))")
+    + " WHERE query_id IN (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 20)"
+)

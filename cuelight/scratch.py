@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+_left: dict[str, SparkSession] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one of our own only where none is set, as in tests."""
+    """The checkpoint folder of the session; one of our own only where none is set and all tasks run in this process, as in
+    tests. On a cluster a folder of one machine would not be seen by the others, so there it must be set."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="cuelight-")
         context.setCheckpointDir(folder)
         folder = context.getCheckpointDir()
@@ -20,15 +27,40 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: a cut in the lineage that outlives executors."""
+    """Writes a table to the shared folder and reads it back: a cut in the lineage that outlives executors.
+
+    It stays until it is discarded, or the program ends: a result may still read it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cuelight-{uuid.uuid4().hex}"
+    _left[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cuelight_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _left.pop(path, None)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made and that nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, df._cuelight_path)
+
+
+@atexit.register
+def _tidy() -> None:
+    """Removes what is left, if the session still runs."""
+    for path, spark in list(_left.items()):
+        if SparkContext._active_spark_context is not spark.sparkContext:
+            return
+        _delete(spark, path)
+
+
 class Folder:
     """A folder of whatever file system its path names, by the driver's Hadoop client."""
 
@@ -56,13 +88,32 @@ class Folder:
         finally:
             out.close()
 
-    def read_text(self, name: str) -> str:
-        return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]
+    def claim(self, name: str) -> bool:
+        """Makes an empty file unless there is one: of several callers exactly one succeeds."""
+        files, target = self._at(name)
+        return files.createNewFile(target)
+
+    def names(self, name: str) -> list[str]:
+        """What a folder holds, in order; nothing if there is none."""
+        files, target = self._at(name)
+        return sorted(s.getPath().getName() for s in files.listStatus(target)) if files.exists(target) else []
 
+    def join(self, parts: str, name: str) -> None:
+        """The bytes of the parts of a folder, in order, as one file; the folder goes."""
+        io = self.spark._jvm.org.apache.hadoop.io.IOUtils
+        files, target = self._at(name)
+        if files.exists(target):
+            files.delete(target, True)
+        out = files.create(target, True)
+        try:
+            for part in self.names(parts):
+                if part.startswith("part-"):
+                    source = files.open(self._at(f"{parts}/{part}")[1])
+                    io.copyBytes(source, out, self.spark._jsc.hadoopConfiguration(), False)
+                    source.close()
+        finally:
+            out.close()
+        self.delete(parts)
 
-def discard(df: DataFrame) -> None:
-    """Removes a table that ``written`` made and that nothing will read again."""
-    path = df._cuelight_path
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    def read_text(self, name: str) -> str:
+        return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]

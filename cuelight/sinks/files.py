@@ -7,10 +7,12 @@ from dataclasses import asdict, is_dataclass
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuelight.scratch import Folder
+
 
 def jsonable(value: Any) -> Any:
     """Dataclasses, rows and paths as JSON has them, inside of others too."""
@@ -25,51 +27,43 @@ def jsonable(value: Any) -> Any:
     return str(value) if isinstance(value, Path) else value
 
 
+def json_text(payload: Any) -> str:
+    return json.dumps(jsonable(payload), ensure_ascii=False, indent=2) + "\n"
+
+
 def write_json(path: Path, payload: Any) -> None:
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(jsonable(payload), ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+    path.write_text(json_text(payload), encoding="utf-8")
 
 
-def write_json_lines(df: DataFrame, path: str, order: str | None = None) -> int:
-    """One object a line in a folder of parts, nulls written out; in the given order across the parts. Returns the rows."""
-    if order:
-        df = df.orderBy(order).drop(order)
-    rows = Observation()
-    df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_lines(df: DataFrame, path: str | Path, order: str, line: Column | None = None, one_file: bool = False) -> int:
+    """One JSON object a line, nulls written out, in the given order: a folder of parts in that order, or ``one_file`` of the
+    same bytes on request, for what is small. ``line``: the text of a line, if not the other columns. Returns the rows."""
+    line = F.to_json(F.struct(*(c for c in df.columns if c != order)), {"ignoreNullFields": "false"}) if line is None else line
+    rows, target = Observation(), str(path).rstrip("/")
+    parts = f"{target}.parts" if one_file else target
+    text = df.select(order, line.alias("value")).orderBy(order).select("value")
+    text.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(parts)
+    if one_file:
+        folder, _, name = target.rpartition("/")
+        Folder(df.sparkSession, folder).join(f"{name}.parts", name)
     return rows.get["n"]
 
 
-def write_lines_file(df: DataFrame, path: Path, order: str) -> int:
-    """One object a line in a single file, in order: artefacts of one project, streamed through the driver a part at a time."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    text = df.select(order, F.to_json(F.struct(*(c for c in df.columns if c != order)), {"ignoreNullFields": "false"}).alias("line"))
-    n = 0
-    with path.open("w", encoding="utf-8") as out:
-        for row in text.orderBy(order).toLocalIterator():
-            out.write(row["line"] + "\n")
-            n += 1
-    return n
-
-
-def write_variant_lines(df: DataFrame, path: Path, order: str, **replaced: str) -> int:
-    """Objects of a variant column ``v`` with all their keys, some replaced by columns of ``df``; see ``write_lines_file``."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    extra = F.to_json(F.struct(*(F.col(c).alias(k) for k, c in replaced.items())), {"ignoreNullFields": "false"})
-    n = 0
-    with path.open("w", encoding="utf-8") as out:
-        for row in df.select(order, F.to_json("v").alias("line"), extra.alias("extra")).orderBy(order).toLocalIterator():
-            out.write(json.dumps(json.loads(row["line"]) | json.loads(row["extra"]), ensure_ascii=False) + "\n")
-            n += 1
-    return n
+def object_line(v: Column, **replaced: Column) -> Column:
+    """An object of a variant column as JSON with all its keys, some replaced, or added, by columns."""
+    kept = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(*replaced))
+    made = F.create_map(*(x for k, c in replaced.items() for x in (F.lit(k), F.to_variant_object(c))))
+    return F.to_json(F.map_concat(kept, made), {"ignoreNullFields": "false"})
 
 
-def merge_manifest(path: Path, **sections: Any) -> dict[str, Any]:
+def merge_manifest(folder: Folder, name: str, **sections: Any) -> dict[str, Any]:
     """Sets sections of a JSON object in a file; dictionaries are merged into what is there. A missing file, or one that holds
     something else, counts as empty, and so does a section that is no object."""
-    known: Any = json.loads(path.read_text(encoding="utf-8")) if path.exists() else {}
+    known: Any = json.loads(folder.read_text(name)) if folder.exists(name) else {}
     known = known if isinstance(known, dict) else {}
-    for name, value in sections.items():
-        before = known.get(name)
-        known[name] = (before if isinstance(before, dict) else {}) | value if name in ("artifacts", "counts") else value
-    write_json(path, known)
+    for key, value in sections.items():
+        before = known.get(key)
+        known[key] = (before if isinstance(before, dict) else {}) | value if key in ("artifacts", "counts") else value
+    folder.write_text(name, json_text(known))
     return known

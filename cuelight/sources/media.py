@@ -16,23 +16,25 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import scalars as S
 
-# Model and choices of speech recognition and of transcripts.
+# Model and choices of speech recognition and of transcripts, and the arguments by which sound is taken out.
 STT_MODEL = "mlx-community/whisper-large-v3-mlx"
-TRANSCRIPT_SOURCES = ("auto", "none", "srt", "stt")
+TRANSCRIPT_SOURCES = frozenset(("auto", "none", "srt", "stt"))
 STT_TASKS = ("transcribe", "translate")
+QUIET = ["ffmpeg", "-hide_banner", "-loglevel", "error", "-y"]
+SOUND_ONLY = ["-vn", "-ac", "1", "-ar", "16000", "-c:a", "pcm_s16le"]
 
 Runner = Callable[[Sequence[str]], str]
 
 
 def run(command: Sequence[str]) -> str:
-    """The output of a command; RuntimeError if it is missing or fails."""
-    try:
-        done = subprocess.run(list(command), check=True, capture_output=True, text=True)
-    except FileNotFoundError as missing:
-        raise RuntimeError(f"{command[0]} is not installed") from missing
-    except subprocess.CalledProcessError as failed:
-        raise RuntimeError(f"{' '.join(command)} failed: {(failed.stderr or '').strip()}") from failed
-    return done.stdout
+    """What a tool prints. One that cannot be started, or that ends with an error, is a RuntimeError that says why."""
+    if shutil.which(command[0]) is None:
+        raise RuntimeError(f"{command[0]} is not installed")
+    tool = subprocess.Popen([*command], stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True)
+    printed, complaint = tool.communicate()
+    if tool.returncode:
+        raise RuntimeError(f"{command[0]} failed with {tool.returncode}: {complaint.strip()}")
+    return printed
 
 
 def probe_rows(outputs: DataFrame) -> DataFrame:
@@ -61,18 +63,16 @@ def probe_video(spark: SparkSession, video: Path, runner: Runner = run) -> dict[
 def extract_audio(video: Path, audio: Path, runner: Runner = run) -> Path:
     """Mono audio of 16 kHz, 16 bits, as a WAV file; one that is there is overwritten."""
     audio.parent.mkdir(parents=True, exist_ok=True)
-    options = {"-i": video, "-ac": 1, "-ar": 16000, "-c:a": "pcm_s16le"}
-    runner(["ffmpeg", "-hide_banner", "-loglevel", "error", "-y", *(str(x) for o in options.items() for x in o), str(audio)])
+    runner([*QUIET, "-i", str(video), *SOUND_ONLY, str(audio)])
     return audio
 
 
 def sample_frames(video: Path, folder: Path, fps: float, most: int | None, runner: Runner = run) -> int:
     """Writes frames at a rate; ``most`` of None, 0 or less is no cap. Returns how many frame files the folder then has."""
-    folder.mkdir(parents=True, exist_ok=True)
-    cap = ["-frames:v", str(most)] if most is not None and most > 0 else []
-    shown = ["ffmpeg", "-hide_banner", "-loglevel", "error", "-y", "-i", str(video), "-vf", f"fps={fps}"]
-    runner([*shown, *cap, str(folder / "frame_%06d.jpg")])
-    return sum(1 for _ in folder.glob("frame_*.jpg"))
+    os.makedirs(folder, exist_ok=True)
+    wanted = {"-vf": f"fps={fps}"} | ({"-frames:v": str(most)} if (most or 0) > 0 else {})
+    runner([*QUIET, "-i", str(video), *(word for pair in wanted.items() for word in pair), str(folder / "frame_%06d.jpg")])
+    return len(list(folder.glob("frame_*.jpg")))
 
 
 def frame_grid(spark: SparkSession, folder: str, fps: float, count: int) -> DataFrame:
@@ -132,15 +132,14 @@ def register_source(video: Path, folder: Path, copy: bool) -> Path:
     return target
 
 
-def segment_file(project: Path, named: Path | None = None) -> Path:
+def segment_file(project: str | Path, named: str | Path | None = None, exists: Callable[[str], bool] = os.path.exists) -> str:
     """The segments of a project: a named file (from the project's folder, if relative), else aligned ones, else plain ones."""
-    options = [named if named.is_absolute() else project / named] if named else [
-        project / "segments" / "lecture_segments_aligned.jsonl", project / "segments" / "lecture_segments.jsonl"
-    ]
+    inside = [str(named)] if named else ["segments/lecture_segments_aligned.jsonl", "segments/lecture_segments.jsonl"]
+    options = [name if name.startswith("/") or "://" in name else f"{project}/{name}" for name in inside]
     for option in options:
-        if option.exists():
+        if exists(option):
             return option
-    raise FileNotFoundError(f"no segments at {' or '.join(map(str, options))}")
+    raise FileNotFoundError(f"no segments at {' or '.join(options)}")
 
 
 def project_folder(root: Path, project_id: str | None = None, project_dir: Path | None = None) -> Path:

@@ -101,9 +101,9 @@ def test_files_of_a_project(tmp_path):
         media.segment_file(folder)
     plain, aligned = folder / "segments" / "lecture_segments.jsonl", folder / "segments" / "lecture_segments_aligned.jsonl"
     plain.touch()
-    assert media.segment_file(folder) == plain
+    assert media.segment_file(folder) == str(plain)
     aligned.touch()
-    assert media.segment_file(folder) == aligned
+    assert media.segment_file(folder) == str(aligned)
     assert media.project_folder(tmp_path, "p") == folder == media.project_folder(tmp_path, project_dir=folder)
     for wrong in ({}, {"project_id": "p", "project_dir": folder}):
         with pytest.raises(ValueError):

@@ -8,7 +8,8 @@ import pytest
 
 from cuelight import cli
 from cuelight.plans import workflows
-from cuelight.sinks.files import jsonable, merge_manifest, write_json, write_json_lines
+from cuelight.scratch import Folder
+from cuelight.sinks.files import jsonable, merge_manifest, write_json, write_lines
 from cuelight.sinks.index_store import IndexStore, Task
 from cuelight.streaming.align import align_stream, read_segments
 
@@ -20,7 +21,9 @@ def lines(path, rows):
 
 
 def read(path):
-    return [json.loads(line) for line in Path(path).read_text(encoding="utf-8").splitlines()]
+    """The lines of a file, or of a folder of parts in the order of their names."""
+    parts = sorted(Path(path).glob("part-*")) if Path(path).is_dir() else [Path(path)]
+    return [json.loads(line) for part in parts for line in part.read_text(encoding="utf-8").splitlines()]
 
 
 def fake_tools(command):
@@ -48,7 +51,8 @@ def test_ingest_align_index_and_query(spark, tmp_path):
     rows = read(project / "segments" / "lecture_segments.jsonl")
     assert [r["segment_id"] for r in rows] == ["seg_my_talk_000001", "seg_my_talk_000002"] and rows[0]["slide_id"] is None
     assert [r["timestamp"] for r in read(project / "manifests" / "frames_manifest.jsonl")] == [0.0, 1.0, 2.0]
-    summary = workflows.align_frames(spark, "p", tmp_path / "projects", 0.5)
+    summary = workflows.align_frames(spark, "p", tmp_path / "projects", 0.5, one_file=True)
+    assert (project / "segments" / "lecture_segments_aligned.jsonl").is_file()
     assert summary == {
         "margin_seconds": 0.5, "segments_total": 2, "segments_with_frames": 1, "segments_without_frames": 1, "frame_refs_total": 2,
         "unique_frames_referenced": 2,
@@ -103,7 +107,7 @@ def test_evaluate_records(spark, tmp_path):
     store = IndexStore(spark, tmp_path / "indexes")
     assert workflows.index_records(store, str(path), "i", batch_size=1) == {"index": "i", "indexed_documents": 2}
     out = tmp_path / "out" / "e.jsonl"
-    got = workflows.evaluate_records(store, str(path), "i", deltas=[5, 30], output=out)
+    got = workflows.evaluate_records(store, str(path), "i", deltas=[5, 30], output=out, one_file=True)
     assert got == {"count": 2, "mean_abs_error": 25.0, "hit_at_5s": 0.0, "hit_at_30s": 0.5}
     rows = read(out)
     assert rows[0]["hit_by_delta"] == {"5": False, "30": True} and rows[0]["topk_candidates"][0]["sample_id"] == "a"
@@ -124,8 +128,16 @@ def test_index_store(spark, tmp_path):
     store.wait(store.add_documents("i", docs(("s1", "alpha"), ("s2", "beta"))))
     store.wait(store.add_documents("i", docs(("s1", "gamma"), ("s3", "alpha"))))
     assert store.documents("i").count() == 3
+    store.add_documents("i", docs(("s9", "first"), ("s8", "x"), ("s9", "last")).coalesce(1))
+    assert {r.segment_id: r.transcript_text for r in store.documents("i").collect()}["s9"] == "last"
+    for wrong in ({"where": {"transcript_text": "alpha"}}, {"sort": ["segment_id:asc"]}, {"sort": ["sample_index:up"]}):
+        with pytest.raises(ValueError):
+            store.search("i", ask, **wrong)
+    other = IndexStore(spark, tmp_path)  # writers beside each other: numbers are claimed, not counted
+    assert store.folder.claim("i/claims/00000003") and other.add_documents("i", docs(("s7", "y"))) and store.documents("i").count() == 6
     assert [r.segment_id for r in store.search("i", ask).collect()] == ["s3"]
     assert store.delete_index("i")
+    assert store.create_index("../x") and store.create_index("a/b") and sorted(p.name for p in tmp_path.iterdir() if p.is_dir()) == ["%2E%2E%2Fx", "a%2Fb"]
     assert store.wait(None) is None
     with pytest.raises(RuntimeError):
         store.wait(Task(1, "failed"))
@@ -137,13 +149,15 @@ def test_json_files(spark, tmp_path):
     write_json(tmp_path / "a" / "m.json", {"p": Path("/x"), "k": "한", 1: [None]})
     assert (tmp_path / "a" / "m.json").read_text() == '{\n  "p": "/x",\n  "k": "한",\n  "1": [\n    null\n  ]\n}\n'
     (tmp_path / "b.json").write_text("[1]")
-    assert merge_manifest(tmp_path / "b.json", counts={"n": 1}, alignment={"x": 2}) == {"counts": {"n": 1}, "alignment": {"x": 2}}
+    home = Folder(spark, str(tmp_path))
+    assert merge_manifest(home, "b.json", counts={"n": 1}, alignment={"x": 2}) == {"counts": {"n": 1}, "alignment": {"x": 2}}
     write_json(tmp_path / "c.json", {"counts": 3, "artifacts": {"a": 1}, "other": 4})
-    assert merge_manifest(tmp_path / "c.json", counts={"n": 1}, artifacts={"b": 2}) == {"counts": {"n": 1}, "artifacts": {"a": 1, "b": 2}, "other": 4}
-    df = spark.createDataFrame([(1, "é"), (2, None)], "o int, v string")
-    assert write_json_lines(df, str(tmp_path / "d"), "o") == 2
-    rows = [line for f in sorted((tmp_path / "d").glob("*.json")) for line in f.read_text().splitlines()]
-    assert rows == ['{"v":"é"}', '{"v":null}']
+    assert merge_manifest(home, "c.json", counts={"n": 1}, artifacts={"b": 2}) == {"counts": {"n": 1}, "artifacts": {"a": 1, "b": 2}, "other": 4}
+    df = spark.createDataFrame([(2, None), (3, "z"), (1, "é")], "o int, v string").repartition(3)
+    for one_file in (True, False):
+        assert write_lines(df, tmp_path / f"d{one_file}", "o", one_file=one_file) == 3
+        assert read(tmp_path / f"d{one_file}") == [{"v": "é"}, {"v": None}, {"v": "z"}]
+    assert (tmp_path / "dTrue").read_text() == '{"v":"é"}\n{"v":null}\n{"v":"z"}\n' and not (tmp_path / "dTrue.parts").exists()
     assert jsonable(({"a"}, 1))[1] == 1
 
 
