@@ -12,6 +12,7 @@ from cuelight.functions.scalars import parse_deltas
 from cuelight.plans import workflows
 from cuelight.session import session, ship
 from cuelight.sinks.index_store import IndexStore
+from cuelight.sinks.server import ServerStore
 from cuelight.sources import media
 
 LANGUAGE_VARIABLE = "CUELIGHT_STT_LANGUAGE"
@@ -25,6 +26,8 @@ def under_root(path: Path) -> Path:
 def build_parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="cuelight", description="Evidence retrieval over timed lecture transcripts")
     top.add_argument("--index-root", type=Path, default=Path("artifacts/indexes"), help="folder of stored indexes")
+    top.add_argument("--url", default=os.environ.get("CUELIGHT_SEARCH_URL"), help="a running search server instead of stored indexes")
+    top.add_argument("--api-key", default=os.environ.get("CUELIGHT_SEARCH_KEY"), help="key of that server")
     top.add_argument("--master", help="Spark master")
     commands = top.add_subparsers(required=True)
 
@@ -92,17 +95,17 @@ def build_parser() -> argparse.ArgumentParser:
     return top
 
 
-def run_index_records(store: IndexStore, a: argparse.Namespace) -> dict:
+def run_index_records(store: IndexStore | ServerStore, a: argparse.Namespace) -> dict:
     tell = lambda text: print(text, file=sys.stderr)
     return workflows.index_records(store, str(a.input), a.index, a.project_id, a.limit, a.batch_size, a.reset, tell)
 
 
-def run_index_project(store: IndexStore, a: argparse.Namespace) -> dict:
+def run_index_project(store: IndexStore | ServerStore, a: argparse.Namespace) -> dict:
     folder = media.project_folder(ROOT / "artifacts" / "projects", a.project_id, a.project_dir)
     return workflows.index_project(store, a.index, folder, a.batch_size, a.reset, a.segments)
 
 
-def run_ingest(store: IndexStore, a: argparse.Namespace) -> dict:
+def run_ingest(store: IndexStore | ServerStore, a: argparse.Namespace) -> dict:
     config = workflows.IngestConfig(
         video_path=a.video, project_id=a.project_id, video_id=a.video_id or workflows.default_video_id(store.spark, a.video),
         output_root=under_root(a.output_root), srt_path=a.srt, frame_rate=a.frame_rate, max_frames=a.max_frames or None,
@@ -112,7 +115,7 @@ def run_ingest(store: IndexStore, a: argparse.Namespace) -> dict:
     return workflows.ingest_video(store.spark, config)
 
 
-def run_align(store: IndexStore, a: argparse.Namespace) -> dict:
+def run_align(store: IndexStore | ServerStore, a: argparse.Namespace) -> dict:
     return workflows.align_frames(
         store.spark, a.project_id, under_root(a.output_root), a.margin_seconds, _home(a.segments), _home(a.frames_manifest), a.output, a.manifest, not a.parts
     )
@@ -122,11 +125,11 @@ def _home(path: Path | None) -> Path | None:
     return path.expanduser() if path else None
 
 
-def run_query(store: IndexStore, a: argparse.Namespace) -> dict:
+def run_query(store: IndexStore | ServerStore, a: argparse.Namespace) -> dict:
     return workflows.query_index(store, a.index, a.query, a.limit)
 
 
-def run_evaluate(store: IndexStore, a: argparse.Namespace) -> dict:
+def run_evaluate(store: IndexStore | ServerStore, a: argparse.Namespace) -> dict:
     output = under_root(a.output) if a.output else None
     return workflows.evaluate_records(store, str(a.input), a.index, a.limit, a.record_limit, parse_deltas(a.deltas), output, not a.parts)
 
@@ -135,7 +138,8 @@ def main(argv: list[str] | None = None) -> int:
     asked = build_parser().parse_args(argv)
     try:
         spark = ship(session(asked.master))
-        result = asked.does(IndexStore(spark, under_root(asked.index_root)), asked)
+        store = ServerStore(spark, asked.url, asked.api_key) if asked.url else IndexStore(spark, under_root(asked.index_root))
+        result = asked.does(store, asked)
     except KeyboardInterrupt:
         return 130
     except Exception as wrong:
