@@ -131,7 +131,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_trie": op9_simhash_trie,
 }
 
+_VECTORS = """
+        given AS (SELECT row_number() OVER () AS id, vec_id, embedding FROM embeddings),
+        valid AS (
+            SELECT id, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM given
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
 SQL: dict[str, str] = {
+    # All pairs: for tables of some thousands of vectors, as the correctness run has them.
+    "op2_cap_filter_dedup": f"""
+        WITH RECURSIVE {_VECTORS},
+        units AS (SELECT * FROM valid WHERE len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.id AS a, b.id AS b FROM units a JOIN units b
+              ON a.id <> b.id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach(a, b) AS (SELECT id, id FROM given UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN given ON b = id GROUP BY a),
+        counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+        FROM given JOIN least ON least.a = id LEFT JOIN counted ON counted.a = id""",
+    "op7_threshold_top_k": f"""
+        WITH {_VECTORS},
+        whole AS (SELECT id, vec_id, list_transform(e, lambda x: floor(256 * x)) AS e FROM valid),
+        scored AS (
+            SELECT q.id, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+            FROM whole q JOIN whole c ON q.id <> c.id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+        WHERE rank <= 5""",
     "op1_url_filter_asof": r"""
         WITH named AS (
             SELECT page_id, DATE '2024-01-01' + ((page_id * 7919) % 366)::INTEGER AS fetched_at,
