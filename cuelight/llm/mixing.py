@@ -6,8 +6,8 @@ there and what it cannot take is shared again among the others by weight, until
 source is above its cap. A target of 2.4 times a source's size is two whole repetitions
 of every document and one more of some of them, taken in a seeded order as long as they
 fit into 0.4 of the source's words. What then remains is filled the same way by documents
-further on that are no longer than it, ``ROUNDS`` times; in the last, the document at the
-edge is taken if that comes nearer.
+further on that are no longer than it, ``ROUNDS`` times; at last, of all documents not taken yet the
+one whose length is nearest to what is still missing is taken, if the source then comes nearer to its target.
 
 Nothing is drawn: the order is the MD5 of seed and id, so reruns agree. The edge of a
 source is found by sums of ranges of the order, then of ranges of the range at the edge, until
@@ -80,12 +80,9 @@ def _hint(table: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(table) if small else table
 
 
-def _edges(sized: DataFrame, needs: DataFrame, last: bool, small: bool) -> DataFrame:
+def _edges(sized: DataFrame, needs: DataFrame, small: bool) -> DataFrame:
     """needs: of (source), after (key), most (size), need. Adds ``edge``: documents of keys over ``after`` and up to
-    it, of a size up to ``most``, fit into ``need`` words together; and ``rest``: what they leave.
-
-    If ``last``, the next document is within the edge too if the sum then is nearer to ``need``.
-    """
+    it, of a size up to ``most``, fit into ``need`` words together; and ``rest``: what they leave."""
     mine = F.col("source").eqNullSafe(F.col("of"))
     open_ = sized.join(_hint(needs, small), mine).where("key > after AND size <= most AND need > 0")
     earlier = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,9 +104,7 @@ def _edges(sized: DataFrame, needs: DataFrame, last: bool, small: bool) -> DataF
             break
     edge = own.groupBy("source", "key", "need", "before").agg(F.sum("size").alias("words"))
     through = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("key"))
-    edge = edge.withColumn("through", through)
-    fits = F.col("through") - (F.col("words") / 2 if last else F.lit(0)) <= F.col("need")
-    edge = edge.where(fits).groupBy("source").agg(F.max("key").alias("last"), F.max("through").alias("taken"))
+    edge = edge.withColumn("through", through).where("through <= need").groupBy("source").agg(F.max("key").alias("last"), F.max("through").alias("taken"))
     edge = edge.select(F.col("source").alias("edge_of"), "last", "taken")
     found = needs.join(at, F.col("of").eqNullSafe(F.col("at")), "left").join(
         edge, F.col("of").eqNullSafe(F.col("edge_of")), "left"
@@ -124,6 +119,23 @@ def _edges(sized: DataFrame, needs: DataFrame, last: bool, small: bool) -> DataF
     return found
 
 
+def _once_more(more: Column, key: Column, size: Column) -> Column:
+    return F.exists(more, lambda m: (key > m.after) & (key <= m.edge) & (size <= m.most))
+
+
+def _nearest(sized: DataFrame, planned: DataFrame, small: bool) -> DataFrame:
+    """planned: source, more, rest. (source, key) of the documents not taken once more that bring their source nearer to its
+    target: those of the length nearest to ``rest``, the first in the order of several; rows that share a key go together."""
+    left = sized.join(_hint(planned.withColumnRenamed("source", "of"), small), F.col("source").eqNullSafe(F.col("of")))
+    left = left.where(F.col("rest") > 0).where(~_once_more(F.col("more"), F.col("key"), F.col("size")))
+    away = F.abs(F.col("size") - F.col("rest"))
+    best = left.groupBy("source").agg(F.min(F.struct(away.alias("away"), "key")).alias("best"))
+    best = written(best.select(F.col("source").alias("at"), F.col("best.key").alias("best")))
+    same = left.join(_hint(best, small), F.col("source").eqNullSafe(F.col("at")) & (F.col("key") == F.col("best")))
+    taken = same.groupBy("source", "key", "rest").agg(F.sum("size").alias("words"))
+    return taken.where(F.abs(F.col("words") - F.col("rest")) < F.col("rest")).select("source", "key")
+
+
 def plan(sized: DataFrame, max_epochs: int = 3, cycle: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """sized: source, size, key. A row for each source: source_size, target, whole (repetitions of every document)
     and more, an array of (after, edge, most): documents with a key in (after, edge] and a size up to most get one more."""
@@ -141,13 +153,17 @@ def plan(sized: DataFrame, max_epochs: int = 3, cycle: Sequence[int] = (1, 2, 3)
         F.col("source").alias("of"), F.lit(-1).cast("long").alias("after"), F.lit(float("inf")).alias("most"), "need"
     )
     out = sources.select("source", "source_size", "target", "whole", F.array().cast("array<struct<after:long,edge:long,most:double>>").alias("more"))
-    for k in range(ROUNDS):
-        found = _edges(sized, needs, k == ROUNDS - 1, small)
+    for _ in range(ROUNDS):
+        found = _edges(sized, needs, small)
         step = found.select(F.col("of").alias("_of"), F.array(F.struct("after", "edge", "most")).alias("_step"))
         out = out.join(step, F.col("source").eqNullSafe(F.col("_of")), "left")
         out = out.withColumn("more", F.concat("more", "_step")).drop("_of", "_step")
         needs = found.select("of", F.col("edge").alias("after"), F.col("rest").alias("most"), F.col("rest").alias("need"))
-    return written(out)
+    out = written(out.join(needs.select("of", F.col("need").alias("rest")), F.col("source").eqNullSafe(F.col("of"))).drop("of"))
+    nearest = _nearest(sized, out.select("source", "more", "rest"), small).select(F.col("source").alias("of"), "key")
+    step = F.array(F.struct((F.col("key") - 1).alias("after"), F.col("key").alias("edge"), F.lit(float("inf")).alias("most")))
+    out = out.join(nearest, F.col("source").eqNullSafe(F.col("of")), "left")
+    return written(out.withColumn("more", F.when(F.col("key").isNull(), F.col("more")).otherwise(F.concat("more", step))).drop("of", "key", "rest"))
 
 
 def sizes(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -161,7 +177,7 @@ def repetitions(docs: DataFrame, planned: DataFrame, size: Column, key: Column)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     placed = docs.select(row, F.col("source").alias("from"), size.alias("words"), key.alias("at"))
     joined = placed.join(_hint(planned, _small(planned, "source")), F.col("from").eqNullSafe(F.col("source")))
-    more = F.exists("more", lambda m: (F.col("at") > m.after) & (F.col("at") <= m.edge) & (F.col("words") <= m.most))
+    more = _once_more(F.col("more"), F.col("at"), F.col("words"))
     return joined.select("row", "source_size", "target", (F.col("whole") + more.cast("long")).alias("times"))
 
 

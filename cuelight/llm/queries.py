@@ -256,11 +256,19 @@ SQL: dict[str, str] = {
         third AS (
             SELECT *, key > edge2 AND size <= rest2 AND rest2 > 0 AS open3,
                    sum(CASE WHEN key > edge2 AND size <= rest2 THEN size ELSE 0 END)
-                       OVER (PARTITION BY source ORDER BY key) AS through3,
-                   sum(CASE WHEN key > edge2 AND size <= rest2 THEN size ELSE 0 END)
-                       OVER (PARTITION BY source, key) AS peers3
-            FROM after_second)
-        SELECT doc_id, size, source_size, target,
-               (size * (whole + CASE WHEN one OR two OR (open3 AND through3 - peers3 / 2 <= rest2) THEN 1 ELSE 0 END))::BIGINT AS taken
-        FROM third""",
+                       OVER (PARTITION BY source ORDER BY key) AS through3
+            FROM after_second),
+        after_third AS (
+            SELECT *, one OR two OR (open3 AND through3 <= rest2) AS more,
+                   rest2 - coalesce(max(through3) FILTER (open3 AND through3 <= rest2) OVER (PARTITION BY source), 0) AS rest3
+            FROM third),
+        nearest AS (
+            SELECT *, min({'away': abs(size - rest3), 'key': key}) FILTER (NOT more AND rest3 > 0) OVER (PARTITION BY source) AS best
+            FROM after_third),
+        last AS (
+            SELECT *, NOT more AND key = best.key
+                      AND abs(sum(CASE WHEN NOT more AND key = best.key THEN size ELSE 0 END) OVER (PARTITION BY source) - rest3) < rest3 AS four
+            FROM nearest)
+        SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN more OR coalesce(four, false) THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM last""",
 }

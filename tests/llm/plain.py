@@ -113,7 +113,8 @@ def mixture(rows, seed=0):
         for i in own:
             times[i] = whole
         rest, after, most = target[source] - whole * words, -1, math.inf
-        for step in range(3):
+        more = dict.fromkeys(own, 0)
+        for _ in range(3):
             if rest <= 0:
                 break
             used, edge = 0, after
@@ -121,13 +122,21 @@ def mixture(rows, seed=0):
             for k in sorted({key[i] for i in open_}):
                 peers = [i for i in open_ if key[i] == k]
                 words_ = sum(size[i] for i in peers)
-                if used + words_ - (words_ / 2 if step == 2 else 0) > rest:
+                if used + words_ > rest:
                     break
                 used += words_
                 edge = k
                 for i in peers:
-                    times[i] += 1
+                    more[i] = 1
             rest, after, most = rest - used, edge, rest - used
+        left = [i for i in own if not more[i]]
+        if rest > 0 and left:
+            best = min(left, key=lambda i: (abs(size[i] - rest), key[i]))
+            peers = [i for i in left if key[i] == key[best]]
+            if abs(sum(size[i] for i in peers) - rest) < rest:
+                more |= dict.fromkeys(peers, 1)
+        for i in own:
+            times[i] += more[i]
     return times
 
 

@@ -265,6 +265,19 @@ def test_mixture_edges(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_a_source_of_one_long_document_does_not_vanish(spark):
+    """Taken where the source comes nearer to its target by it, and only then; rows that share an id go together."""
+    rows = [(1, "w " * 1000, "a"), (2, "w " * 600, "b"), (3, "w " * 3000, "c"), (4, "w " * 2000, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = mixing.sizes(docs)
+    got = {r.row.doc_id: (r.times, r.target) for r in mixing.repetitions(sized, mixing.plan(sized), F.col("size"), F.col("key")).collect()}
+    assert {d: n for d, (n, _) in got.items()} == dict(zip((1, 2, 3, 4), plain.mixture(rows), strict=True))
+    for source in "abc":
+        own = [(len(t.split()), *got[d]) for d, t, s in rows if s == source]
+        off = abs(sum(n * size for size, n, _ in own) - own[0][2])
+        assert all(abs(sum(n * size for size, n, _ in own) + step * size - own[0][2]) >= off for size, n, _ in own for step in (1,) if n < 3)
+
+
 @pytest.mark.parametrize("few", [0, 3])
 def test_mixture_by_ranges_of_ranges(spark, data, monkeypatch, few):
     """The same mixture when the range at the edge is looked into by ranges of its own, down to single keys."""
