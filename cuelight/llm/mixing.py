@@ -80,6 +80,11 @@ def _hint(table: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(table) if small else table
 
 
+def _settled(table: DataFrame, small: bool) -> DataFrame:
+    """A table of sources worked out once: through the driver if it is known to be small, else in the shared folder."""
+    return table.sparkSession.createDataFrame(table.toArrow(), table.schema) if small else written(table)
+
+
 def _edges(sized: DataFrame, needs: DataFrame, small: bool) -> DataFrame:
     """needs: of (source), after (key), most (size), need. Adds ``edge``: documents of keys over ``after`` and up to
     it, of a size up to ``most``, fit into ``need`` words together; and ``rest``: what they leave."""
@@ -93,11 +98,12 @@ def _edges(sized: DataFrame, needs: DataFrame, small: bool) -> DataFrame:
         span = F.shiftrightunsigned("key", shift)
         spans = own.groupBy("source", "need", "before", span.alias("span")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
         spans = spans.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-        at = written(
+        at = (
             spans.where(F.col("before") <= F.col("need")).groupBy("source")
             .agg(F.max_by(F.struct("span", "before", "rows"), "span").alias("r"))
             .select(F.col("source").alias("at"), F.col("r.span").alias("range"), F.col("r.before").alias("before"), F.col("r.rows").alias("rows"))
         )
+        at = _settled(at, small)
         seen.append(at)
         own = open_.join(_hint(at, small), F.col("source").eqNullSafe(F.col("at")) & (span == F.col("range")))
         if shift == 0 or (at.agg(F.max("rows")).first()[0] or 0) <= _FEW:
@@ -112,9 +118,8 @@ def _edges(sized: DataFrame, needs: DataFrame, small: bool) -> DataFrame:
     # Without a fitting document in its range, the edge is where the range begins.
     stop = F.coalesce("last", F.shiftleft("range", shift) - 1, F.col("after"))
     taken = F.coalesce("taken", "before", F.lit(0))
-    found = written(
-        found.select("of", "after", "most", F.greatest(stop, "after").alias("edge"), (F.col("need") - taken).alias("rest"))
-    )
+    found = found.select("of", "after", "most", F.greatest(stop, "after").alias("edge"), (F.col("need") - taken).alias("rest"))
+    found = _settled(found, small)
     discard(*seen)
     return found
 
@@ -130,7 +135,7 @@ def _nearest(sized: DataFrame, planned: DataFrame, small: bool) -> DataFrame:
     left = left.where(F.col("rest") > 0).where(~_once_more(F.col("more"), F.col("key"), F.col("size")))
     away = F.abs(F.col("size") - F.col("rest"))
     best = left.groupBy("source").agg(F.min(F.struct(away.alias("away"), "key")).alias("best"))
-    best = written(best.select(F.col("source").alias("at"), F.col("best.key").alias("best")))
+    best = _settled(best.select(F.col("source").alias("at"), F.col("best.key").alias("best")), small)
     same = left.join(_hint(best, small), F.col("source").eqNullSafe(F.col("at")) & (F.col("key") == F.col("best")))
     taken = same.groupBy("source", "key", "rest").agg(F.sum("size").alias("words"))
     return taken.where(F.abs(F.col("words") - F.col("rest")) < F.col("rest")).select("source", "key")
@@ -143,11 +148,12 @@ def plan(sized: DataFrame, max_epochs: int = 3, cycle: Sequence[int] = (1, 2, 3)
     sources = written(source_weights(totals, cycle))
     small = _small(sources, "source")
     level = water_level(sources, max_epochs)
-    sources = written(
+    sources = _settled(
         sources.withColumn("target", F.least(F.col("source_size").cast("double") * max_epochs, F.lit(level) * F.col("weight")))
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
         .withColumn("whole", F.least("whole", F.lit(max_epochs)).cast("long"))
-        .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
+        .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")),
+        small,
     )
     needs = sources.select(
         F.col("source").alias("of"), F.lit(-1).cast("long").alias("after"), F.lit(float("inf")).alias("most"), "need"
@@ -159,11 +165,11 @@ def plan(sized: DataFrame, max_epochs: int = 3, cycle: Sequence[int] = (1, 2, 3)
         out = out.join(step, F.col("source").eqNullSafe(F.col("_of")), "left")
         out = out.withColumn("more", F.concat("more", "_step")).drop("_of", "_step")
         needs = found.select("of", F.col("edge").alias("after"), F.col("rest").alias("most"), F.col("rest").alias("need"))
-    out = written(out.join(needs.select("of", F.col("need").alias("rest")), F.col("source").eqNullSafe(F.col("of"))).drop("of"))
+    out = _settled(out.join(needs.select("of", F.col("need").alias("rest")), F.col("source").eqNullSafe(F.col("of"))).drop("of"), small)
     nearest = _nearest(sized, out.select("source", "more", "rest"), small).select(F.col("source").alias("of"), "key")
     step = F.array(F.struct((F.col("key") - 1).alias("after"), F.col("key").alias("edge"), F.lit(float("inf")).alias("most")))
     out = out.join(nearest, F.col("source").eqNullSafe(F.col("of")), "left")
-    return written(out.withColumn("more", F.when(F.col("key").isNull(), F.col("more")).otherwise(F.concat("more", step))).drop("of", "key", "rest"))
+    return _settled(out.withColumn("more", F.when(F.col("key").isNull(), F.col("more")).otherwise(F.concat("more", step))).drop("of", "key", "rest"), small)
 
 
 def sizes(docs: DataFrame, seed: int = 0) -> DataFrame:
