@@ -48,7 +48,7 @@ def interval_pairs(windows: DataFrame, points: DataFrame) -> DataFrame:
     lo, hi = _near(F.col("window.lo")), _near(F.col("window.hi"))
     level = F.ceil(F.log2(F.greatest(hi - lo, F.lit(2.0**_FINEST)))).cast("int")
     sized = windows.where("window is not null and not isnan(window.lo) and not isnan(window.hi)").withColumn("_level", level)
-    levels = sorted(r[0] for r in sized.select("_level").distinct().limit(128).collect())  # at most 62 can occur
+    levels = sorted(sized.agg(F.collect_set("_level")).first()[0])  # at most 62 can occur
     width = F.pow(F.lit(2.0), F.col("_level"))
     cell = lambda x: F.floor(x / width)
     left = sized.withColumn("_cell", F.explode(F.sequence(cell(lo), cell(hi))))

@@ -47,9 +47,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes tables that ``written`` made and that nothing will read again."""
+    """Removes tables that ``written`` made and that nothing will read again; others are left alone."""
     for df in tables:
-        _delete(df.sparkSession, df._cuelight_path)
+        if hasattr(df, "_cuelight_path"):
+            _delete(df.sparkSession, df._cuelight_path)
 
 
 @atexit.register
