@@ -3,12 +3,13 @@ from __future__ import annotations
 import json
 import time
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
 from cuelight import cli
 from cuelight.plans import workflows
-from cuelight.scratch import Folder
+from cuelight.scratch import Folder, discard, shared_folder, written
 from cuelight.sinks.files import jsonable, merge_manifest, write_json, write_lines
 from cuelight.sinks.index_store import IndexStore, Task
 from cuelight.streaming.align import align_stream, read_segments
@@ -189,3 +190,18 @@ def test_stream(spark, tmp_path):
     query.stop()
     got = {r.segment_id: r.frame_refs for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"s": ["f"], "u": ["g"]}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    conf = SimpleNamespace(get=lambda _: None)
+    context = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context))
+
+
+def test_spent_tables_go(spark):
+    table = written(spark.range(3))
+    folder = Path(table._cuelight_path.removeprefix("file:"))
+    assert folder.exists() and table.count() == 3
+    discard(table, spark.range(1))
+    assert not folder.exists()
