@@ -420,14 +420,14 @@ def index_project_workflow(spark, sf_dir):
     for again in (False, True):
         done = workflows.index_project(store, "a/b", f"{root}/p", 64, again)
     rows = store.documents("a/b").select("segment_id", "start_time", "transcript_text")
-    return rows.withColumn("batches", F.lit(done["indexed_batches"]))
+    return rows.withColumn("batches", F.lit(done["indexed_batches"]).cast("long"))
 
 
 def index_records_workflow(spark, sf_dir):
     """Records of a file in a stored index, in batches of one."""
     store = IndexStore(ship(spark), scratch_path(spark, "index"))
     done = workflows.index_records(store, _write_records(spark, sf_dir), "i", "demo", None, 0)
-    return store.documents("i").select("segment_id", "project_id", "sample_index", F.lit(done["indexed_documents"]).alias("documents"))
+    return store.documents("i").select("segment_id", "project_id", "sample_index", F.lit(done["indexed_documents"]).cast("long").alias("documents"))
 
 
 def index_recreated(spark, sf_dir):
@@ -752,7 +752,7 @@ SQL: dict[str, str] = {
                ((SELECT count(*) FROM wins) + 63) // 64 AS batches
         FROM wins""",
     "index_records_workflow": f"""
-        SELECT {_SEGMENT_ID} AS segment_id, 'demo' AS project_id, doc_id AS sample_index, (SELECT count(*) FROM documents)::INTEGER AS documents
+        SELECT {_SEGMENT_ID} AS segment_id, 'demo' AS project_id, doc_id AS sample_index, (SELECT count(*) FROM documents) AS documents
         FROM documents""",
     "index_recreated": "SELECT source AS id, max(doc_id) AS doc_id FROM documents GROUP BY source",
     "store_search": f"""
