@@ -66,7 +66,9 @@ def align(segments: DataFrame, frames: DataFrame, margin: float = 0.0, binned: b
     frame_id, timestamp, ``ordinal``, perhaps frame_path. Repeated frames are all kept; windows without a
     frame get an empty array. ``binned`` False joins by comparison alone, for small tables and as a check.
     """
-    windows = segments.select(key, segment_window(F.col("start_time"), F.col("end_time"), margin).alias("window"))
+    # As an array of one, taken apart: ends are worked out once, where Catalyst would copy their expressions into each use.
+    window = F.array(segment_window(F.col("start_time"), F.col("end_time"), margin))
+    windows = segments.select(key, F.explode(window).alias("window"))
     points = frame_points(frames).select("timestamp", F.col("ordinal").alias("_order"), "point_id")
     if binned:
         met = interval_pairs(windows, points)
