@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.llm import cap_filters, chat, langid, mixing, packing, quality, simhash, topk, toxicity, url_filter
+from cuelight.llm import cap_filters, chat, divergence, langid, mixing, packing, quality, simhash, topk, toxicity, url_filter
 from cuelight.llm.sampling import fold
 from cuelight.session import ship, spread
 
@@ -118,6 +118,11 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far sources of a language are from one another, and the terms by which each stands out, over all documents."""
+    return divergence.audit(_table(spark, sf_dir, "documents"), least_docs=3, most_terms=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter_asof": op1_url_filter_asof,
     "op2_cap_filter_dedup": op2_cap_filter_dedup,
@@ -129,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_threshold_top_k": op7_threshold_top_k,
     "op8_mixing_water_filling": op8_mixing_water_filling,
     "op9_simhash_trie": op9_simhash_trie,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _VECTORS = """
@@ -271,4 +277,32 @@ SQL: dict[str, str] = {
             FROM nearest)
         SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN more OR coalesce(four, false) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM last""",
+    "op13_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        held AS (SELECT doc, lang, source, term, count(*) AS n FROM (SELECT doc, lang, source, unnest(terms) AS term FROM docs) GROUP BY ALL),
+        kept AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM held GROUP BY ALL HAVING count(*) >= 3),
+        sizes AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        own AS (SELECT lang, source, term, sum(h.n)::HUGEINT AS n FROM held h SEMI JOIN kept k USING (lang, term) GROUP BY ALL),
+        totals AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS n FROM groups LEFT JOIN own USING (lang, source) GROUP BY ALL),
+        ps AS (
+            SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n, 1 + 1000000000 * (coalesce(o.n, 0) + 1) // (g.n + s.v) AS p,
+                   1 + 1000000000 * (k.n + 1) // (s.n + s.v) AS q
+            FROM totals g JOIN kept k ON k.lang = g.lang JOIN sizes s ON s.lang = g.lang
+            LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM ps a JOIN ps b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        every AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM ps WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every)
+        WHERE part = 'pair' OR rank <= 200""",
 }
