@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.llm import cap_filters, chat, divergence, langid, mixing, packing, quality, simhash, topk, toxicity, url_filter
+from cuelight.llm import cap_filters, chat, divergence, langid, mixing, packing, quality, simhash, spelling, topk, toxicity, url_filter
 from cuelight.llm.sampling import fold
 from cuelight.session import ship, spread
 
@@ -118,6 +118,11 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, those one edit away from each, and the form that each is a variant of."""
+    return spelling.variants(_table(spark, sf_dir, "documents"), least_chars=5, least_n=3, times=2)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far sources of a language are from one another, and the terms by which each stands out, over all documents."""
     return divergence.audit(_table(spark, sf_dir, "documents"), least_docs=3, most_terms=200)
@@ -134,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_threshold_top_k": op7_threshold_top_k,
     "op8_mixing_water_filling": op8_mixing_water_filling,
     "op9_simhash_trie": op9_simhash_trie,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -277,6 +283,42 @@ SQL: dict[str, str] = {
             FROM nearest)
         SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN more OR coalesce(four, false) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM last""",
+    "op11_spelling_variants": """
+        WITH RECURSIVE crc AS (
+            SELECT list(c ORDER BY i) AS t
+            FROM (SELECT i, list_reduce(range(8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+        runs AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, sum(n)::BIGINT AS n
+            FROM (SELECT doc_id, run, count(*) AS n
+                  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL)
+            GROUP BY 1, 2),
+        hexed AS (SELECT run, n, hex(coalesce(doc_id::VARCHAR, '') || ':' || run) AS x FROM runs),
+        hashed AS (
+            SELECT run, n, xor(list_reduce(list_transform(range(0, len(x), 2), lambda i: ('0x' || substr(x, i + 1, 2))::BIGINT),
+                                           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+            FROM hexed, crc),
+        words AS (
+            SELECT word, sum(n)::BIGINT AS n
+            FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+            WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        cuts AS (
+            SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less
+            FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+        near AS (
+            SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.less = b.word
+            UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.less = b.word),
+        best AS (
+            SELECT word, count(*) AS n_near, min({'n': -other_n, 'word': other}) AS first FROM near GROUP BY word),
+        forms AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -first.n >= 2 * w.n THEN first.word END AS form,
+                   CASE WHEN -first.n >= 2 * w.n THEN -first.n END::BIGINT AS form_n
+            FROM words w LEFT JOIN best b ON b.word = w.word),
+        chain(word, root, step) AS (
+            SELECT word, word, 0 FROM words
+            UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+        SELECT f.word, form, c.root, f.n, n_near, form_n
+        FROM forms f JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) c ON c.word = f.word""",
     "op13_source_divergence": r"""
         WITH docs AS (
             SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
