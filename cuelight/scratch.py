@@ -26,15 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: a cut in the lineage that outlives executors.
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: a cut in the lineage that outlives executors. ``by``: columns of few values,
+    each of which gets files of its own.
 
     It stays until it is discarded, or the program ends: a result may still read it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cuelight-{uuid.uuid4().hex}"
     _left[path] = spark
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cuelight_path = path
     return out
