@@ -32,7 +32,8 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
 _BATCH_ROWS = 4096
 _BATCH_BYTES = 2 << 20
-_HELD_ROWS = 200_000  # counts that a task holds before it adds them up
+_TASK_ROWS = 1_500_000  # counts that a task holds before it adds them up
+_HELD_ROWS = 200_000  # rows of whole shards that go into one query
 _SHARD_ROWS = 50_000
 _MEMORY = "512MB"  # of one task's DuckDB: an error beyond it, never a smaller result
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -102,10 +103,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = _run(_COUNT, pa.Table.from_batches([part]).append_column("doc", pa.array(range(part.num_rows), pa.int64())))
             held.append(made.cast(_COUNTS))
             rows += made.num_rows
-            if rows > _HELD_ROWS:
+            if rows > _TASK_ROWS:
                 merged = _run(_MERGE, pa.concat_tables(held)).cast(_COUNTS)
                 held, rows = [merged], merged.num_rows
-                if rows > _HELD_ROWS / 2:
+                if rows > _TASK_ROWS * 2 / 3:
                     yield from _out(merged, _COUNTS)
                     held, rows = [], 0
     if rows:
