@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.llm import cap_filters, chat, divergence, langid, mixing, packing, quality, simhash, spelling, topk, toxicity, url_filter
+from cuelight.llm import cap_filters, chat, divergence, hidden_markov, langid, mixing, packing, quality, simhash, spelling, topk, toxicity, url_filter
 from cuelight.llm.sampling import fold
 from cuelight.session import ship, spread
 
@@ -123,6 +123,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"), least_chars=5, least_n=3, times=2)
 
 
+def op12_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-likelihood of every document, by a model of those whose id is not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = hidden_markov.train(docs.where(fold("doc_id", 7) != 2))
+    scored = hidden_markov.score(docs, model, ["doc_id"])
+    held_out, tokens = (fold("doc_id", 7) == 2).alias("held_out"), F.lit(model.tokens).cast("long").alias("train_tokens")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", tokens, "base_score", "score")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far sources of a language are from one another, and the terms by which each stands out, over all documents."""
     return divergence.audit(_table(spark, sf_dir, "documents"), least_docs=3, most_terms=200)
@@ -140,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_water_filling": op8_mixing_water_filling,
     "op9_simhash_trie": op9_simhash_trie,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_hidden_markov_scores": op12_hidden_markov_scores,
     "op13_source_divergence": op13_source_divergence,
 }
 
