@@ -5,11 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _left: dict[str, SparkSession] = {}
+_within: ContextVar[list[str] | None] = ContextVar("tables of a step", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +38,8 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cuelight-{uuid.uuid4().hex}"
     _left[path] = spark
+    if (made := _within.get()) is not None:
+        made.append(path)
     df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cuelight_path = path
@@ -54,6 +59,22 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, df._cuelight_path)
 
 
+def committed(step: Callable[[], DataFrame], *spent: DataFrame) -> DataFrame:
+    """Writes what a step returns, and then removes all tables that were written on the way, and ``spent`` ones."""
+    made: list[str] = []
+    outer = _within.set(made)
+    try:
+        df = step()
+    finally:
+        _within.reset(outer)
+    out = written(df)
+    for path in made:
+        if path in _left:
+            _delete(df.sparkSession, path)
+    discard(*spent)
+    return out
+
+
 @atexit.register
 def _tidy() -> None:
     """Removes what is left, if the session still runs."""
