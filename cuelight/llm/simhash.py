@@ -35,6 +35,7 @@ CELL = 16_384
 _BUCKET_AIM = 64
 _FRONTIER = 400_000
 _SLICE_ROWS = 65_536
+_FEW_KEYS = 1_000_000  # of 16 bytes
 
 
 def fingerprint(tokens: list[bytes], shingle: int, seed: int = 42) -> int:
@@ -284,18 +285,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed:
 def representatives(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed: int = 42) -> DataFrame:
     """One row of ``docs`` for each class, columns as they were: of the class's own texts, one of the smallest doc_id; of
     several texts of that id in the class, the one of the smallest fingerprint, then of the smallest hash; of rows that repeat
-    id and text, the first by a hash of their other columns.
+    id and text, the first by a hash of the whole row as JSON.
 
-    Rows without a doc_id have no name to be told apart by; they are all kept.
+    Rows without a doc_id have no name to be told apart by; they are all kept. What is shuffled is ids and hashes: texts stay where they
+    are, unless rows repeat both, or neither the rows that go nor those that stay are few enough to be sent to every task.
     """
     rows, label = _classes(docs, shingle, max_bits, seed)
     own = rows.join(label, "fp").where("doc_id = component_id")
     first = F.min(F.struct("doc_id", "fp", "mark")).alias("first")
-    chosen = own.groupBy("class").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.mark").alias("mark")).distinct()
+    chosen = own.groupBy("class").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.mark").alias("mark"))
+    named = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("id"), "mark").agg(F.count("*").alias("rows"))
+    # A key has a fate: it goes, stays as one row, or stays and has several rows of which one is taken.
+    fate = F.when(F.col("chosen").isNull(), "goes").when(F.col("rows") == 1, "stays").otherwise("several")
+    fates = named.join(chosen.distinct().withColumn("chosen", F.lit(True)), ["id", "mark"], "left").select("id", "mark", fate.alias("fate"))
+    fates = written(fates)
+    discard(rows, label)
+    counts = {r["fate"]: r["count"] for r in fates.groupBy("fate").count().collect()}
+    going, staying, several = (counts.get(f, 0) for f in ("goes", "stays", "several"))
+    few = lambda wanted, n: F.broadcast(fates.where(wanted).select("id", "mark")) if n <= _FEW_KEYS else fates.where(wanted).select("id", "mark")
     # The row travels in one column, so that its names cannot clash.
     whole = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("mark")
     )
-    plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant", "struct", "array")]
-    kept = whole.join(written(chosen), ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
-    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
+    if staying <= _FEW_KEYS < going + several:
+        kept = whole.join(few("fate = 'stays'", staying), ["id", "mark"], "left_semi").select("row.*").unionByName(docs.where("doc_id is null"))
+    else:
+        kept = whole.join(few("fate <> 'stays'", going + several), ["id", "mark"], "left_anti").select("row.*")
+    if not several:
+        return kept
+    again = whole.join(few("fate = 'several'", several), ["id", "mark"], "left_semi").groupBy("id", "mark")
+    return kept.unionByName(again.agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*"))

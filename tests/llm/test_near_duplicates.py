@@ -66,6 +66,25 @@ def test_simhash_is_brute_force(spark, data):
     assert rows_of(simhash.near_duplicates(docs)) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("few", [1_000_000, 6, 0])
+def test_representatives_by_every_way(spark, monkeypatch, few):
+    """Those that go sent to every task, those that stay, and neither; rows that repeat id and text, and differ in arrays and maps alone."""
+    monkeypatch.setattr(simhash, "_FEW_KEYS", few)
+    texts = [f"{w} one two three four five six" for w in "abcdefg"]
+    rows = [(i, t, [i], {"k": 1}, "x") for i, t in enumerate(texts[:2] * 4)] + [(20, texts[3], [1], {"k": 1}, "x"), (20, texts[3], [2], {"k": 1}, "x"),
+            (20, texts[3], [1], {"k": 2}, "x"), (21, texts[4], [1], None, "y"), (None, texts[0], None, None, "z"), (None, None, None, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags array<int>, more map<string,int>, `row` string")
+    kept = simhash.representatives(docs.repartition(3))
+    assert kept.columns == docs.columns
+    want = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    got = kept.where("doc_id is not null")
+    classes = simhash.near_duplicates(docs).where("doc_id is not null").select("component_id").distinct().count()
+    assert got.count() == classes and rows_of(got.select("doc_id").distinct()) == rows_of(want)
+    assert kept.where("doc_id is null").count() == 2
+    again = simhash.representatives(docs.repartition(5))
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, again.collect()))
+
+
 def test_simhash_edges(spark):
     long = " ".join(f"w{i}" for i in range(50_000))
     rows = [(5, None, "a"), (3, "", "a"), (9, " \t\n", "b"), (1, "One two", "b"), (2, "one  TWO", None), (2, "one two", "x"), (None, "one two", "x"),

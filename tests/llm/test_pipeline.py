@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
+from cuelight import scratch
 from cuelight.llm import quality, toxicity
 from tests.llm import plain
 
@@ -42,6 +43,12 @@ def test_stages_are_brute_force(spark, data):
         assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 2048
 
 
+def test_a_run_leaves_its_result_alone(spark, data):
+    before = set(scratch._left)
+    made = corpus_pipeline.run(spark, data)
+    assert set(scratch._left) - before == {made._cuelight_path} and made.count() > 0
+
+
 def test_an_empty_table_goes_through(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
