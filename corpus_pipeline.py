@@ -12,10 +12,12 @@ copies, else each is told apart by its fingerprint, and rows of their own before
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cuelight.llm import mixing, packing, quality, simhash, toxicity
-from cuelight.scratch import written
+from cuelight.scratch import committed
 from cuelight.session import ship
 
 
@@ -66,7 +68,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage; when a stage is written, the one before and whatever it needed on the way are removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        docs = committed(partial(stage, spark, docs, sf_dir), docs)
+    return docs
