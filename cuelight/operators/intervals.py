@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelight.functions import scalars as S
+from cuelight.operators.numbering import held
 from cuelight.scratch import written
 
 _FINEST = -10
@@ -68,17 +69,17 @@ def align(segments: DataFrame, frames: DataFrame, margin: float = 0.0, binned: b
     """
     # As an array of one, taken apart: ends are worked out once, where Catalyst would copy their expressions into each use.
     window = F.array(segment_window(F.col("start_time"), F.col("end_time"), margin))
-    windows = segments.select(key, F.explode(window).alias("window"))
+    windows = segments.select(F.col(key).alias("_key"), F.explode(window).alias("window"))
     points = frame_points(frames).select("timestamp", F.col("ordinal").alias("_order"), "point_id")
     if binned:
         met = interval_pairs(windows, points)
     else:
         met = windows.where("window is not null").join(points, _within(F.col("timestamp")))
     refs = F.transform(F.sort_array(F.collect_list(F.struct("_order", "point_id"))), lambda f: f.point_id)
-    found = met.groupBy(F.col(key).alias("_key")).agg(refs.alias("_refs"))
-    rest = [c for c in segments.columns if c != "frame_refs"]
-    return segments.join(found, F.col(key) == F.col("_key"), "left").select(
-        *rest, F.coalesce("_refs", F.array().cast("array<string>")).alias("frame_refs")
+    found = met.groupBy("_key").agg(refs.alias("_refs"))
+    rows = segments.select(held(segments, "frame_refs"))
+    return rows.join(found, F.col("_held")[key] == F.col("_key"), "left").select(
+        "_held.*", F.coalesce("_refs", F.array().cast("array<string>")).alias("frame_refs")
     )
 
 

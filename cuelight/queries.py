@@ -20,7 +20,7 @@ from cuelight.scratch import Folder, shared_folder
 from cuelight.session import ship, spread
 from cuelight.sinks import files
 from cuelight.sinks.index_store import IndexStore
-from cuelight.sources import jsonl, media, subtitles
+from cuelight.sources import jsonl, lines, media, subtitles
 
 DELTAS = (60, 300, 900)
 
@@ -354,24 +354,59 @@ def records_limit(spark, sf_dir):
 
 def record_segment_scan(spark, sf_dir):
     """Segments of all records of a file, in its order."""
-    made = numbering.numbered(jsonl.read_record_segments(spark, _write_records(spark, sf_dir)), "position")
+    made = lines.in_order(jsonl.read_record_segments(spark, _write_records(spark, sf_dir)))
     return made.select("ordinal", "segment_id", "start_time", "end_time", F.md5("normalized_text").alias("text_md5"))
 
 
-def bad_line_number(spark, sf_dir):
-    """The line that an error names: one of no object after all documents, blank lines counted."""
+def _spaced_lines(spark, sf_dir) -> tuple[str, DataFrame]:
+    """A path for documents as JSON lines with a blank line after each, and these lines."""
     docs = table(spark, sf_dir, "documents")
-    good = docs.select(F.col("doc_id").alias("at"), F.concat(F.to_json(F.struct("doc_id", "text")), F.lit("\n")).alias("line"))
-    last = docs.agg((F.max("doc_id") + 1).alias("at")).withColumn("line", F.lit("[1]"))
-    path = scratch_path(spark, "bad")
-    files.write_lines(good.unionByName(last), path, "at", F.col("line"), one_file=True)
+    return scratch_path(spark, "spaced"), docs.select(F.col("doc_id").alias("at"), F.concat(F.to_json(F.struct("doc_id", "text")), F.lit("\n")).alias("line"))
+
+
+def line_numbers(spark, sf_dir):
+    """The numbers of lines through all files, blank ones counted."""
+    path, rows = _spaced_lines(spark, sf_dir)
+    files.write_lines(rows, path, "at", F.col("line"))
+    made = lines.with_line_numbers(jsonl.read_json_lines(spark, path), path, through_files=True)
+    return made.select(F.try_variant_get("v", "$.doc_id", "long").alias("doc_id"), "line_number")
+
+
+def bad_line_number(spark, sf_dir):
+    """The line that an error names: one of no object after all documents, blank lines counted; the lines of earlier files come on top."""
+    path, good = _spaced_lines(spark, sf_dir)
+    last = good.agg((F.max("at") + 1).alias("at")).withColumn("line", F.lit("[1]"))
+    files.write_lines(good.unionByName(last), path, "at", F.col("line"))
     try:
         jsonl.read_json_lines(spark, path)
     except ValueError as wrong:
-        return spark.createDataFrame([(int(str(wrong).split(", line ")[1].split(":")[0]),)], "line long")
+        file, number = re.match(r"(.*), line (\d+): ", str(wrong)).groups()
+        earlier = lines.count_lines(spark, path).where(F.col("file") < file).agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("n"))
+        return earlier.select((F.col("n") + int(number)).alias("line"))
     return spark.createDataFrame([], "line long")
 
 
+_KINDS = (
+    ('true', "True", "true"), ('false', "False", "[]"), ('1e5', "100000.0", "[0]"), ('-0.00001', "-1e-05", "{}"), ('2.50', "2.5", '{"a": 0}'), ('12345678901234567', "12345678901234567", '""'),
+    ('1.25e17', "1.25e+17", '"no"'), ('null', "", "0"), ('" a "', " a ", "0.5"), ('0.1', "0.1", "null"), ('9007199254740993', "9007199254740993", "-0.0"),
+)
+_TRUE = {"true", "[0]", '{"a": 0}', '"no"', "0.5"}
+
+
+def record_kinds(spark, sf_dir):
+    """Records of all documents whose values are of every JSON kind: what they are as texts, as truth values and as numbers."""
+    pick = lambda i: F.element_at(F.array(*(F.lit(k[i]) for k in _KINDS)), (F.col("doc_id") % len(_KINDS) + 1).cast("int"))
+    number = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('"'))).when(F.col("doc_id") % 3 == 1, F.concat(F.col("doc_id").cast("string"), F.lit(".75"))).otherwise("true")
+    text = F.concat(
+        F.lit('{"sample_id": '), F.col("doc_id").cast("string"), F.lit(', "question": '), pick(0), F.lit(', "has_timestamp": '), pick(2), F.lit(', "sample_index": '), number,
+        F.lit(', "raw_keys": "ab", "transcript_text": '), F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2), F.lit("}"),
+    )
+    path = scratch_path(spark, "kinds")
+    files.write_lines(table(spark, sf_dir, "documents").select("doc_id", text.alias("line")), path, "doc_id", F.col("line"))
+    made = jsonl.read_records(spark, path)
+    return made.select("sample_id", "question", "has_timestamp", "sample_index", F.md5("transcript_text").alias("text_md5"), F.array_join("raw_keys", ",").alias("raw_keys"))
+
+
 def _project(spark, sf_dir) -> str:
     """A project folder with windows as segments, which have keys of their own, and frames, some known by their path only."""
     root = scratch_path(spark, "projects")
@@ -540,7 +575,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         jsonl_scan, records_by_id, index_documents, eval_rows, time_and_delta_functions, variant_numbers,
         srt_roundtrip, cue_segments, stt_normalize, frame_grid, frame_grid_rates, rounding, segment_window, interval_align, interval_align_theta, align_summary,
         search_topk, search_candidates, abs_errors, eval_per_query, eval_summary, upsert_last_wins, prefix_limit, batch_assign,
-        attribute_filter, attribute_sort, windowed_counts, records_limit, record_segment_scan, bad_line_number, align_workflow, align_manifest,
+        attribute_filter, attribute_sort, windowed_counts, records_limit, record_segment_scan, line_numbers, bad_line_number, record_kinds, align_workflow, align_manifest,
         index_project_workflow, index_records_workflow, index_recreated, store_search, eval_workflow, eval_workflow_summary, ingest_workflow, ingest_frames,
     )
 }
@@ -734,6 +769,12 @@ SQL: dict[str, str] = {
         SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, {_SEGMENT_ID} AS segment_id,
                CASE WHEN doc_id % 5 <> 0 THEN greatest(0.0::DOUBLE, {_CENTER} - 90) END AS start_time, {_CENTER} + 90 AS end_time, md5(lower(text)) AS text_md5
         FROM documents""",
+    "line_numbers": "SELECT doc_id, 2 * row_number() OVER (ORDER BY doc_id) - 1 AS line_number FROM documents",
+    "record_kinds": f"""
+        SELECT doc_id::VARCHAR AS sample_id, [{", ".join("'" + k[1] + "'" for k in _KINDS)}][doc_id % {len(_KINDS)} + 1] AS question,
+               [{", ".join(str(k[2] in _TRUE).lower() for k in _KINDS)}][doc_id % {len(_KINDS)} + 1] AS has_timestamp,
+               CASE WHEN doc_id % 3 = 2 THEN 1 ELSE doc_id END AS sample_index, md5(text) AS text_md5, 'a,b' AS raw_keys
+        FROM documents""",
     "bad_line_number": "SELECT 2 * count(*) + 1 AS line FROM documents",
     "align_workflow": f"""
         WITH {_ALIGNED}
