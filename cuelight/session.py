@@ -25,7 +25,7 @@ def session(master: str | None = None, app: str = "cuelight", **conf: str) -> Sp
     return builder.config(map=settings | conf).getOrCreate()
 
 
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
