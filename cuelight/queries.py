@@ -267,10 +267,6 @@ def interval_align(spark, sf_dir):
     return _refs(intervals.align(windows(spark, sf_dir), frames(spark, sf_dir), 2.0))
 
 
-def interval_align_theta(spark, sf_dir):
-    return _refs(intervals.align(windows(spark, sf_dir), frames(spark, sf_dir), 2.0, binned=False))
-
-
 def align_summary(spark, sf_dir):
     return intervals.align_summary(intervals.align(windows(spark, sf_dir), frames(spark, sf_dir), 2.0), 2.0)
 
@@ -454,7 +450,8 @@ def index_project_workflow(spark, sf_dir):
     store = IndexStore(ship(spark), scratch_path(spark, "index"))
     for again in (False, True):
         done = workflows.index_project(store, "a/b", f"{root}/p", 64, again)
-    rows = store.documents("a/b").select("segment_id", "start_time", "transcript_text")
+    own = F.try_variant_get("own", "$.id", "long").alias("own_id")
+    rows = store.documents("a/b").select("segment_id", "start_time", "transcript_text", own)
     return rows.withColumn("batches", F.lit(done["indexed_batches"]).cast("long"))
 
 
@@ -554,18 +551,13 @@ def ingest_workflow(spark, sf_dir):
     )
 
 
-def ingest_frames(spark, sf_dir):
-    """The grid of frames that an ingested video without a transcript has, with what the probe said."""
-    folder = _local_folder(spark, "ingest")
-    (folder / "v.mp4").touch()
-    config = workflows.IngestConfig(folder / "v.mp4", "p", "v", folder / "projects", frame_rate=80.0, transcript_source="none")
-    made = workflows.ingest_video(spark, config, _tools)
-    at = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
-    rows = jsonl.read_json_lines(spark, f"file://{made['artifacts']['frames_manifest']}")
-    return rows.select(
-        at("frame_id", "string").alias("frame_id"), at("timestamp", "double").alias("timestamp"), F.lit(made["probe"]["width"]).cast("long").alias("width"),
-        F.lit(made["probe"]["duration_sec"]).alias("duration_sec"), F.lit(made["counts"]["frames"]).cast("long").alias("frames"),
-    )
+def frame_grids(spark, sf_dir):
+    """A grid of frames for each conversation as if it were a video, at its own rate, with as many frames as its texts have words."""
+    words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0))
+    videos = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("video")).agg(F.sum(words).alias("frames"))
+    videos = videos.withColumn("fps", F.element_at(F.array(F.lit(29.97), F.lit(80.0), F.lit(400.0), F.lit(0.0)), (F.col("video") % 4 + 1).cast("int")))
+    grids = media.frame_grids(videos, F.concat(F.lit("v"), F.col("video").cast("string")))
+    return grids.select(F.col("video").alias("conv_id"), "frame_id", "frame_path", "timestamp")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -573,10 +565,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         mention_candidates, slugify, excerpt, text_functions, number_functions, transcript_source, record_coerce, record_segments,
         jsonl_scan, records_by_id, index_documents, eval_rows, time_and_delta_functions, variant_numbers,
-        srt_roundtrip, cue_segments, stt_normalize, frame_grid, frame_grid_rates, rounding, segment_window, interval_align, interval_align_theta, align_summary,
+        srt_roundtrip, cue_segments, stt_normalize, frame_grid, frame_grid_rates, rounding, segment_window, interval_align, align_summary,
         search_topk, search_candidates, abs_errors, eval_per_query, eval_summary, upsert_last_wins, prefix_limit, batch_assign,
         attribute_filter, attribute_sort, windowed_counts, records_limit, record_segment_scan, line_numbers, bad_line_number, record_kinds, align_workflow, align_manifest,
-        index_project_workflow, index_records_workflow, index_recreated, store_search, eval_workflow, eval_workflow_summary, ingest_workflow, ingest_frames,
+        index_project_workflow, index_records_workflow, index_recreated, store_search, eval_workflow, eval_workflow_summary, ingest_workflow, frame_grids,
     )
 }
 
@@ -712,7 +704,6 @@ SQL: dict[str, str] = {
         SELECT ordinal, least(coalesce(a, b), coalesce(b, a)) - 0.5 AS lo, greatest(coalesce(a, b), coalesce(b, a)) + 0.5 AS hi
         FROM ends""",
     "interval_align": _REFS,
-    "interval_align_theta": _REFS,
     "align_summary": f"""
         WITH {_ALIGNED},
         each AS (SELECT ordinal, count(event_id) AS n FROM met GROUP BY ordinal)
@@ -789,7 +780,7 @@ SQL: dict[str, str] = {
         FROM each""",
     "index_project_workflow": f"""
         WITH {_WINDOWS}
-        SELECT 'seg_' || ordinal AS segment_id, start_time, 'event ' || ordinal AS transcript_text,
+        SELECT 'seg_' || ordinal AS segment_id, start_time, 'event ' || ordinal AS transcript_text, ordinal AS own_id,
                ((SELECT count(*) FROM wins) + 63) // 64 AS batches
         FROM wins""",
     "index_records_workflow": f"""
@@ -809,10 +800,14 @@ SQL: dict[str, str] = {
                (item_id % 24 * 3600 + item_id % 60 * 60 + item_id * 7 % 60 + 1)::DOUBLE AS end_time, md5({_SPACED.format("text")}) AS text_md5,
                count(*) OVER () AS counted, 'srt' AS transcript_source
         FROM benchmark""",
-    "ingest_frames": """
-        SELECT printf('frame_%06d', i) AS frame_id, printf('%.3f', (i - 1)::DOUBLE / 80)::DOUBLE AS timestamp, 640::BIGINT AS width, 3.5::DOUBLE AS duration_sec,
-               3::BIGINT AS frames
-        FROM range(1, 4) t(i)""",
+    "frame_grids": r"""
+        WITH videos AS (
+            SELECT conv_id, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS frames,
+                   [29.97::DOUBLE, 80.0::DOUBLE, 400.0::DOUBLE, NULL][conv_id % 4 + 1] AS fps
+            FROM conversations GROUP BY conv_id)
+        SELECT conv_id, printf('frame_%06d', i) AS frame_id, printf('v%d/frame_%06d.jpg', conv_id, i) AS frame_path,
+               printf('%.3f', (i - 1)::DOUBLE / fps)::DOUBLE AS timestamp
+        FROM (SELECT conv_id, fps, unnest(range(1, frames + 1)) AS i FROM videos)""",
 }
 _TOP_BY_SEGMENT = SQL["eval_per_query"].replace("round(score, 9) DESC, doc_id)", f"round(score, 9) DESC, (SELECT {_SEGMENT_ID} FROM documents s WHERE s.doc_id = scored.doc_id))")
 SQL["eval_workflow"] = _TOP_BY_SEGMENT

@@ -138,5 +138,10 @@ class Folder:
             out.close()
         self.delete(parts)
 
+    def put(self, local: str, name: str) -> None:
+        """A copy of a file or folder of this machine; what is there under the name is replaced."""
+        files, target = self._at(name)
+        files.copyFromLocalFile(False, True, self.spark._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), target)
+
     def read_text(self, name: str) -> str:
         return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import json
 import time
 from pathlib import Path
@@ -54,7 +55,11 @@ def test_ingest_align_index_and_query(spark, tmp_path):
     assert [r["timestamp"] for r in read(project / "manifests" / "frames_manifest.jsonl")] == [0.0, 1.0, 2.0]
     summary = workflows.align_frames(spark, "p", tmp_path / "projects", 0.5, one_file=True)
     assert (project / "segments" / "lecture_segments_aligned.jsonl").is_file()
-    assert summary == {
+    assert summary["project_id"] == "p" and summary["paths"] == {
+        "segments": f"{project}/segments/lecture_segments.jsonl", "frames_manifest": f"{project}/manifests/frames_manifest.jsonl",
+        "aligned_segments": f"{project}/segments/lecture_segments_aligned.jsonl", "project_manifest": f"{project}/manifests/project_manifest.json",
+    }
+    assert summary["counts"] == {
         "margin_seconds": 0.5, "segments_total": 2, "segments_with_frames": 1, "segments_without_frames": 1, "frame_refs_total": 2,
         "unique_frames_referenced": 2,
     }
@@ -70,6 +75,28 @@ def test_ingest_align_index_and_query(spark, tmp_path):
     assert [c["segment_id"] for c in found] == ["seg_my_talk_000001"] and found[0]["timestamp_center"] == 0.5
 
 
+def test_a_project_on_another_file_system(spark, tmp_path):
+    """An output root with a scheme: tools write beside, all else is written by Spark."""
+    (tmp_path / "talk.srt").write_text("1\n00:00:00,000 --> 00:00:01,000\nhello\n")
+    root = f"file://{tmp_path}/elsewhere"
+    made = workflows.ingest_video(spark, dataclasses.replace(config(tmp_path, srt_path=tmp_path / "talk.srt"), output_root=root), fake_tools)
+    project = tmp_path / "elsewhere" / "p"
+    assert made["artifacts"]["frames_dir"] == f"{root}/p/frames" and sorted(p.name for p in (project / "frames").glob("*.jpg"))[0] == "frame_000001.jpg"
+    assert (project / "source" / "my talk.mp4").is_file() and not (project / "source" / "my talk.mp4").is_symlink()
+    assert workflows.align_frames(spark, "p", root, 0.5)["counts"]["frame_refs_total"] == 2
+    store = IndexStore(spark, f"file://{tmp_path}/indexes")
+    assert workflows.index_project(store, "i", f"{root}/p")["indexed_documents"] == 1
+
+
+def test_own_keys_become_attributes(spark, tmp_path):
+    rows = [{"segment_id": "s", "transcript_text": "alpha", "topic": "x", "n": 1}, {"segment_id": "t", "transcript_text": "alpha beta", "topic": ["y"], "Topic": 3, "frame_refs": ["f"]}]
+    lines(tmp_path / "p" / "segments" / "lecture_segments.jsonl", rows)
+    store = IndexStore(spark, tmp_path / "indexes")
+    workflows.index_project(store, "i", tmp_path / "p")
+    docs = {r.segment_id: r for r in store.documents("i").selectExpr("segment_id", "frame_refs", "to_json(Topic) topic", "to_json(n) n").collect()}
+    assert (docs["s"].n, docs["s"].topic, docs["t"].topic, docs["t"].frame_refs) == ("1", None, "3", ["f"])
+
+
 def test_speech_to_text_and_no_transcript(spark, tmp_path):
     heard = {"segments": [{"start": 1, "end": 2, "text": " hi "}]}
     made = workflows.ingest_video(
