@@ -7,8 +7,9 @@ concatenation of one codeword from each is a filter. Which filters a vector exce
 list-decoded block by block: a partial sum that cannot reach the threshold any more is
 dropped, so the filters are never enumerated. A vector under too few caps gets its best ones.
 
-Vectors are joined on filters and verified by their cosine in double precision. A pair
-that meets under several filters counts under the first both have. Equal vectors are one
+Vectors are joined on filters and verified by their cosine in double precision. A row is a vector under one
+filter, so bytes grow with the filters of a vector, not with their square. A pair
+that meets under several filters counts under the first both have: for vectors with links their filters are worked out again. Equal vectors are one
 node with a count. Sums of links and a spanning forest of each bucket come out of a
 task, never pairs, and a bucket over ``CELL`` vectors is dealt as pairs of its parts.
 
@@ -36,6 +37,7 @@ from cuelight.llm.simhash import _merge
 CELL = 2048
 _BUCKET_AIM = 48
 _CODEBOOK = 256  # codewords of a block at most
+_WHOLE = 2.0**20
 _PLANTED, _MEET = 4096, 0.96  # pairs to try a code with, and the share of them that must meet
 
 
@@ -47,11 +49,14 @@ class ProductCode:
     fewest: int  # filters that each vector gets at least
 
     def decode(self, units: np.ndarray) -> list[np.ndarray]:
-        """The filters of each row of unit vectors, ascending. All over the threshold, at least ``fewest`` if there are."""
-        turned = units @ self.rotation
+        """The filters of each row of unit vectors, ascending. All over the threshold, at least ``fewest`` if there are.
+
+        Products are of whole numbers that a double holds exactly, so a vector has the same filters in whatever company it is decoded.
+        """
+        turned = np.rint(np.rint(units * _WHOLE) @ np.rint(self.rotation * _WHOLE) / _WHOLE)
         scores, at = [], 0
         for book in self.codebooks:
-            scores.append(turned[:, at : at + book.shape[1]] @ book.T)
+            scores.append(turned[:, at : at + book.shape[1]] @ np.rint(book * _WHOLE).T / (_WHOLE * _WHOLE))
             at += book.shape[1]
         rest = np.concatenate((np.cumsum([s.max(1) for s in scores[::-1]], axis=0)[::-1], np.zeros((1, len(units)))))
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(units)
@@ -174,19 +179,17 @@ def cap_links(nodes: DataFrame, kind: str, least: float = 0.9, filters: int = 20
                     for i, found in zip(own, codes[size].decode(_units(vectors.matrix([raws[i] for i in own], kind))), strict=True):
                         lists[i] = found
                 row = np.repeat(np.arange(len(raws)), [len(f) for f in lists])
-                packed = pa.array([f.astype("<i8").tobytes() for f in lists], pa.binary())
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.array([len(r) for r in raws], np.int32)[row]),
                         pa.array(np.concatenate(lists) if len(row) else np.zeros(0, np.int64)),
                         *(part.column(c).take(take) for c in ("node", "raw", "copies")),
-                        packed.take(take),
                     ],
-                    ["size", "filter", "node", "raw", "copies", "filters"],
+                    ["size", "filter", "node", "raw", "copies"],
                 )
 
-    schema = "size int, filter long, node long, raw binary, copies long, filters binary"
+    schema = "size int, filter long, node long, raw binary, copies long"
     under = nodes.select("node", "raw", "copies").mapInArrow(decoded, schema)
     # Buckets are counted first; large ones are few and get a grid of cells.
     counts = under.groupBy("size", "filter").count().where(F.col("count") > CELL)
@@ -210,8 +213,9 @@ def cap_links(nodes: DataFrame, kind: str, least: float = 0.9, filters: int = 20
 
     def block(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         u = _units(vectors.fixed_matrix(table.column("raw"), kind))
+        code = codes[len(table.column("raw")[0].as_py())]
+        known: dict[int, np.ndarray] = {}  # filters of the vectors that have links here
         cap, part, across, node, copies = (table.column(c).to_numpy() for c in ("filter", "part", "across", "node", "copies"))
-        filters = table.column("filters")
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         counts: list[tuple[np.ndarray, np.ndarray]] = []
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -227,7 +231,13 @@ def cap_links(nodes: DataFrame, kind: str, least: float = 0.9, filters: int = 20
                 continue
             used, at = np.unique(np.concatenate((a, b)), return_inverse=True)
             n, x, y = len(used), at[: len(a)], at[len(a) :]
-            lists = [np.frombuffer(filters[lo + i].as_py(), "<i8") for i in used.tolist()]
+            names = node[lo + used].tolist()
+            new = [i for i, name in enumerate(names) if name not in known]
+            for at_once in range(0, len(new), 256):
+                some = new[at_once : at_once + 256]
+                for i, caps in zip(some, code.decode(u[lo + used[some]]), strict=True):
+                    known[names[i]] = caps
+            lists = [known[name] for name in names]
             first = ~_shared(lists, cap[lo])[x, y]  # of the filters that both have, this is the first
             who, many = node[lo + used], copies[lo + used]
             links = np.bincount(x[first], many[y[first]], n) + np.bincount(y[first], many[x[first]], n)
