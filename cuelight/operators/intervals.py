@@ -15,6 +15,7 @@ from cuelight.operators.numbering import held
 from cuelight.scratch import written
 
 _FINEST = -10
+_BITS_SENT = 16 << 20  # bytes of bitmaps that every task may get
 _FAR = 1e15  # times beyond this share the outermost cells
 
 
@@ -60,8 +61,8 @@ def interval_pairs(windows: DataFrame, points: DataFrame) -> DataFrame:
     return joined.drop("_level", "_cell")
 
 
-def align(segments: DataFrame, frames: DataFrame, margin: float = 0.0, binned: bool = True, key: str = "ordinal") -> DataFrame:
-    """Every row and column of ``segments`` with ``frame_refs``: the frames in its window, in the order of frames.
+def align(segments: DataFrame, frames: DataFrame, margin: float = 0.0, binned: bool = True, key: str = "ordinal", numbers: str | None = None) -> DataFrame:
+    """Every row and column of ``segments`` with ``frame_refs``: the frames in its window, in the order of frames. ``numbers``: a column for their ordinals.
 
     segments: start_time, end_time and ``key``, an ordinal of its rows (ids need not be unique). frames:
     frame_id, timestamp, ``ordinal``, perhaps frame_path. Repeated frames are all kept; windows without a
@@ -75,17 +76,20 @@ def align(segments: DataFrame, frames: DataFrame, margin: float = 0.0, binned: b
         met = interval_pairs(windows, points)
     else:
         met = windows.where("window is not null").join(points, _within(F.col("timestamp")))
-    refs = F.transform(F.sort_array(F.collect_list(F.struct("_order", "point_id"))), lambda f: f.point_id)
-    found = met.groupBy("_key").agg(refs.alias("_refs"))
-    rows = segments.select(held(segments, "frame_refs"))
-    return rows.join(found, F.col("_held")[key] == F.col("_key"), "left").select(
-        "_held.*", F.coalesce("_refs", F.array().cast("array<string>")).alias("frame_refs")
-    )
+    listed = met.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_order", "point_id"))).alias("_refs"))
+    rows = segments.select(held(segments, "frame_refs", *([numbers] if numbers else [])))
+    none = F.array().cast(f"array<struct<_order:{frames.schema['ordinal'].dataType.simpleString()},point_id:string>>")
+    made = rows.join(listed, F.col("_held")[key] == F.col("_key"), "left").select("_held", F.coalesce("_refs", none).alias("_refs"))
+    return made.select("_held.*", F.col("_refs.point_id").alias("frame_refs"), *([F.col("_refs._order").alias(numbers)] if numbers else []))
+
 
+def align_summary(aligned: DataFrame, margin: float = 0.0, frames: DataFrame | None = None, numbers: str = "frame_ordinals") -> DataFrame:
+    """One row: how many segments have frames, and how many references and distinct frames there are.
 
-def align_summary(aligned: DataFrame, margin: float = 0.0) -> DataFrame:
-    """One row: how many segments have frames, and how many references and distinct frames there are."""
-    aligned = written(aligned.select("frame_refs"))
+    With ``frames`` and their ordinals in ``numbers``, as ``align`` makes them, references are never shuffled: each task sets bits of the ordinals that it meets, the
+    bits are united, and the names of frames whose bit is set are counted. Else the references themselves are told apart.
+    """
+    aligned = written(aligned.select("frame_refs", *([numbers] if frames is not None else [])))
     some = F.size("frame_refs") > 0
     totals = aligned.agg(
         F.lit(max(0.0, margin)).alias("margin_seconds"),
@@ -94,5 +98,21 @@ def align_summary(aligned: DataFrame, margin: float = 0.0) -> DataFrame:
         F.count_if(~some).alias("segments_without_frames"),
         F.coalesce(F.sum(F.size("frame_refs")), F.lit(0)).alias("frame_refs_total"),
     )
-    distinct = aligned.select(F.explode("frame_refs").alias("f")).distinct().agg(F.count("*").alias("unique_frames_referenced"))
+    if frames is None:
+        named = aligned.select(F.explode("frame_refs").alias("point_id"))
+    else:
+        named = _marked(frame_points(frames), aligned.select(F.explode(F.col(numbers).cast("array<bigint>")).alias("n")))
+    distinct = named.select("point_id").distinct().agg(F.count("*").alias("unique_frames_referenced"))
     return totals.join(distinct)  # one row and one row
+
+
+def _marked(points: DataFrame, met: DataFrame) -> DataFrame:
+    """The rows of ``points`` whose ordinal is among ``n``, by bitmaps of 32,768 ordinals."""
+    bucket, bit = (lambda n: F.bitmap_bucket_number(n + 1)), (lambda n: F.bitmap_bit_position(n + 1))
+    maps = met.groupBy(bucket(F.col("n")).alias("_bucket")).agg(F.bitmap_construct_agg(bit(F.col("n"))).alias("_bits"))
+    maps = written(maps)
+    few = maps.count() * 4096 <= _BITS_SENT
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = points.withColumns({"_bucket": bucket(F.col("ordinal").cast("long")), "_at": bit(F.col("ordinal").cast("long"))})
+    joined = placed.join(F.broadcast(maps) if few else maps, "_bucket")
+    return joined.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0)

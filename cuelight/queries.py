@@ -268,7 +268,8 @@ def interval_align(spark, sf_dir):
 
 
 def align_summary(spark, sf_dir):
-    return intervals.align_summary(intervals.align(windows(spark, sf_dir), frames(spark, sf_dir), 2.0), 2.0)
+    points = frames(spark, sf_dir)
+    return intervals.align_summary(intervals.align(windows(spark, sf_dir), points, 2.0, numbers="frame_ordinals"), 2.0, points)
 
 
 def search_topk(spark, sf_dir):

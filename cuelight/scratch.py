@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -114,6 +115,14 @@ class Folder:
     def claim(self, name: str) -> bool:
         """Makes an empty file unless there is one: of several callers exactly one succeeds."""
         files, target = self._at(name)
+        if files.getScheme() == "file":  # where Hadoop's client looks first and creates then
+            local = files.makeQualified(target).toUri().getPath()
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            try:
+                os.close(os.open(local, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            except FileExistsError:
+                return False
+            return True
         return files.createNewFile(target)
 
     def names(self, name: str) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import asdict, is_dataclass
 from pathlib import Path
 from typing import Any
@@ -57,13 +58,30 @@ def object_line(v: Column, **replaced: Column) -> Column:
     return F.to_json(F.map_concat(kept, made), {"ignoreNullFields": "false"})
 
 
-def merge_manifest(folder: Folder, name: str, **sections: Any) -> dict[str, Any]:
+def merge_manifest(folder: Folder, name: str, most_seconds: float = 60.0, **sections: Any) -> dict[str, Any]:
     """Sets sections of a JSON object in a file; dictionaries are merged into what is there. A missing file, or one that holds
-    something else, counts as empty, and so does a section that is no object."""
+    something else, counts as empty, and so does a section that is no object.
+
+    Writers beside each other lose nothing: each version of the file is made by the one writer that could claim its number, from the version before. A writer that
+    comes too late reads again; a number whose writer is gone is passed over after ``most_seconds``.
+    """
+    versions, until, waited = f".{name}.versions", time.monotonic() + most_seconds, -1
+    while True:
+        claimed = [int(n.split(".")[0]) for n in folder.names(versions) if n.endswith(".claim")]
+        done = [int(n.split(".")[0]) for n in folder.names(versions) if n.endswith(".json")]
+        last = max(claimed, default=-1)
+        if last > max(done, default=-1) and last > waited:  # a writer is at work
+            if time.monotonic() < until:
+                time.sleep(0.05)
+                continue
+            waited, until = last, time.monotonic() + most_seconds
+        if folder.claim(f"{versions}/{last + 1:08d}.claim"):
+            break
     known: Any = json.loads(folder.read_text(name)) if folder.exists(name) else {}
     known = known if isinstance(known, dict) else {}
     for key, value in sections.items():
         before = known.get(key)
         known[key] = (before if isinstance(before, dict) else {}) | value if key in ("artifacts", "counts") else value
     folder.write_text(name, json_text(known))
+    folder.write_text(f"{versions}/{last + 1:08d}.json", "{}\n")
     return known

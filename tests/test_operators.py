@@ -62,6 +62,18 @@ def test_binned_join_is_the_plain_one(spark):
     assert refs(intervals.align(s, f, 0.25)) == refs(intervals.align(s, f, 0.25, binned=False))
 
 
+@pytest.mark.parametrize("sent", [1 << 24, 0])
+def test_distinct_frames_by_bitmaps(spark, monkeypatch, sent):
+    """Names that repeat count once; ordinals over several bitmaps."""
+    monkeypatch.setattr(intervals, "_BITS_SENT", sent)
+    rng = random.Random(5)
+    f = spark.createDataFrame([(f"f{rng.randrange(40)}", float(rng.randrange(200)), rng.randrange(200_000)) for _ in range(300)], "frame_id string, timestamp double, ordinal long")
+    f = f.dropDuplicates(["ordinal"])
+    s = seg(spark, *((f"s{i}", a, a + 3.0) for i, a in enumerate(map(float, rng.choices(range(150), k=20)))))
+    by_names = tuple(intervals.align_summary(intervals.align(s, f, 0.5), 0.5).first())
+    assert tuple(intervals.align_summary(intervals.align(s, f, 0.5, numbers="n"), 0.5, f, "n").first()) == by_names and by_names[5] > 10
+
+
 def test_cue_segments(spark):
     cue = spark.createDataFrame([(3, 1.0, 2.0, "This LINE")], "seq_no long, start_time double, end_time double, text string")
     row = segments.cue_segments(cue, "p", "my video").first()

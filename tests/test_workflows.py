@@ -3,6 +3,7 @@ from __future__ import annotations
 import dataclasses
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -189,6 +190,16 @@ def test_json_files(spark, tmp_path):
     assert jsonable(({"a"}, 1))[1] == 1
 
 
+def test_manifest_writers_lose_no_section(spark, tmp_path):
+    home = Folder(spark, str(tmp_path))
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: merge_manifest(home, "m.json", counts={f"n{i}": i}, **{f"own{i}": i}), range(16)))
+    made = json.loads((tmp_path / "m.json").read_text())
+    assert made["counts"] == {f"n{i}": i for i in range(16)} and all(made[f"own{i}"] == i for i in range(16))
+    assert home.claim(".m.json.versions/00000016.claim")  # of a writer that is gone
+    assert merge_manifest(home, "m.json", most_seconds=0.2, alignment={"x": 1})["alignment"] == {"x": 1}
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     parse = cli.build_parser().parse_args
     a = parse(["align-frames", "--project-id", "p"])
