@@ -359,9 +359,9 @@ def score(docs: DataFrame, model: LanguageModel, carry: list[str] | None = None)
     """The columns ``carry`` of ``docs`` (all if not given), with lang_pred and score, the posterior of that language.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Whole texts count. Columns of those
-    two names are replaced.
+    two names, in whatever case, are replaced.
     """
-    names = [c for c in carry or docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in carry or docs.columns if c.lower() not in ("lang_pred", "score")]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by vocabulary times max_languages
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 

@@ -171,10 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", most_per_g
 def score(docs: DataFrame, model: OrdinalModel, carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` of ``docs`` (all if not given), with expected_grade double and tail_probability array<double>.
 
-    tail_probability[k] is P(grade >= the k-th grade above the lowest). Columns of those names are replaced.
+    tail_probability[k] is P(grade >= the k-th grade above the lowest). Columns of those names, in whatever case, are replaced.
     Every row is scored over its whole text; null counts as empty, which has a score as well.
     """
-    names = [c for c in carry or docs.columns if c not in ("expected_grade", "tail_probability")]
+    names = [c for c in carry or docs.columns if c.lower() not in ("expected_grade", "tail_probability")]
     schema = docs.select(names).schema.add("expected_grade", "double").add("tail_probability", T.ArrayType(T.DoubleType()))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

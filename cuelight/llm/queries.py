@@ -44,10 +44,12 @@ def op1_url_filter_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_cap_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, whatever their labels: how many are near each, and its component."""
     return cap_filters.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
 
 
 def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents, by a model of the labelled ones that are not held out."""
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     return toxicity.score(docs, model, ["doc_id"]).select(
@@ -60,11 +62,12 @@ def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expected grade of every whole text of documents, by a model of the labelled ones; ``held_out``: crc32(doc_id as text) mod 5 is 0, which are not learned from."""
     docs = _table(spark, sf_dir, "documents")
-    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    model = quality.train(docs, _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     tail = F.try_element_at("tail_probability", F.lit(1))
     return quality.score(docs, model, ["doc_id"]).select(
-        "doc_id", "expected_grade", tail.alias("p_above_lowest"), F.coalesce(tail >= 0.5, F.lit(True)).alias("selected")
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "expected_grade", tail.alias("p_above_lowest"), F.coalesce(tail >= 0.5, F.lit(True)).alias("selected")
     )
 
 
@@ -91,10 +94,12 @@ def op4_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing_mbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document, in sequences of 2,048."""
     return packing.pack(_table(spark, sf_dir, "documents"), capacity=2048, separator=0)
 
 
 def op6_language_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of documents, by a model of those that are not held out."""
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(fold("doc_id", 4) != 2).select("doc_id", "text", "lang"))
     return langid.score(docs, model, ["doc_id"]).select(
@@ -103,11 +108,13 @@ def op6_language_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every 50th vector with all others."""
     rows = _table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5, scale=256.0)
 
 
 def op8_mixing_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mixture takes."""
     sized = mixing.sizes(_table(spark, sf_dir, "documents"))
     taken = mixing.repetitions(sized, mixing.plan(sized, max_epochs=3, cycle=(1, 2, 3)), F.col("size"), F.col("key"))
     words = (F.col("row.size") * F.col("times")).alias("taken")
@@ -115,6 +122,7 @@ def op8_mixing_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 

@@ -218,12 +218,13 @@ SPANS = T.ArrayType(T.StructType().add("start", "integer").add("length", "intege
 
 
 def score(docs: DataFrame, model: MilModel, carry: list[str] | None = None, offending: float = 0.5) -> DataFrame:
-    """The columns ``carry`` of ``docs`` (all if not given), with toxicity double and toxic_spans.
+    """The columns ``carry`` of ``docs`` (all if not given), with toxicity double and toxic_spans; columns of
+    those names, in whatever case, are replaced.
 
     toxicity: noisy-or over all sentences of the whole text; empty and null texts have no sentence, so 0.
     toxic_spans: start and length in characters, and probability, of sentences of at least ``offending``.
     """
-    names = [c for c in carry or docs.columns if c not in ("toxicity", "toxic_spans")]
+    names = [c for c in carry or docs.columns if c.lower() not in ("toxicity", "toxic_spans")]
     schema = docs.select(names).schema.add("toxicity", "double")
     schema = schema.add("toxic_spans", SPANS)
     spark = docs.sparkSession

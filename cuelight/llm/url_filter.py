@@ -52,15 +52,17 @@ def intervals(entries: DataFrame) -> DataFrame:
     Returns (list, pattern, verdict, valid_from, valid_to): an ``add`` holds from its date until the pattern's next
     entry on the list, valid_to excluded, null for open. Of entries of one date an ``add`` counts last. Rows
     without list, pattern, date or a known action are void; repeated rows do no harm. Patterns lose a scheme and
-    slashes at either end and their host is lower-cased.
+    slashes at either end, and their host is taken as that of a capture: lower-cased, without user, port and final dot. Names are compared as they are
+    written, so one with letters beyond ASCII and its ``xn--`` form are two.
     """
     clean = F.trim(F.regexp_replace(F.trim("pattern"), "^[A-Za-z][A-Za-z0-9+.-]*://", ""))
     clean = F.regexp_replace(clean, "/+$", "")
-    first = F.substring_index(clean, "/", 1)
+    named = F.regexp_extract(F.substring_index(clean, "/", 1), r"^(?:[^@]*@)?(\[[0-9A-Za-z:.%]+\]|[^:]*)(?::[0-9]*)?$", 1)
+    first = F.regexp_replace(named, r"\.$", "")
     rest = F.array_join(F.filter(F.slice(F.split(clean, "/"), 2, 100_000), lambda s: s != ""), "/")
     whole = F.concat(F.lower(first), F.when(rest != "", F.concat(F.lit("/"), rest)).otherwise(""))
     known = entries.select("list", whole.alias("pattern"), "since", "action", F.coalesce("verdict", F.lit("block")).alias("verdict"))
-    known = known.where("list is not null and pattern <> '' and since is not null and action in ('add', 'remove')").distinct()
+    known = known.where("list is not null and pattern <> '' and pattern not like '/%' and since is not null and action in ('add', 'remove')").distinct()
     order = Window.partitionBy("list", "pattern").orderBy("since", F.col("action").desc(), "verdict")
     return (
         known.withColumn("valid_to", F.lead("since").over(order))

@@ -84,3 +84,11 @@ def test_fits_do_not_depend_on_the_order(spark):
     (q, t), (q2, t2) = models
     assert (q.weights == q2.weights).all() and (q.thresholds == q2.thresholds).all()
     assert t.bias == t2.bias and (t.buckets == t2.buckets).all() and (t.weights == t2.weights).all()
+
+
+def test_names_that_differ_by_case_are_replaced(spark, toxic, ordinal):
+    rows = spark.createDataFrame([(1, "one two", 9, 9, 9, 9, 9)], "doc_id long, text string, Toxicity int, TOXIC_SPANS int, Expected_Grade int, Tail_Probability int, LANG_PRED int")
+    assert toxicity.score(rows, toxic).select("toxicity").columns == ["toxicity"]
+    assert quality.score(rows, ordinal).select("expected_grade", "tail_probability").count() == 1
+    model = langid.train(rows.select("doc_id", "text", F.lit("en").alias("lang")))
+    assert langid.score(rows, model).select("lang_pred", "score").first().lang_pred == "en"

@@ -121,6 +121,14 @@ def entries(spark, *rows):
     return spark.createDataFrame([(a, b, pd.Timestamp(c).date() if c else None, d, e) for a, b, c, d, e in rows], ENTRIES)
 
 
+def test_patterns_are_taken_as_hosts_of_captures_are(spark):
+    named = ["Example.COM.", "user@example.com", "example.com:8080", "http://u:p@example.com:80/a/", "example.com.:443", "[::1]:80", ":80", "/only/path", "."]
+    entries = spark.createDataFrame([("l", p, 1, "add", "block") for p in named], "list string, pattern string, since int, action string, verdict string")
+    assert sorted(r.pattern for r in url_filter.intervals(entries).collect()) == ["[::1]", "example.com", "example.com/a"]
+    pages = spark.createDataFrame([(1, "https://example.com:99/a/b", 2), (2, "https://[::1]/x", 2), (3, "https://other.org./", 2)], "page_id long, url string, fetched_at int")
+    assert {r.page_id: r.n_active for r in url_filter.judge(pages, entries).collect()} == {1: 2, 2: 1, 3: 0}
+
+
 def test_intervals(spark):
     got = url_filter.intervals(
         entries(
