@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelight.functions import scalars as S
@@ -209,6 +209,22 @@ def srt_roundtrip(spark, sf_dir):
     return subtitles.srt_cues(files.withColumnRenamed("conv_id", "path")).withColumnRenamed("path", "conv_id")
 
 
+def srt_large_files(spark, sf_dir):
+    """Documents as the cues of large subtitle files, read back by ranges of bytes. Every seventh block has no timing, every eleventh no text, every
+    thirteenth something before its timing; numbers go on through the files."""
+    n, text = F.col("doc_id"), S.collapse_space(F.col("text"))
+    stamp = lambda more: F.format_string("%02d:%02d:%02d,%03d", n % 24, n % 60, (n * 7 + more) % 60, n % 1000)
+    timing = F.when(n % 7 == 0, "no timing").otherwise(F.concat(F.when(n % 13 == 0, "before\n").otherwise(""), stamp(0), F.lit(" --> "), stamp(1)))
+    block = F.concat(n.cast("string"), F.lit("\r\n"), timing, F.lit("\n"), F.when(n % 11 != 0, text).otherwise(" "), F.lit("\n \n"))
+    path = scratch_path(spark, "srt")
+    files.write_lines(table(spark, sf_dir, "documents").select("doc_id", block.alias("line")), path, "doc_id", F.col("line"))
+    cues = subtitles.read_srt(spark, path)
+    counts = cues.groupBy("path").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    bases = counts.select("path", F.coalesce(earlier, F.lit(0)).alias("base"))
+    return cues.join(bases, "path").select((F.col("base") + F.col("seq_no")).alias("seq_no"), "start_time", "end_time", F.md5("text").alias("text_md5"))
+
+
 def cue_segments(spark, sf_dir):
     cues = _cues(spark, sf_dir).select(
         (F.col("turn") + 1).alias("seq_no"), (F.col("turn") * 10).cast("double").alias("start_time"), (F.col("turn") * 10 + 8).cast("double").alias("end_time"),
@@ -566,7 +582,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         mention_candidates, slugify, excerpt, text_functions, number_functions, transcript_source, record_coerce, record_segments,
         jsonl_scan, records_by_id, index_documents, eval_rows, time_and_delta_functions, variant_numbers,
-        srt_roundtrip, cue_segments, stt_normalize, frame_grid, frame_grid_rates, rounding, segment_window, interval_align, align_summary,
+        srt_roundtrip, srt_large_files, cue_segments, stt_normalize, frame_grid, frame_grid_rates, rounding, segment_window, interval_align, align_summary,
         search_topk, search_candidates, abs_errors, eval_per_query, eval_summary, upsert_last_wins, prefix_limit, batch_assign,
         attribute_filter, attribute_sort, windowed_counts, records_limit, record_segment_scan, line_numbers, bad_line_number, record_kinds, align_workflow, align_manifest,
         index_project_workflow, index_records_workflow, index_recreated, store_search, eval_workflow, eval_workflow_summary, ingest_workflow, frame_grids,
@@ -683,6 +699,10 @@ SQL: dict[str, str] = {
         SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq_no, (turn * 10)::DOUBLE AS start_time,
                (turn * 10 + 8)::DOUBLE AS end_time, {_SPACED.format("text")} AS text
         FROM conversations""",
+    "srt_large_files": f"""
+        SELECT row_number() OVER (ORDER BY doc_id) AS seq_no, (doc_id % 24 * 3600 + doc_id % 60 * 60 + doc_id * 7 % 60)::DOUBLE + (doc_id % 1000)::DOUBLE / 1000 AS start_time,
+               (doc_id % 24 * 3600 + doc_id % 60 * 60 + (doc_id * 7 + 1) % 60)::DOUBLE + (doc_id % 1000)::DOUBLE / 1000 AS end_time, md5({_SPACED.format("text")}) AS text_md5
+        FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND {_SPACED.format("text")} <> ''""",
     "cue_segments": f"""
         SELECT 'seg_conv_' || conv_id || '_' || printf('%06d', turn + 1) AS segment_id, turn + 1 AS sample_index,
                (turn * 10)::DOUBLE AS start_time, (turn * 10 + 8)::DOUBLE AS end_time, (turn * 10 + 4)::DOUBLE AS timestamp_center,

@@ -24,8 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from cuelight.operators.numbering import held
 from cuelight.scratch import written
 
-LINES = "file string, start long, row long, nth long, line binary"
-COUNTS = "file string, start long, lines long, nonblank long"
+LINES = "file string, start long, row long, nth long, run long, line binary"
+COUNTS = "file string, start long, lines long, nonblank long, runs long, opens boolean, closes boolean"
 _COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate", ".xz")
 _BATCH_LINES, _BATCH_BYTES = 10_000, 4 << 20
 _CHUNK = 1 << 20
@@ -98,6 +98,11 @@ def lines_of(at: Range) -> tuple[int, list[int], list[bytes]]:
     return len(lines), rows, [lines[i] for i in rows]
 
 
+def runs_of(rows: list[int]) -> np.ndarray:
+    """The number, from 0, of the run of lines without a blank one between them that each line is in."""
+    return np.cumsum(np.diff(np.array(rows, np.int64), prepend=rows[0] - 1 if rows else 0) > 1)
+
+
 class LinesReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.count = options["mode"] == "counts"
@@ -110,8 +115,12 @@ class LinesReader(DataSourceReader):
         for at in partition.own:
             total, rows, lines = lines_of(at)
             if self.count:
-                yield pa.RecordBatch.from_pydict({"file": [at.file], "start": [at.start], "lines": [total], "nonblank": [len(rows)]})
+                runs = int(runs_of(rows)[-1]) + 1 if rows else 0
+                edges = [rows[0] == 0, rows[-1] == total - 1] if rows else [False, False]
+                counts = [[at.file], [at.start], [total], [len(rows)], [runs], *([edge] for edge in edges)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in counts], ["file", "start", "lines", "nonblank", "runs", "opens", "closes"])
                 continue
+            runs = runs_of(rows)
             most = len(rows) if at.take < 0 else min(at.take, len(rows))
             lo = 0
             while lo < most:
@@ -119,9 +128,9 @@ class LinesReader(DataSourceReader):
                 while hi < most and hi - lo < _BATCH_LINES and (hi == lo or size + len(lines[hi]) <= _BATCH_BYTES):
                     size += len(lines[hi])
                     hi += 1
-                columns = [[at.file] * (hi - lo), [at.start] * (hi - lo), rows[lo:hi], range(lo, hi)]
+                columns = [[at.file] * (hi - lo), [at.start] * (hi - lo), rows[lo:hi], range(lo, hi), runs[lo:hi]]
                 arrays = [pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:]), pa.array(lines[lo:hi], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["file", "start", "row", "nth", "line"])
+                yield pa.RecordBatch.from_arrays(arrays, ["file", "start", "row", "nth", "run", "line"])
                 lo = hi
 
 
@@ -214,22 +223,30 @@ def _prefix(spark: SparkSession, ranges: list[Range], limit: int, size: int) ->
     return kept
 
 
-def _by_text_reader(spark: SparkSession, path: str) -> DataFrame:
-    """The same columns by Spark's reader: rows of a block are numbered in one task each."""
-    block = ["file", "start"]
+_BLANK = r"(?U)^[\s\x1c-\x1f]*$"
+
+
+def _numbered_text(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, row, full, value) of all lines by Spark's reader: those of a block are numbered in one task each."""
     read = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value"
     )
+    rows = read.withColumn("row", F.row_number().over(Window.partitionBy("file", "start").orderBy("at")).cast("long") - 1)
     marked = F.when((F.col("start") == 0) & (F.col("row") == 0), F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value"))
-    rows = read.withColumn("row", F.row_number().over(Window.partitionBy(*block).orderBy("at")).cast("long") - 1).withColumn("value", marked)
-    full = rows.where(~F.col("value").rlike(r"(?U)^[\s\x1c-\x1f]*$"))
-    nth = F.row_number().over(Window.partitionBy(*block).orderBy("row")).cast("long") - 1
-    return full.select(*block, "row", nth.alias("nth"), F.col("value").cast("binary").alias("line"))
+    return rows.select("file", "start", "row", marked.alias("value")).withColumn("full", ~F.col("value").rlike(_BLANK))
+
+
+def _by_text_reader(spark: SparkSession, path: str) -> DataFrame:
+    """The same columns by Spark's reader."""
+    own = Window.partitionBy("file", "start").orderBy("row")
+    rows = _numbered_text(spark, path).where("full").withColumn("fresh", F.col("row") > F.lag("row").over(own) + 1)
+    nth, run = F.row_number().over(own).cast("long") - 1, F.count_if("fresh").over(own)
+    return rows.select("file", "start", "row", nth.alias("nth"), run.alias("run"), F.col("value").cast("binary").alias("line"))
 
 
 def read_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(file, start, row, nth, line) of the lines that aren't blank: (file, start, row) orders them as they stand in the files, files by name; ``row`` counts all
-    lines of a range from 0, ``nth`` those that aren't blank. ``limit``: the first so many, none for 0 and less; what lies beyond is not read,
+    """(file, start, row, nth, run, line) of the lines that aren't blank: (file, start, row) orders them as they stand in the files, files by name; ``row`` counts all
+    lines of a range from 0, ``nth`` those that aren't blank, ``run`` the runs of lines without a blank one between them. ``limit``: the first so many, none for 0 and less; what lies beyond is not read,
     but for the ranges' ends."""
     files = _files(spark, path)
     if not _reachable(files):
@@ -248,13 +265,17 @@ def _first(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def count_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start, lines, nonblank) of each range."""
+    """(file, start, lines, nonblank, runs, opens, closes) of each range: its lines, those that aren't blank, the runs that these make, and whether its first and last
+    line aren't blank."""
     files = _files(spark, path)
     if _reachable(files):
         size = _size(spark)
         return _load(spark, _cut(files, size), "counts", size)
-    read = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    return read.agg(F.count("*").alias("lines"), F.count_if(~F.col("value").rlike(r"(?U)^[\s\x1c-\x1f]*$")).alias("nonblank"))
+    rows = _numbered_text(spark, path)
+    fresh = F.col("full") & ~F.coalesce(F.lag("full").over(Window.partitionBy("file", "start").orderBy("row")), F.lit(False))
+    return rows.withColumn("fresh", fresh).groupBy("file", "start").agg(
+        F.count("*").alias("lines"), F.count_if("full").alias("nonblank"), F.count_if("fresh").alias("runs"), F.min_by("full", "row").alias("opens"), F.max_by("full", "row").alias("closes")
+    )
 
 
 def line_number(spark: SparkSession, path: str, file: str, start: int, row: int) -> int:
@@ -287,3 +308,16 @@ def in_order(rows: DataFrame, name: str = "ordinal") -> DataFrame:
     few = bases.count() <= _FEW_RANGES
     met = rows.select(held(rows, name)).join(F.broadcast(bases) if few else bases, (F.col("_held.position.file") == F.col("_file")) & (F.col("_held.position.block") == F.col("_block")))
     return met.select("_held.*", (F.col("_base") + F.col("_held.position.nth")).alias(name))
+
+
+def with_runs(rows: DataFrame, counts: DataFrame, name: str = "block") -> DataFrame:
+    """``rows`` of ``read_lines`` with the number of a line's run in its file, from 0. A run that goes on over the end of a range is one: a range's
+    first run is the last of the range before if neither has a blank line there. counts: ``count_lines`` of the same path."""
+    of_file = Window.partitionBy("file").orderBy("start")
+    some = counts.where("lines > 0")  # a line that is longer than a range leaves ranges where none begins
+    goes_on = F.col("opens") & F.coalesce(F.lag("closes").over(of_file), F.lit(False))
+    own = some.select("file", "start", "runs", goes_on.cast("long").alias("goes_on"))
+    earlier = F.coalesce(F.sum(F.col("runs") - F.col("goes_on")).over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = written(own.select("file", "start", (earlier - F.col("goes_on")).alias("_base")))  # a row for each range
+    met = rows.join(F.broadcast(bases) if bases.count() <= _FEW_RANGES else bases, ["file", "start"])
+    return met.withColumn(name, F.col("run") + F.col("_base")).drop("_base")

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelight.functions import scalars as S
+from cuelight.scratch import written
+from cuelight.sources.lines import count_lines, read_lines, with_runs
 
 # The form of a timing line, and the characters at which a line ends.
 _STAMP = r"[0-9]{2}:[0-9]{2}:[0-9]{2}[,.][0-9]{3}"
 _TIMING = rf"({_STAMP})\s*-->\s*({_STAMP})"
+_GROUP_BITS = 12  # cues of so many blocks are numbered in one task
 _LINE_END = r"[\n\x0b\x0c\x1c-\x1e\x85  ]"
 
 
@@ -21,18 +24,24 @@ def srt_cues(files: DataFrame) -> DataFrame:
     """
     body = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
     blocks = files.select("path", F.posexplode(F.split(S.strip(body), r"\n(?U)\s*\n")).alias("pos", "block"))
-    lines = F.filter(F.transform(F.split("block", _LINE_END), S.strip), lambda line: line != "")
+    cues = _timed(blocks.select("path", "pos", F.split("block", _LINE_END).alias("lines")))
+    number = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
+    return cues.select("path", number.cast("long").alias("seq_no"), "start_time", "end_time", "text")
+
+
+def _timed(blocks: DataFrame) -> DataFrame:
+    """Blocks (``lines``, other columns kept) that hold a timing and a text after it, with start_time, end_time and text."""
+    kept = [c for c in blocks.columns if c != "lines"]
+    lines = F.filter(F.transform("lines", S.strip), lambda line: line != "")
     timed = F.transform(F.col("lines"), lambda line: line.rlike(_TIMING))
     cues = (
-        blocks.select("path", "pos", lines.alias("lines"))
+        blocks.select(*kept, lines.alias("lines"))
         .withColumn("at", F.array_position(timed, True).cast("int"))
         .where((F.col("at") > 0) & (F.size("lines") > F.col("at")))
         .withColumn("timing", F.element_at("lines", F.col("at")))
     )
-    number = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
     return cues.select(
-        "path",
-        number.cast("long").alias("seq_no"),
+        *kept,
         S.subtitle_seconds(F.regexp_extract("timing", _TIMING, 1)).alias("start_time"),
         S.subtitle_seconds(F.regexp_extract("timing", _TIMING, 2)).alias("end_time"),
         F.array_join(F.slice("lines", F.col("at") + 1, F.size("lines")), " ").alias("text"),
@@ -40,9 +49,18 @@ def srt_cues(files: DataFrame) -> DataFrame:
 
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
-    """The cues of each file at ``path``."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return srt_cues(files)
+    """The cues of each file at ``path``, as ``srt_cues`` has them. Files are read by ranges of bytes, so one large file is many tasks' work; a block that goes on
+    over the end of a range is put together, and cues are numbered by sums of counts of neighbouring blocks."""
+    rows = with_runs(read_lines(spark, path), count_lines(spark, path))
+    listed = F.sort_array(F.collect_list(F.struct("start", "row", "line")))
+    blocks = rows.groupBy(F.col("file").alias("path"), "block").agg(listed.alias("rows"))
+    lines = F.flatten(F.transform("rows", lambda r: F.split(r.line.cast("string"), _LINE_END)))
+    cues = written(_timed(blocks.select("path", "block", lines.alias("lines"))).withColumn("group", F.shiftright("block", _GROUP_BITS)))
+    counts = cues.groupBy("path", "group").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("path").orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("path", "group", F.coalesce(earlier, F.lit(0)).alias("base"))
+    nth = F.row_number().over(Window.partitionBy("path", "group").orderBy("block"))
+    return cues.withColumn("nth", nth).join(bases, ["path", "group"]).select("path", (F.col("base") + F.col("nth")).alias("seq_no"), "start_time", "end_time", "text")
 
 
 def stt_segments(results: DataFrame, result: Column, key: str = "path") -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from cuelight.operators import intervals, numbering
-from cuelight.sources import jsonl, lines
+from cuelight.sources import jsonl, lines, subtitles
 
 
 def python_lines(data):
@@ -85,6 +85,24 @@ def test_a_limit_stops_before_a_bad_line(spark, tmp_path, reader):
     assert jsonl.read_records(spark, str(tmp_path / "empty.jsonl")).collect() == []
 
 
+@pytest.mark.parametrize("size", ["1", "7", "64", "128m"])
+def test_subtitles_by_ranges_are_those_of_the_whole_text(spark, tmp_path, reader, size):
+    """Blocks cut anywhere, lines longer than a range, blank lines of white space, defective blocks, several files."""
+    stamp = "00:00:01,000 --> 00:00:02.500"
+    texts = ["\ufeff1\r\n" + stamp + "\r\nhello\r\nworld\r\n\r\n2\n" + stamp + "\n\n\n  \n3\nno timing\n\nbefore\n" + stamp + " x\nlast é" + "y" * 90 + "\x0bpart",
+             "", stamp + "\none", "\n\n" + stamp + "\ra\r\rb\r" + stamp + "\rc\n\t\n" + stamp + "\nd"]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.srt").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = sorted((r.path.rpartition("/")[2], *r[1:]) for r in subtitles.read_srt(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = spark.createDataFrame([(f"{i}.srt", t) for i, t in enumerate(texts)], "path string, value string")
+    assert got == sorted(map(tuple, subtitles.srt_cues(whole).collect())) and len(got) == 6
+
+
 def test_a_limit_reads_no_further_ranges(spark, tmp_path, small):
     path = tmp_path / "f.jsonl"
     path.write_text("".join(json.dumps({"i": i}) + "\n" for i in range(1000)))
