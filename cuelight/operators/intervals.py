@@ -1,12 +1,19 @@
 """Segments joined with the frames that fall into their windows.
 
-Catalyst plans a join on BETWEEN alone as a nested loop. Here each window is given a level, the power
-of two next above its length, so that it covers at most two cells of that width; points are placed on the
-levels that occur, and cells are an equality that Spark can deal out. A pair meets in one cell only.
+Catalyst plans a join on BETWEEN alone as a nested loop. Here time is cut into ranges that hold about as many points each, by a sketch of
+the points' times. A point goes to its range, once; a window goes to each range that it crosses. A range that still holds too many points, as when
+many share one time, is split by a hash of the points, and its windows go to every part. In a part, points are sorted by time, and a window's
+points are a run of them.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +21,10 @@ from cuelight.functions import scalars as S
 from cuelight.operators.numbering import held
 from cuelight.scratch import written
 
-_FINEST = -10
 _BITS_SENT = 16 << 20  # bytes of bitmaps that every task may get
-_FAR = 1e15  # times beyond this share the outermost cells
+_MOST_RANGES = 4096
+_RANGE_POINTS = 100_000
+_REFS_AT_ONCE = 500_000
 
 
 def frame_points(frames: DataFrame) -> DataFrame:
@@ -41,42 +49,102 @@ def _within(point: Column) -> Column:
     return (point >= lo) & (point <= hi) & ~F.isnan(lo) & ~F.isnan(hi) & ~F.isnan(point)
 
 
-def _near(x: Column) -> Column:
-    return F.greatest(F.lit(-_FAR), F.least(F.lit(_FAR), x))
-
-
-def interval_pairs(windows: DataFrame, points: DataFrame) -> DataFrame:
-    """All columns of windows (``window``: lo, hi) and points (``timestamp``) of the pairs that meet, ends included."""
-    lo, hi = _near(F.col("window.lo")), _near(F.col("window.hi"))
-    level = F.ceil(F.log2(F.greatest(hi - lo, F.lit(2.0**_FINEST)))).cast("int")
-    sized = windows.where("window is not null and not isnan(window.lo) and not isnan(window.hi)").withColumn("_level", level)
-    levels = sorted(sized.agg(F.collect_set("_level")).first()[0])  # at most 62 can occur
-    width = F.pow(F.lit(2.0), F.col("_level"))
-    cell = lambda x: F.floor(x / width)
-    left = sized.withColumn("_cell", F.explode(F.sequence(cell(lo), cell(hi))))
-    right = points.where("timestamp is not null and not isnan(timestamp)")
-    right = right.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
-    right = right.withColumn("_cell", F.floor(_near(F.col("timestamp")) / width))
-    joined = left.join(right, ["_level", "_cell"]).where(_within(F.col("timestamp")))
-    return joined.drop("_level", "_cell")
-
-
-def align(segments: DataFrame, frames: DataFrame, margin: float = 0.0, binned: bool = True, key: str = "ordinal", numbers: str | None = None) -> DataFrame:
+def time_ranges(points: DataFrame) -> list[float]:
+    """Times at which ranges of about _RANGE_POINTS points begin, ascending, the first open; from one pass over the times."""
+    shares = [i / _MOST_RANGES for i in range(1, _MOST_RANGES)]
+    n, times = points.agg(F.count("*"), F.percentile_approx("timestamp", shares, 20_000)).first()
+    ranges = min(_MOST_RANGES, -(-n // _RANGE_POINTS))
+    chosen = {times[i * _MOST_RANGES // ranges - 1] for i in range(1, ranges)} if times else set()
+    return [-math.inf, *sorted(t for t in chosen if math.isfinite(t)), math.inf]
+
+
+def _ranged(df: DataFrame, column: str, out: str, splits: list[float]) -> DataFrame:
+    """Adds the number of the range that a time lies in."""
+    if len(splits) == 2:
+        return df.withColumn(out, F.lit(0))
+    made = Bucketizer(splits=splits, inputCol=column, outputCol=out).transform(df)
+    return made.withColumn(out, F.col(out).cast("int"))
+
+
+def window_refs(windows: DataFrame, points: DataFrame) -> DataFrame:
+    """windows: _key, window (lo, hi). points: timestamp, _order, point_id. (_key, _refs) of each window that has points, ends included: an array of (_order,
+    point_id) in their order."""
+    right = points.where("timestamp is not null and not isnan(timestamp)").select(F.col("timestamp").cast("double").alias("timestamp"), "_order", "point_id")
+    left = windows.where("window is not null and not isnan(window.lo) and not isnan(window.hi)").select("_key", "window.lo", "window.hi")
+    splits = time_ranges(right)
+    right = _ranged(right, "timestamp", "range", splits)
+    left = _ranged(_ranged(left, "lo", "first", splits), "hi", "last", splits)
+    left = left.where("lo <= hi").select("_key", "lo", "hi", F.explode(F.sequence("first", "last")).alias("range"))
+    counts = right.groupBy("range").agg(F.count("*").alias("n")).where(F.col("n") > 2 * _RANGE_POINTS)
+    hot = [(r["range"], -(-r["n"] // _RANGE_POINTS)) for r in counts.collect()]  # a row for each range at most
+    part = F.lit(0)
+    if hot:
+        parts = F.broadcast(right.sparkSession.createDataFrame(hot, "range int, parts int"))
+        right, left = right.join(parts, "range", "left"), left.join(parts, "range", "left")
+        many = F.coalesce("parts", F.lit(1))
+        right = right.withColumn("part", F.pmod(F.xxhash64("_order", "point_id"), many).cast("int"))
+        left = left.withColumn("part", F.explode(F.sequence(F.lit(0), many - 1)))
+    else:
+        right, left = right.withColumn("part", part), left.withColumn("part", part)
+    key, order = windows.schema["_key"].dataType.simpleString(), points.schema["_order"].dataType.simpleString()
+    none = lambda kind: F.lit(None).cast(kind)
+    both = right.select("range", "part", F.lit(0).alias("kind"), F.col("timestamp").alias("a"), none("double").alias("b"), none(key).alias("_key"), "_order", "point_id").unionByName(
+        left.select("range", "part", F.lit(1).alias("kind"), F.col("lo").alias("a"), F.col("hi").alias("b"), "_key", none(order).alias("_order"), none("string").alias("point_id"))
+    )
+    sorted_ = both.repartition("range", "part").sortWithinPartitions("range", "part", "kind", "a")
+    found = sorted_.mapInArrow(_swept, f"_key {key}, _refs array<struct<_order: {order}, point_id: string>>")
+    return found.groupBy("_key").agg(F.sort_array(F.flatten(F.collect_list("_refs"))).alias("_refs"))
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a part: points by time, and then its windows. Each window with its points."""
+    now, held, times, refs = None, [], None, None
+    for batch in batches:
+        n = batch.num_rows
+        place = np.stack([batch.column(c).to_numpy() for c in ("range", "part", "kind")])
+        edges = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1).tolist(), n] if n else []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            own, kind = (int(place[0, lo]), int(place[1, lo])), int(place[2, lo])
+            if own != now:
+                now, held, times = own, [], None
+            rows = batch.slice(lo, hi - lo)
+            if kind == 0:
+                held.append(rows)
+                continue
+            if times is None:
+                points = pa.Table.from_batches(held).combine_chunks() if held else None
+                times = points["a"].to_numpy() if held else np.zeros(0)
+                refs = pa.StructArray.from_arrays([points[c].combine_chunks() for c in ("_order", "point_id")], ["_order", "point_id"]) if held else None
+            first = np.searchsorted(times, rows.column("a").to_numpy(), "left")
+            size = np.searchsorted(times, rows.column("b").to_numpy(), "right") - first
+            some = np.flatnonzero(size > 0)
+            done, total = 0, np.cumsum(size[some])
+            while done < len(some):
+                stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + _REFS_AT_ONCE, "right")))
+                who = some[done:stop]
+                bounds = np.concatenate(([0], np.cumsum(size[who])))
+                at = np.arange(bounds[-1]) + np.repeat(first[who] - bounds[:-1], size[who])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), refs.take(pa.array(at)))
+                yield pa.RecordBatch.from_arrays([rows.column("_key").take(pa.array(who)), lists], ["_key", "_refs"])
+                done = stop
+
+
+def align(segments: DataFrame, frames: DataFrame, margin: float = 0.0, ranged: bool = True, key: str = "ordinal", numbers: str | None = None) -> DataFrame:
     """Every row and column of ``segments`` with ``frame_refs``: the frames in its window, in the order of frames. ``numbers``: a column for their ordinals.
 
     segments: start_time, end_time and ``key``, an ordinal of its rows (ids need not be unique). frames:
     frame_id, timestamp, ``ordinal``, perhaps frame_path. Repeated frames are all kept; windows without a
-    frame get an empty array. ``binned`` False joins by comparison alone, for small tables and as a check.
+    frame get an empty array. ``ranged`` False joins by comparison alone, for small tables and as a check.
     """
     # As an array of one, taken apart: ends are worked out once, where Catalyst would copy their expressions into each use.
     window = F.array(segment_window(F.col("start_time"), F.col("end_time"), margin))
     windows = segments.select(F.col(key).alias("_key"), F.explode(window).alias("window"))
     points = frame_points(frames).select("timestamp", F.col("ordinal").alias("_order"), "point_id")
-    if binned:
-        met = interval_pairs(windows, points)
+    if ranged:
+        listed = window_refs(windows, points)
     else:
         met = windows.where("window is not null").join(points, _within(F.col("timestamp")))
-    listed = met.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_order", "point_id"))).alias("_refs"))
+        listed = met.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_order", "point_id"))).alias("_refs"))
     rows = segments.select(held(segments, "frame_refs", *([numbers] if numbers else [])))
     none = F.array().cast(f"array<struct<_order:{frames.schema['ordinal'].dataType.simpleString()},point_id:string>>")
     made = rows.join(listed, F.col("_held")[key] == F.col("_key"), "left").select("_held", F.coalesce("_refs", none).alias("_refs"))

@@ -21,32 +21,32 @@ def refs(df):
     return [r.frame_refs for r in df.orderBy("ordinal").collect()]
 
 
-@pytest.mark.parametrize("binned", [True, False])
-def test_align(spark, binned):
+@pytest.mark.parametrize("ranged", [True, False])
+def test_align(spark, ranged):
     s = seg(spark, ("seg_1", 10.0, 12.0), ("seg_2", 30.0, 31.0))
     f = fr(spark, ("f1", 9.8), ("f2", 10.0), ("f3", 11.5), ("f4", 12.2), ("f5", 30.49))
-    out = intervals.align(s, f, 0.5, binned)
+    out = intervals.align(s, f, 0.5, ranged)
     assert refs(out) == [["f1", "f2", "f3", "f4"], ["f5"]]
     assert out.columns == [*s.columns, "frame_refs"]
     assert tuple(intervals.align_summary(out, 0.5).first()) == (0.5, 2, 2, 0, 5, 5)
 
 
-@pytest.mark.parametrize("binned", [True, False])
-def test_align_at_the_ends_and_without_frames(spark, binned):
+@pytest.mark.parametrize("ranged", [True, False])
+def test_align_at_the_ends_and_without_frames(spark, ranged):
     f = fr(spark, ("s", 5.0), ("e", 7.0), ("b", 4.999), ("a", 7.001), ("n", None), ("x", float("nan")))
-    assert refs(intervals.align(seg(spark, ("q", 5.0, 7.0)), f, -3.0, binned)) == [["s", "e"]]
-    none = intervals.align(seg(spark, ("q", 1.0, 2.0)), fr(spark).limit(0), 0.0, binned)
+    assert refs(intervals.align(seg(spark, ("q", 5.0, 7.0)), f, -3.0, ranged)) == [["s", "e"]]
+    none = intervals.align(seg(spark, ("q", 1.0, 2.0)), fr(spark).limit(0), 0.0, ranged)
     assert refs(none) == [[]]
     assert tuple(intervals.align_summary(none).first())[1:] == (1, 0, 1, 0, 0)
-    assert refs(intervals.align(seg(spark).limit(0), f, 0.0, binned)) == []
+    assert refs(intervals.align(seg(spark).limit(0), f, 0.0, ranged)) == []
 
 
-@pytest.mark.parametrize("binned", [True, False])
-def test_windows(spark, binned):
+@pytest.mark.parametrize("ranged", [True, False])
+def test_windows(spark, ranged):
     nan = float("nan")
     s = seg(spark, ("a", None, 5.0), ("b", 5.0, None), ("c", None, None), ("d", 6.0, 4.0), ("a", nan, 9.0), ("e", 0.0, nan))
     f = fr(spark, ("p", 5.0), ("p", 5.0), (None, 5.0))
-    assert refs(intervals.align(s, f, 0.0, binned)) == [["p", "p", ""]] * 2 + [[]] + [["p", "p", ""]] + [[], []]
+    assert refs(intervals.align(s, f, 0.0, ranged)) == [["p", "p", ""]] * 2 + [[]] + [["p", "p", ""]] + [[], []]
 
 
 def test_frame_without_id_takes_the_stem(spark):
@@ -54,12 +54,15 @@ def test_frame_without_id_takes_the_stem(spark):
     assert [r.point_id for r in intervals.frame_points(f).collect()] == ["a.b", ".hidden", "id"]
 
 
-def test_binned_join_is_the_plain_one(spark):
+@pytest.mark.parametrize("points", [100_000, 20, 3])
+def test_ranged_join_is_the_plain_one(spark, monkeypatch, points):
+    """One range, many, and ranges that are split since half of the points share a time."""
+    monkeypatch.setattr(intervals, "_RANGE_POINTS", points)
     rng = random.Random(3)
     spans = [(rng.choice([0.0, 1e-9, 0.5, 3.0, 1000.0, 1e7]), rng.uniform(-500, 500)) for _ in range(200)]
     s = seg(spark, *((f"s{i}", a, a + w) for i, (w, a) in enumerate(spans)), ("inf", -math.inf, math.inf), ("far", 1e300, 1e301))
-    f = fr(spark, *((f"f{i}", rng.choice([rng.uniform(-600, 600), float(rng.randint(-50, 50))])) for i in range(500)), ("far", 2e300), ("i", math.inf))
-    assert refs(intervals.align(s, f, 0.25)) == refs(intervals.align(s, f, 0.25, binned=False))
+    f = fr(spark, *((f"f{i}", rng.choice([rng.uniform(-600, 600), float(rng.randint(-50, 50)), 7.0, 7.0])) for i in range(500)), ("far", 2e300), ("i", math.inf))
+    assert refs(intervals.align(s, f, 0.25)) == refs(intervals.align(s, f, 0.25, ranged=False))
 
 
 @pytest.mark.parametrize("sent", [1 << 24, 0])
