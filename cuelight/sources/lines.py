@@ -27,8 +27,9 @@ from cuelight.scratch import written
 LINES = "file string, start long, row long, nth long, run long, line binary"
 COUNTS = "file string, start long, lines long, nonblank long, runs long, opens boolean, closes boolean"
 _COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate", ".xz")
-_BATCH_LINES, _BATCH_BYTES = 10_000, 4 << 20
+_BATCH_LINES, _BATCH_BYTES = 10_000, 1 << 20
 _CHUNK = 1 << 20
+_SEPARATORS = b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"  # what counts as white space in ASCII
 _FEW_RANGES = 100_000
 
 
@@ -47,20 +48,20 @@ class Ranges(InputPartition):
     own: list[Range]
 
 
-def _read(at: Range) -> tuple[bytes, int]:
-    """The bytes of a range, from the one before it, to the end of the line that begins last in it; and where they begin."""
-    system, path = fs.FileSystem.from_uri(at.file)
-    first = max(0, at.start - 1)
-    with system.open_input_file(path) as file:
-        file.seek(first)
-        parts = [file.read(at.end - first)]
-        last = parts[0][-1:]
-        while last and last not in b"\r\n":
-            more = file.read(_CHUNK)
-            ends = [i for i in (more.find(b"\n"), more.find(b"\r")) if i >= 0]
-            parts.append(more[: min(ends) + 1] if ends else more)
-            if ends or not more:
-                break
+def _read(file: pa.NativeFile, start: int, end: int) -> tuple[bytes, int]:
+    """The bytes of a piece of a file, from the one before it, to the end of the line that begins last in it; and where they begin. Nothing if no line begins."""
+    first = max(0, start - 1)
+    file.seek(first)
+    parts = [file.read(end - first)]
+    if start and b"\n" not in parts[0] and b"\r" not in parts[0]:
+        return b"", first
+    last = parts[0][-1:]
+    while last and last not in b"\r\n":
+        more = file.read(_CHUNK)
+        ends = [i for i in (more.find(b"\n"), more.find(b"\r")) if i >= 0]
+        parts.append(more[: min(ends) + 1] if ends else more)
+        if ends or not more:
+            break
     return b"".join(parts), first
 
 
@@ -82,25 +83,22 @@ def cut_lines(data: bytes, first: int, start: int, end: int) -> tuple[np.ndarray
     return begin, close - after_return
 
 
-def lines_of(at: Range) -> tuple[int, list[int], list[bytes]]:
-    """How many lines a range has, and number and bytes of those that aren't blank. A byte order mark before the first is dropped."""
-    data, first = _read(at)
-    if not data or at.start == 0 and data == b"\xef\xbb\xbf":
-        return 0, [], []
-    begin, end = cut_lines(data, first, at.start, at.end)
-    if at.start == 0 and data[:3] == b"\xef\xbb\xbf" and len(begin):
-        begin[0] = min(3, int(end[0]))
-    codes = np.frombuffer(data, np.uint8)
-    plain = np.concatenate(([0], np.cumsum((codes > 32) & (codes < 127))))
-    sure = plain[end] > plain[begin]
-    lines = [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-    rows = [i for i, (known, line) in enumerate(zip(sure.tolist(), lines, strict=True)) if known or line.decode(errors="replace").strip()]
-    return len(lines), rows, [lines[i] for i in rows]
-
-
-def runs_of(rows: list[int]) -> np.ndarray:
-    """The number, from 0, of the run of lines without a blank one between them that each line is in."""
-    return np.cumsum(np.diff(np.array(rows, np.int64), prepend=rows[0] - 1 if rows else 0) > 1)
+def pieces_of(at: Range) -> Iterator[tuple[int, list[int], list[bytes]]]:
+    """A range a piece at a time: how many lines begin in the piece, and number in it and bytes of those that aren't blank. A byte order mark before the first is
+    dropped. What is held is a piece, or one longer line."""
+    system, path = fs.FileSystem.from_uri(at.file)
+    with system.open_input_file(path) as file:
+        for start in range(at.start, at.end, _CHUNK):
+            end = min(at.end, start + _CHUNK)
+            data, first = _read(file, start, end)
+            if not data or start == 0 and data == b"\xef\xbb\xbf":
+                continue
+            begin, close = cut_lines(data, first, start, end)
+            if start == 0 and data[:3] == b"\xef\xbb\xbf" and len(begin):
+                begin[0] = min(3, int(close[0]))
+            lines = [data[a:b] for a, b in zip(begin.tolist(), close.tolist(), strict=True)]
+            full = [i for i, line in enumerate(lines) if line.strip() and (line.isascii() or line.decode(errors="replace").strip()) and line.strip(_SEPARATORS)]
+            yield len(lines), full, [lines[i] for i in full]
 
 
 class LinesReader(DataSourceReader):
@@ -113,25 +111,41 @@ class LinesReader(DataSourceReader):
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         for at in partition.own:
-            total, rows, lines = lines_of(at)
+            total = nth = 0
+            run, before, opens = 0, None, False
+            for n, full, lines in pieces_of(at):
+                rows = np.array(full, np.int64) + total
+                total += n
+                if not len(rows):
+                    continue
+                opens |= before is None and rows[0] == 0
+                gaps = np.diff(rows, prepend=rows[0] - 1 if before is None else before) > 1
+                runs, before = run + np.cumsum(gaps), int(rows[-1])
+                run, first, nth = int(runs[-1]), nth, nth + len(rows)
+                if self.count:
+                    continue
+                most = len(rows) if at.take < 0 else min(at.take - first, len(rows))
+                for lo, hi in _batches(lines[:most]):
+                    arrays = [np.full(hi - lo, at.start), rows[lo:hi], np.arange(first + lo, first + hi), runs[lo:hi]]
+                    columns = [pa.array([at.file] * (hi - lo), pa.string()), *(pa.array(c, pa.int64()) for c in arrays), pa.array(lines[lo:hi], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["file", "start", "row", "nth", "run", "line"])
+                if 0 <= at.take <= nth:
+                    break
             if self.count:
-                runs = int(runs_of(rows)[-1]) + 1 if rows else 0
-                edges = [rows[0] == 0, rows[-1] == total - 1] if rows else [False, False]
-                counts = [[at.file], [at.start], [total], [len(rows)], [runs], *([edge] for edge in edges)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in counts], ["file", "start", "lines", "nonblank", "runs", "opens", "closes"])
-                continue
-            runs = runs_of(rows)
-            most = len(rows) if at.take < 0 else min(at.take, len(rows))
-            lo = 0
-            while lo < most:
-                hi, size = lo, 0
-                while hi < most and hi - lo < _BATCH_LINES and (hi == lo or size + len(lines[hi]) <= _BATCH_BYTES):
-                    size += len(lines[hi])
-                    hi += 1
-                columns = [[at.file] * (hi - lo), [at.start] * (hi - lo), rows[lo:hi], range(lo, hi), runs[lo:hi]]
-                arrays = [pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:]), pa.array(lines[lo:hi], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["file", "start", "row", "nth", "run", "line"])
-                lo = hi
+                counts = [at.file, at.start, total, nth, run + 1 if nth else 0, bool(opens), before is not None and before == total - 1]
+                yield pa.RecordBatch.from_arrays([pa.array([c]) for c in counts], ["file", "start", "lines", "nonblank", "runs", "opens", "closes"])
+
+
+def _batches(lines: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Where runs of lines of about _BATCH_BYTES begin and end; a longer line comes alone."""
+    lo = size = 0
+    for i, line in enumerate(lines):
+        if i > lo and (size + len(line) > _BATCH_BYTES or i - lo >= _BATCH_LINES):
+            yield lo, i
+            lo, size = i, 0
+        size += len(line)
+    if lo < len(lines):
+        yield lo, len(lines)
 
 
 class LinesSource(DataSource):

@@ -19,16 +19,18 @@ def python_lines(data):
 @example([b"\r", b"\n"], 1, False)
 @settings(max_examples=300, deadline=None)
 def test_ranges_cut_lines_as_python_reads_them(tmp_path_factory, parts, size, mark):
-    """Every size of range, any line ends, with and without a byte order mark."""
+    """Every size of range and of piece, any line ends, with and without a byte order mark."""
+    lines._CHUNK = max(1, size // 2)
     data = (b"\xef\xbb\xbf" if mark else b"") + b"".join(parts)
     path = tmp_path_factory.mktemp("x") / "f"
     path.write_bytes(data)
     want = python_lines(data)
     total, got = 0, []
     for r in lines._cut([(f"file:{path}", len(data))], size):
-        n, rows, own = lines.lines_of(r)
-        got += [(total + i, line.decode()) for i, line in zip(rows, own, strict=True)]
-        total += n
+        for n, rows, own in lines.pieces_of(r):
+            got += [(total + i, line.decode()) for i, line in zip(rows, own, strict=True)]
+            total += n
+    lines._CHUNK = 1 << 20
     assert total == len(want)
     assert got == [(i, line) for i, line in enumerate(want) if line.strip()]
 
