@@ -22,8 +22,8 @@ from cuelight.operators.numbering import held
 from cuelight.scratch import written
 
 _BITS_SENT = 16 << 20  # bytes of bitmaps that every task may get
-_MOST_RANGES = 4096
-_RANGE_POINTS = 100_000
+_MOST_RANGES, _FEW_RANGES = 1024, 32
+_RANGE_POINTS, _LEAST_POINTS = 100_000, 2_000
 _REFS_AT_ONCE = 500_000
 
 
@@ -49,19 +49,22 @@ def _within(point: Column) -> Column:
     return (point >= lo) & (point <= hi) & ~F.isnan(lo) & ~F.isnan(hi) & ~F.isnan(point)
 
 
-def time_ranges(points: DataFrame) -> list[float]:
-    """Times at which ranges of about _RANGE_POINTS points begin, ascending, the first open; from one pass over the times."""
+def time_ranges(points: DataFrame) -> tuple[list[float], int]:
+    """Times at which ranges of about _RANGE_POINTS points begin, or of fewer as long as cores would be idle, ascending, the first open; and the number of points. From one pass
+    over the times."""
     shares = [i / _MOST_RANGES for i in range(1, _MOST_RANGES)]
-    n, times = points.agg(F.count("*"), F.percentile_approx("timestamp", shares, 20_000)).first()
-    ranges = min(_MOST_RANGES, -(-n // _RANGE_POINTS))
+    n, times = points.agg(F.count("*"), F.percentile_approx("timestamp", shares, 4_000)).first()
+    idle = min(2 * points.sparkSession.sparkContext.defaultParallelism, -(-n // _LEAST_POINTS))
+    ranges = min(_MOST_RANGES, max(-(-n // _RANGE_POINTS), idle))
     chosen = {times[i * _MOST_RANGES // ranges - 1] for i in range(1, ranges)} if times else set()
-    return [-math.inf, *sorted(t for t in chosen if math.isfinite(t)), math.inf]
+    return [-math.inf, *sorted(t for t in chosen if math.isfinite(t)), math.inf], n
 
 
 def _ranged(df: DataFrame, column: str, out: str, splits: list[float]) -> DataFrame:
     """Adds the number of the range that a time lies in."""
-    if len(splits) == 2:
-        return df.withColumn(out, F.lit(0))
+    inner = splits[1:-1]
+    if len(inner) <= _FEW_RANGES:  # by comparison; a search of many takes less time than comparing with all
+        return df.withColumn(out, sum(((F.col(column) >= t).cast("int") for t in inner), F.lit(0)))
     made = Bucketizer(splits=splits, inputCol=column, outputCol=out).transform(df)
     return made.withColumn(out, F.col(out).cast("int"))
 
@@ -71,12 +74,14 @@ def window_refs(windows: DataFrame, points: DataFrame) -> DataFrame:
     point_id) in their order."""
     right = points.where("timestamp is not null and not isnan(timestamp)").select(F.col("timestamp").cast("double").alias("timestamp"), "_order", "point_id")
     left = windows.where("window is not null and not isnan(window.lo) and not isnan(window.hi)").select("_key", "window.lo", "window.hi")
-    splits = time_ranges(right)
+    splits, n = time_ranges(right)
     right = _ranged(right, "timestamp", "range", splits)
     left = _ranged(_ranged(left, "lo", "first", splits), "hi", "last", splits)
     left = left.where("lo <= hi").select("_key", "lo", "hi", F.explode(F.sequence("first", "last")).alias("range"))
-    counts = right.groupBy("range").agg(F.count("*").alias("n")).where(F.col("n") > 2 * _RANGE_POINTS)
-    hot = [(r["range"], -(-r["n"] // _RANGE_POINTS)) for r in counts.collect()]  # a row for each range at most
+    hot = []
+    if n > 2 * _RANGE_POINTS:
+        counts = right.groupBy("range").agg(F.count("*").alias("n")).where(F.col("n") > 2 * _RANGE_POINTS)
+        hot = [(r["range"], -(-r["n"] // _RANGE_POINTS)) for r in counts.collect()]  # a row for each range at most
     part = F.lit(0)
     if hot:
         parts = F.broadcast(right.sparkSession.createDataFrame(hot, "range int, parts int"))
