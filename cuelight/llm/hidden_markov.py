@@ -72,7 +72,8 @@ class Words:
 
 
 def words(column: pa.Array) -> Words:
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), "")))
+    low = pc.ascii_lower(pc.fill_null(column, ""))  # before the cast, which leaves a slice with offsets that this would misread
+    lists = pc.ascii_split_whitespace(low.cast(pa.large_string()))
     flat, text = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
     some = pc.greater(pc.binary_length(flat), 0)
     coded = flat.filter(some).dictionary_encode()
@@ -391,7 +392,7 @@ def score(docs: DataFrame, model: LanguageModel, carry: list[str] | None = None,
                 own = np.zeros(len(found.known))
                 own[known] = log_n[place[known]]
                 inner = own - log_class[word_class(found.known, classes)]
-                add = lambda w: np.bincount(found.text, w[found.word], found.count)  # noqa: E731, B023
+                add = lambda w: np.bincount(found.text, w[found.word], found.count).astype(np.float64)  # noqa: E731, B023 (whole numbers if there are no words)
                 ids, bounds = found.classes(classes), found.bounds()
                 logs = Stretches(ids, bounds, chain).scores() / np.log(10)
                 cold = _cold(found, ~known) if rest else pa.nulls(found.count, cold_kind)

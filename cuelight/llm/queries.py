@@ -132,12 +132,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log-likelihood of every document, by a model of those whose id is not held out."""
+    """The log-likelihood of every document, by a model of those whose id is not held out; a null id, which has no remainder, is not."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = hidden_markov.train(docs.where(fold("doc_id", 7) != 2))
+    held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    model = hidden_markov.train(docs.where(~held_out))
     scored = hidden_markov.score(docs, model, ["doc_id"])
-    held_out, tokens = (fold("doc_id", 7) == 2).alias("held_out"), F.lit(model.tokens).cast("long").alias("train_tokens")
-    return scored.select("doc_id", held_out, "n_tokens", "n_known", tokens, "base_score", "score")
+    tokens = F.lit(model.tokens).cast("long").alias("train_tokens")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", tokens, "base_score", "score")
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,18 @@ def test_words():
     assert (ids[[3, 4, 5, 8]] == 64).all() and ids[0] == ids[6] == ids[7] < 64
 
 
+@pytest.mark.parametrize(("kind", "none"), [(pa.string(), ""), (pa.string(), None), (pa.large_string(), "")])
+def test_words_of_slices(kind, none):
+    """A column is cut at 4 MB; what lies behind the first cut has its own words."""
+    texts = [f"Text{i} of  NUMBER\t{i} É{i}" * (i % 3) if i % 5 else none for i in range(40)]
+    column = pa.array(texts, kind)
+    for lo, hi in [(0, 40), (0, 7), (7, 8), (9, 31), (39, 40), (5, 6), (12, 12)]:
+        found = hidden_markov.words(column[lo:hi])
+        known = found.known.to_pylist()
+        assert [known[i] for i in found.word] == [w for t in texts[lo:hi] for w in tokens(t)[:-1]]
+        assert np.diff(found.bounds()).tolist() == [len(tokens(t)) for t in texts[lo:hi]]
+
+
 def plain_scores(texts, learned, model):
     """(n_tokens, n_known, base_score, score) of each text, with the model's chain and counts by plain code."""
     c = Counter(t for text in learned for t in tokens(text))
@@ -129,3 +141,28 @@ def test_training_goes_up_and_beats_single_words_on_held_out_texts(spark):
     model = hidden_markov.train(docs, states=4, classes=2000, rounds=3)
     first = model.logs[: hidden_markov._FIRST_ROUNDS]
     assert all(a < b for a, b in itertools.pairwise(first))
+
+
+def check_query(spark, folder, rows):
+    """The columns of the query that its contract fixes, by plain code. A null id has no remainder: its row is not held out."""
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    got = queries.op12_hidden_markov_scores(spark, str(folder)).collect()
+    out = {d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
+    c = Counter(t for d, text in rows if not out[d] for t in tokens(text))
+    n, v = sum(c.values()), len(c)
+    want = []
+    for d, text in rows:
+        own = tokens(text)
+        want.append((d, out[d], len(own), sum(c[w] > 0 for w in own), n, math.fsum(math.log10((c[w] + 1) / (n + v + 1)) for w in own)))
+    order = lambda r: (r[0] is None, r[0] or 0, r[2], r[3])
+    for a, b in zip(sorted(map(tuple, got), key=order), sorted(want, key=order), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and np.isfinite(a[6])
+
+
+def test_query_over_texts_of_more_than_a_batch_and_null_ids(spark, tmp_path):
+    rows = [(i, " ".join(f"W{k * k % (997 + i)}" for k in range(1 + i * 9000))) for i in range(1, 25)]
+    check_query(spark, tmp_path, [*rows, (None, "w1 without an id"), (None, None), (None, "w1 w2"), (30, None), (31, "x" * 5_000_000 + " y w3")])
+
+
+def test_query_over_texts_without_words(spark, tmp_path):
+    check_query(spark, tmp_path, [(i, ("", None, " \t\n")[i % 3]) for i in range(20)])
