@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import bz2
+import gzip
 import io
 import json
 
@@ -35,6 +37,27 @@ def test_ranges_cut_lines_as_python_reads_them(tmp_path_factory, parts, size, ma
     assert got == [(i, line) for i, line in enumerate(want) if line.strip()]
 
 
+@given(st.lists(st.sampled_from([b"\n", b"\r", b"\r\n", b"a", b"bc", b" ", b"\x0b"]), max_size=30), st.integers(1, 9), st.booleans(), st.sampled_from(["gz", "bz2"]))
+@settings(max_examples=100, deadline=None)
+def test_compressed_files_are_streams(tmp_path_factory, parts, size, mark, kind):
+    """In one range, of two members, whatever the pieces; Arrow reaches them, so their lines are not sorted to be numbered."""
+    pack = {"gz": gzip.compress, "bz2": bz2.compress}[kind]
+    data = (b"\xef\xbb\xbf" if mark else b"") + b"".join(parts)
+    path = tmp_path_factory.mktemp("x") / f"f.{kind}"
+    path.write_bytes(pack(data[:7]) + pack(data[7:]))
+    files = [(f"file:{path}", path.stat().st_size)]
+    (own,) = lines._cut(files, size)
+    assert lines._reachable(files)
+    lines._CHUNK = size
+    total, got = 0, []
+    for n, rows, found in lines.pieces_of(own):
+        got += [(total + i, line.decode()) for i, line in zip(rows, found, strict=True)]
+        total += n
+    lines._CHUNK = 1 << 20
+    want = python_lines(data)
+    assert total == len(want) and got == [(i, line) for i, line in enumerate(want) if line.strip()]
+
+
 @pytest.fixture(params=["ranges", "text reader"])
 def reader(request, monkeypatch):
     if request.param == "text reader":

@@ -1,19 +1,28 @@
 from __future__ import annotations
 
 import dataclasses
+import gzip
 import json
+import math
+import os
+import random
 import time
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cuelight import cli
+from cuelight.operators import intervals
 from cuelight.plans import workflows
 from cuelight.scratch import Folder, discard, shared_folder, written
-from cuelight.sinks.files import jsonable, merge_manifest, write_json, write_lines
+from cuelight.sinks.files import jsonable, merge_manifest, write_json, write_lines, write_text
 from cuelight.sinks.index_store import IndexStore, Task
+from cuelight.sources.jsonl import read_json_lines
 from cuelight.streaming.align import align_stream, read_segments
 
 
@@ -125,6 +134,49 @@ def test_align_keeps_unknown_keys(spark, tmp_path):
         workflows.align_frames(spark, "q", tmp_path)
 
 
+def test_aligned_lines_store_no_references_but_the_file(spark, tmp_path, monkeypatch):
+    """Lines by runs of segments are the bytes that sorting all references gives, also in many ranges, one of them split; nothing is left in the shared folder, and parts may be compressed."""
+    rng = random.Random(7)
+    ends = lambda: rng.choice([rng.uniform(0, 900), str(rng.randrange(900)), None, "NaN", 450])
+    lines(tmp_path / "p/segments/lecture_segments.jsonl", [{"frame_refs": 1, "start_time": ends(), "end_time": ends(), "é": [i, None]} for i in range(400)] + [{}])
+    named = [{"frame_id": rng.choice(["a", 'q"\\\n', "é한", "", None]), "frame_path": rng.choice([None, "/x/y.jpg"])} for _ in range(1500)]
+    lines(tmp_path / "p/manifests/frames_manifest.jsonl", [{**n, "timestamp": rng.choice([rng.uniform(-10, 1000), 450, "x", rng.randrange(900)])} for n in named])
+    monkeypatch.setattr(intervals, "_RANGE_POINTS", 200)
+    monkeypatch.setattr(intervals, "_LEAST_REFS", 1000)
+    before = set(os.listdir(shared_folder(spark).removeprefix("file:")))
+    done = workflows.align_frames(spark, "p", tmp_path, 0.5, output=tmp_path / "runs", compression="gzip")
+    assert set(os.listdir(shared_folder(spark).removeprefix("file:"))) == before
+    parts = sorted((tmp_path / "runs").glob("part-*"))
+    assert len(parts) > 3 and all(p.name.endswith(".gz") for p in parts)
+    monkeypatch.setattr(intervals, "_BYTES_HELD", -1)
+    assert workflows.align_frames(spark, "p", tmp_path, 0.5, output=tmp_path / "sorted")["counts"] == done["counts"]
+    plain = b"".join(p.read_bytes() for p in sorted((tmp_path / "sorted").glob("part-*")))
+    assert b"".join(gzip.decompress(p.read_bytes()) for p in parts) == plain and plain.count(b"\n") == 401
+    assert done["counts"]["frame_refs_total"] == sum(len(r["frame_refs"]) for r in read(tmp_path / "sorted")) > 50_000
+    rows = read_json_lines(spark, str(tmp_path / "runs"), check=False).orderBy("position").select(F.to_json("v").alias("v"))
+    assert [json.loads(r.v) for r in rows.collect()] == read(tmp_path / "sorted")
+    with pytest.raises(ValueError):
+        write_text(rows, tmp_path / "z", one_file=True, compression="gzip")
+
+
+def test_lines_of_few_references_at_once(monkeypatch):
+    """Names in the order of frames, over blocks of which few are open, and slices of some windows."""
+    monkeypatch.setattr(intervals, "_REFS_AT_ONCE", 7)
+    monkeypatch.setattr(intervals, "_BLOCKS_OPEN", 1)
+    rng = random.Random(11)
+    points = sorted((rng.randrange(-20, 60) / 4, i) for i in range(90))
+    blocks = intervals._Blocks()
+    for own in (points[:30], points[30:31], points[31:]):
+        times, order = np.array([t for t, _ in own]), np.array([i for _, i in own])
+        packed = intervals._packed(t=np.diff(times.view(np.int64), prepend=0)), intervals._packed(order=np.diff(order, prepend=0), name=[f"n{i}" for i in order])
+        blocks.add(pa.RecordBatch.from_pydict({"times": [packed[0]], "named": [packed[1]]}))
+    spans = [tuple(sorted((rng.uniform(-9, 20), rng.uniform(-9, 20)))) for _ in range(40)] + [(None, None), (math.nan, 9.0), (1.0, math.nan), (-math.inf, math.inf), (90.0, 91.0)]
+    rows = pa.RecordBatch.from_pydict({"a": [a for a, _ in spans], "b": [b for _, b in spans], "head": [f"{i}:" for i in range(len(spans))]})
+    got = [line for batch in blocks.lines(rows) for line in batch["value"].to_pylist()]
+    within = lambda a, b: sorted(i for t, i in points if a is not None and a <= t <= b)
+    assert got == [f"{n}:[{','.join(f'n{i}' for i in within(a, b))}]}}" for n, (a, b) in enumerate(spans)]
+
+
 def test_evaluate_records(spark, tmp_path):
     path = lines(
         tmp_path / "r.jsonl",
