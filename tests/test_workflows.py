@@ -159,6 +159,15 @@ def test_aligned_lines_store_no_references_but_the_file(spark, tmp_path, monkeyp
         write_text(rows, tmp_path / "z", one_file=True, compression="gzip")
 
 
+@pytest.mark.parametrize("segments, frames", [(0, 1), (1, 0), (0, 0)])
+def test_align_nothing(spark, tmp_path, segments, frames):
+    lines(tmp_path / "p/segments/lecture_segments.jsonl", [{"start_time": 1}] * segments)
+    lines(tmp_path / "p/manifests/frames_manifest.jsonl", [{"frame_id": "f", "timestamp": 1}] * frames)
+    done = workflows.align_frames(spark, "p", tmp_path)["counts"]
+    assert list(done.values()) == [0.0, segments, 0, segments, 0, 0]
+    assert read(tmp_path / "p/segments/lecture_segments_aligned.jsonl") == [{"start_time": 1, "frame_refs": []}] * segments
+
+
 def test_lines_of_few_references_at_once(monkeypatch):
     """Names in the order of frames, over blocks of which few are open, and slices of some windows."""
     monkeypatch.setattr(intervals, "_REFS_AT_ONCE", 7)
